@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from loomery.llm import mixing, quality, sharding
+from loomery.llm import mixing, pieces, quality, sharding
 from loomery.session import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op3_sharding": lambda s, d: sharding.op3_sharding(docs(s, d)),
         "op5_quality": lambda s, d: quality.op5_quality(docs(s, d)),
         "op6_mixing": lambda s, d: mixing.op6_mixing(docs(s, d)),
+        "op10_pieces": lambda s, d: pieces.op10_pieces(docs(s, d), vocabulary("piece_bpe_32k.model")),
     }
 
 
