@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.llm import mixing, pieces, quality, sharding
+from loomery.llm import language, lines, mixing, pieces, quality, sharding
 from loomery.session import table
 
 
@@ -19,9 +19,11 @@ def queries() -> dict:
         "op3_sharding": lambda s, d: sharding.op3_sharding(docs(s, d)),
         "op5_quality": lambda s, d: quality.op5_quality(docs(s, d)),
         "op6_mixing": lambda s, d: mixing.op6_mixing(docs(s, d)),
+        "op8_lines": lambda s, d: lines.op8_lines(docs(s, d)),
+        "op9_language": lambda s, d: language.op9_language(docs(s, d)),
         "op10_pieces": lambda s, d: pieces.op10_pieces(docs(s, d), vocabulary("piece_bpe_32k.model")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_lines": lines.OP8_SQL}
