@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.llm import language, lines, mixing, pieces, quality, sharding
+from loomery.llm import jaccard, language, lines, mixing, pieces, quality, sharding
 from loomery.session import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op3_sharding": lambda s, d: sharding.op3_sharding(docs(s, d)),
+        "op4_jaccard": lambda s, d: jaccard.op4_jaccard(docs(s, d)),
         "op5_quality": lambda s, d: quality.op5_quality(docs(s, d)),
         "op6_mixing": lambda s, d: mixing.op6_mixing(docs(s, d)),
         "op8_lines": lambda s, d: lines.op8_lines(docs(s, d)),
@@ -26,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": lines.OP8_SQL}
+    return {"op4_jaccard": jaccard.OP4_SQL, "op8_lines": lines.OP8_SQL}
