@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.llm import fingerprints, jaccard, language, lines, mixing, pieces, quality, sharding
+from loomery.llm import fingerprints, jaccard, language, lines, mixing, pieces, quality, sharding, unigram
 from loomery.session import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     return {
         "op1_fingerprints": lambda s, d: fingerprints.op1_fingerprints(docs(s, d)),
+        "op2_token_counts": lambda s, d: unigram.op2_token_counts(docs(s, d), vocabulary("piece_bpe_32k.model")),
         "op3_sharding": lambda s, d: sharding.op3_sharding(docs(s, d)),
         "op4_jaccard": lambda s, d: jaccard.op4_jaccard(docs(s, d)),
         "op5_quality": lambda s, d: quality.op5_quality(docs(s, d)),
