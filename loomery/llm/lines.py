@@ -244,10 +244,11 @@ def update(index: LineIndex, inserted: DataFrame | None = None, deleted: DataFra
     return LineIndex(counts, filters, index.min_docs, index.min_chars, index.n_shards)
 
 
-def common_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", max_filter_bytes: int = 64 << 20) -> DataFrame:
+def common_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", keep_first: bool = False, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """For each ``key`` of ``docs`` that holds common lines: ``common``, the distinct hashes (16 bytes) of those keys.
 
     ``key`` must tell documents apart; of rows that share it the common keys are pooled, which drops the same lines.
+    With ``keep_first`` the least key that holds a line keeps it.
     """
     size = index.filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first()["n"]
     known = None
@@ -276,17 +277,21 @@ def common_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", max_fil
 
     kind = docs.schema[key].dataType.simpleString()
     maybe = docs.select(key, "text").filter(F.col(key).isNotNull()).mapInPandas(candidates, f"`{key}` {kind}, hi long, lo long")
-    return maybe.join(index.common(), ["hi", "lo"]).groupBy(key).agg(F.collect_set(F.struct("hi", "lo")).alias("common"))
+    sure = maybe.join(index.common(), ["hi", "lo"])
+    if keep_first:
+        firsts = sure.groupBy("hi", "lo").agg(F.min(key).alias("_first"))
+        sure = sure.join(firsts, ["hi", "lo"]).filter(F.col(key) != F.col("_first"))
+    return sure.groupBy(key).agg(F.collect_set(F.struct("hi", "lo")).alias("common"))
 
 
-def strip_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text_out: bool = True) -> DataFrame:
+def strip_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", keep_first: bool = False, text_out: bool = True) -> DataFrame:
     """``docs`` without the common lines: replaces ``text``, adds ``n_lines``, ``n_dropped``, ``kept_sha256``.
 
     Null or empty text is one empty line and stays what it is. Other columns are kept. Rows with a null key keep all
     their lines. With ``text_out`` false the text is left out.
     """
     base = docs.drop("n_lines", "n_dropped", "kept_sha256", "common")
-    marked = base.join(common_lines(base, index, key), key, "left")
+    marked = base.join(common_lines(base, index, key, keep_first), key, "left")
     out = [f for f in base.schema.fields if text_out or f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_lines long, n_dropped long, kept_sha256 string"
     names, min_chars = [f.name for f in out], index.min_chars

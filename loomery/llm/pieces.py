@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -277,7 +278,7 @@ def encode_table(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = encoder(model_path)
         for batch in batches:
-            yield batch.assign(ids=[tool.encode(x or "") for x in batch[text]])
+            yield batch.assign(ids=[np.array(",".join(tool.encode_chunks(x or "")).split(",") if x else [], dtype=np.int32) for x in batch[text]])
 
     base = docs.select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
@@ -319,3 +320,22 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
 def op10_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """The contract of operator 10 over ``documents``."""
     return encode_digests(docs, model_path)
+
+
+def encode_rows(docs: DataFrame, model_path: str) -> DataFrame:
+    """Replace ``text`` of ``docs`` by ``ids`` (array<int>), ``n_tokens``, and ``same``: whether the ids decode to it."""
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_tokens", "same")]
+    names = [f.name for f in kept]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = encoder(model_path)
+        for batch in batches:
+            ids, same = [], []
+            for text in batch["text"]:
+                chunks = tool.encode_chunks(text or "")
+                ids.append(np.array(",".join(chunks).split(",") if chunks else [], dtype=np.int32))
+                same.append(tool.decode_chunks(chunks) == (text or "").replace(MARK, " "))
+            yield batch[names].assign(ids=ids, n_tokens=[len(x) for x in ids], same=same)
+
+    return docs.select(*[f"`{n}`" for n in names], "text").mapInPandas(run, f"{schema}ids array<int>, n_tokens long, same boolean")
