@@ -1,8 +1,74 @@
-"""A corpus pipeline of the operators in ``loomery.llm``; each stage is written and read again before the next."""
+"""A corpus pipeline of the operators in ``loomery.llm``; each stage is written and read again before the next.
 
-STAGES = []
+Language ID drops documents without text in a known language; line dedup takes lines of ten documents or more out of
+all but the first of them; the Jaccard join leaves one document of each group of near duplicates; mixing repeats and
+drops documents so that sources come near their target weights; encoding turns texts into token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomery.llm import jaccard, language, lines, mixing, pieces
+from loomery.llm.common import words
+from loomery.llm.queries import vocabulary
+from loomery.session import stage_table, table
+
+#: Documents whose best language has less of the pooled probability are rejected.
+LEAST_SCORE = 0.3
+#: Ids of rejected duplicates up to this number are broadcast; more are joined by a shuffle.
+MAX_IDS = 2_000_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose text is null, has no letter, or is in no learned language."""
+    model = language.fit(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
+    return language.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take lines of ten documents or more out of all but the first of them; drop documents left without a word."""
+    index = lines.build(docs.select("text"), min_docs=10, min_chars=1)
+    stripped = lines.strip_lines(docs, index, keep_first=True)
+    return stripped.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least id of each component of texts with a Jaccard index of 0.8 or more over 5-word shingles."""
+    components = jaccard.link_components(docs, percent=80, k=5)
+    gone = stage_table(components.filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that sources come near their targets: as often as the mix takes their words, rounded."""
+    sized = stage_table(docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size")), "mix-sizes")
+    taken = mixing.mix(sized)
+    times = taken.filter("size > 0").groupBy("doc_id").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times")).filter("_times > 0")
+    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, their number, and whether they decode to the same text."""
+    return pieces.encode_rows(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+#: The language network and the piece encoder have no form in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over ``documents``; each result but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
