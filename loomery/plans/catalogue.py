@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from loomery.plans import series, tabular
+
+MODULES = (tabular, series)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
