@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomery.plans import series, tabular
+from loomery.plans import series, tabular, texts
 
-MODULES = (tabular, series)
+MODULES = (tabular, series, texts)
 
 
 def queries() -> dict:
