@@ -35,8 +35,12 @@ from loomery.llm.shingles import mix64, shingle_sets
 from loomery.operators.components import connected_components
 from loomery.session import stage_table
 
-#: Tokens in this many documents or more are frequent: signed in pairs; 16 times as many: in triples.
+#: Tokens in this many documents or more come late in the order, by their frequency.
 FREQUENT = 8
+#: Tokens in this many documents or more are signed in pairs; 16 times as many: in triples.
+PAIRED = 64
+#: Bits of the parity sketch by which pairs are ruled out before their sets are compared.
+SKETCH_BITS = 1024
 #: Bounds of what is sent to every executor.
 MAX_FREQUENT_TOKENS = 2_000_000
 MAX_BITMAP_BYTES = 64 << 20
@@ -173,7 +177,7 @@ def signatures(tokens: np.ndarray, order: TokenOrder, percent: int) -> np.ndarra
     df = order.frequencies(tokens)
     rank = np.lexsort((tokens, df))
     tokens, df = tokens[rank], df[rank]
-    kinds = np.where(df == 0, 1, np.where(df < 16 * order.frequent, 2, 3))
+    kinds = np.where(df < max(PAIRED, order.frequent), 1, np.where(df < 16 * max(PAIRED, order.frequent), 2, 3))
     classes = {_size_class(n), _size_class(max(1, required(n, percent))), _size_class(n * 100 // percent)}
     out = []
     for cls in sorted(classes):
@@ -225,15 +229,34 @@ def signature_table(docs: DataFrame, k: int, percent: int, order: TokenOrder, ke
     return docs.select(key, "text").mapInPandas(run, f"sig long, `{key}` long, n long")
 
 
+def _those(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The documents that are (or are not) in ``ids``, one column ``key``: by a broadcast up to ``MAX_IDS`` of them."""
+    return docs.select(key, "text").join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, key, how)
+
+
 def token_table(docs: DataFrame, k: int, ids: DataFrame, key: str) -> DataFrame:
-    """The packed sets of the documents in ``ids`` (one column ``key``)."""
+    """The packed sets of the documents in ``ids``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "tokens": [s.tobytes() for s in shingle_sets(batch["text"].tolist(), k)]})
 
-    wanted = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
-    return docs.select(key, "text").join(wanted, key, "left_semi").mapInPandas(run, f"`{key}` long, tokens binary")
+    return _those(docs, ids, key).mapInPandas(run, f"`{key}` long, tokens binary")
+
+
+def sketch_table(docs: DataFrame, k: int, ids: DataFrame, key: str) -> DataFrame:
+    """Sizes and parity sketches of the documents in ``ids``: bit ``i`` tells whether an odd number of tokens fall on it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n, bits = [], []
+            for s in shingle_sets(batch["text"].tolist(), k):
+                n.append(len(s))
+                odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pd.DataFrame({key: batch[key], "n": n, "bits": bits})
+
+    return _those(docs, ids, key).mapInPandas(run, f"`{key}` long, n long, bits array<bigint>")
 
 
 # -- pairs -----------------------------------------------------------------------------------------------------------
@@ -241,8 +264,18 @@ def _fitting(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, key: str) -> DataFrame:
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, key: str) -> DataFrame:
+    """Pairs whose sketches don't rule them out: sets differ at least in as many tokens as their sketches in bits."""
+    left, right = (sketches.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return both.filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str) -> DataFrame:
     """Of the pairs ``a``, ``b`` those with ``100 * intersection >= percent * union``, by their whole sets."""
+    ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "ids")
+    sets = stage_table(token_table(docs, k, ids, key), "tokens")
     left, right = (sets.select(F.col(key).alias(x), F.col("tokens").alias(f"t_{x}")) for x in "ab")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,12 +323,14 @@ def link_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "
     total = known.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     bits = min(16, max(3, (total // 2_000_000).bit_length()))
     order = TokenOrder.collect(stage_table(token_counts(docs, k, bits), "token-counts"), bits)
-    signed = stage_table(signature_table(docs.filter(F.col(key).isNotNull()), k, percent, order, key), "signatures").join(reps, key, "left_semi").distinct()
+    copies = stage_table(known.select(key).distinct().join(reps, key, "left_anti"), "copies")
+    own = _those(docs.filter(F.col(key).isNotNull()), copies, key, "left_anti")
+    signed = stage_table(signature_table(own, k, percent, order, key), "signatures")
     shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig")
     members = stage_table(signed.join(shared, "sig").withColumn("component", F.col(key)), "members")
 
     ids = stage_table(members.select(key).distinct(), "ids")
-    sets = stage_table(token_table(docs, k, ids, key), "tokens")
+    sketches = stage_table(sketch_table(docs, k, ids, key), "sketches")
     # rows that share a key are one node, though their sets differ
     links = classes.join(known, "fp").filter(F.col("rep") != F.col(key)).select(F.col("rep").alias("a"), F.col(key).alias("b"))
     found = [links.join(known.groupBy(key).agg(F.count_distinct("fp").alias("c")).filter("c > 1").withColumnRenamed(key, "b").select("b"), "b", "left_semi").select("a", "b")]
@@ -307,7 +342,8 @@ def link_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "
             other = members.select("sig", F.col(key).alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
             mine = members.select("sig", F.col(key).alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
             pairs = mine.join(other, "sig").filter("a < b AND c_a <> c_b").filter(_fitting(percent)).select("a", "b").distinct()
-        found.append(stage_table(verified(pairs, sets, percent, key), "links"))
+        likely = stage_table(plausible(pairs, sketches, percent, key), "pairs")
+        found.append(stage_table(verified(likely, docs, k, percent, key), "links"))
         edges = found[0]
         for x in found[1:]:
             edges = edges.unionByName(x)
