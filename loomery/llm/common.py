@@ -16,9 +16,15 @@ def whole(text: str | Column) -> Column:
 
 
 def words(text: str | Column) -> Column:
-    """The maximal runs of ``[^\\x20\\x09-\\x0D]`` in a text; none for null or empty."""
-    trimmed = F.btrim(whole(text), F.lit(SPACE_CHARS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
+    """The maximal runs of ``[^\\x20\\x09-\\x0D]`` in a text; none for null or empty.
+
+    The other separators are turned to spaces first: splitting at one plain character is several times faster than at
+    a pattern.
+    """
+    plain = whole(text)
+    for c in SPACE_CHARS[1:]:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def source_key(source: str | Column) -> Column:
