@@ -214,4 +214,7 @@ SQL = {
     "beta_posterior": "WITH s AS (SELECT user_id AS arm, 1 + count(*) FILTER (event_type = 'purchase') AS alpha, 1 + count(*) FILTER (event_type <> 'purchase') AS beta FROM events GROUP BY 1) SELECT arm, alpha, beta, round(alpha / (alpha + beta), 6) AS mean, round(sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0::DOUBLE))), 6) AS std, alpha + beta - 2 AS pulls FROM s",
     "comps_knn": "WITH b AS (SELECT min(p_size) AS l1, max(p_size) AS h1, min(p_retailprice) AS l2, max(p_retailprice) AS h2 FROM part), f AS (SELECT p_partkey, p_retailprice, (p_size - l1) / (h1 - l1)::DOUBLE AS f1, 2 * (p_retailprice - l2) / (h2 - l2) AS f2 FROM part, b), p AS (SELECT s.p_partkey AS subject, f.p_partkey, f.p_retailprice, sqrt(pow(f.f1 - s.f1, 2) + pow(f.f2 - s.f2, 2)) AS d FROM f s JOIN f ON f.p_partkey <> s.p_partkey WHERE s.p_partkey <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY round(d, 9), p_partkey) AS rank FROM p) SELECT subject, p_partkey, rank, round(d, 6) AS distance, p_retailprice FROM r WHERE rank <= 5",
     "risk_profile": "WITH o AS (SELECT o_custkey, avg(o_totalprice) AS amt, count(*) AS n, date_diff('day', min(o_orderdate)::DATE, DATE '1999-01-01') AS age FROM orders GROUP BY 1), f AS (SELECT o_custkey, round(least(0.97, greatest(0.03, 0.45 * least(1, greatest(0, (ln(1 + amt / 20) - ln(1 + exp(5.32))) / (ln(1 + exp(9.125)) - ln(1 + exp(5.32))))) + 0.30 * CASE WHEN age <= 0 THEN 1 ELSE least(1, greatest(0, 1 - ln(1 + age) / ln(366))) END + 0.25 * least(1, greatest(0, (n - 5) / 25.0)))), 6) AS fraud, round(least(0.96, greatest(0.04, 0.16 + 0.28 * CASE WHEN age / 30.0 <= 0 THEN 1.0 WHEN age / 30.0 <= 12 THEN 1.0 - age / 30.0 / 24 ELSE greatest(0, 0.5 - (age / 30.0 - 12) / 120) END + 0.24 * least(1, greatest(0, (amt / 2000 - 18) / 100)) + 0.16 * 0.52)), 6) AS churn FROM o) SELECT o_custkey, fraud::DOUBLE AS fraud, churn::DOUBLE AS churn, round(0.55 * fraud + 0.30 * churn, 5)::DOUBLE AS combined, CASE WHEN fraud >= 0.5 THEN 'block' WHEN 0.55 * fraud + 0.30 * churn >= 0.7 THEN 'review' WHEN churn >= 0.5 THEN 'intervene' ELSE 'ok' END AS action FROM f",
+    "entity_resolution": """WITH v AS (SELECT s_suppkey AS id, s_acctbal AS bal, s_nationkey AS nk, list_distinct(list_transform(range(1, length(s_name) - 1), lambda i: lower(s_name)[i : i + 2])) AS g FROM supplier),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS t, abs(a.bal - b.bal) / greatest(abs(a.bal), abs(b.bal), 1e-12) AS gap FROM v a JOIN v b ON a.nk = b.nk AND a.id < b.id),
+        s AS (SELECT id_a, id_b, round((2 * t + CASE WHEN gap <= 0.1 THEN 1 ELSE greatest(0, 1 - (gap - 0.1) / 0.4) END) / 3, 6) AS score FROM p) SELECT * FROM s WHERE score >= 0.55""",
 }

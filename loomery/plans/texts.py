@@ -150,6 +150,20 @@ _G = _E + ", e AS (SELECT DISTINCT src, dst FROM ed WHERE src % 7 = 0), nodes AS
 _N = _E + ", e AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM ed JOIN customer ON src = c_custkey JOIN supplier ON dst - 10000000 = s_suppkey WHERE (c_nationkey * 5 + s_nationkey * 3) % 4 = 0 AND c_nationkey <> s_nationkey), nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 _TOK = lambda c: rf"list_filter(list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+')), lambda w: NOT list_contains([{', '.join(repr(w) for w in I.STOP_WORDS)}], w))"
 
+_LONG = lambda c: rf"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+'), lambda w: length(w) > 2)"
+_GRAMS = lambda c: f"CASE WHEN length({c}) < 3 THEN [lower({c})] ELSE list_distinct(list_transform(range(1, length({c}) - 1), lambda i: lower({c})[i : i + 2])) END"
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ["r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+    for i in range(rounds):
+        steps.append(
+            f"r{i + 1} AS (SELECT n.id, 0.15 / c.c + 0.85 * (coalesce(s.s, 0) + coalesce(d.d, 0) / c.c) AS rank FROM nodes n LEFT JOIN (SELECT dst AS id, sum(rank / k) AS s FROM r{i} JOIN lk ON id = src GROUP BY 1) s USING (id), "
+            f"(SELECT sum(rank) AS d FROM r{i} WHERE id NOT IN (SELECT src FROM e)) d, (SELECT count(*) AS c FROM nodes) c)"
+        )
+    return f"WITH {_N}, lk AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS k FROM e), {', '.join(steps)} SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+
+
 SQL = {
     "bm25_search": f"WITH {_BM} SELECT query, doc, round(score, 4)::DOUBLE AS score, rank FROM bm WHERE rank <= 10",
     "rrf_fusion": f"WITH {_BM}, u AS (SELECT query, doc, rank FROM bm WHERE rank <= 10 UNION ALL SELECT * FROM (SELECT n_chars % 8, doc_id, row_number() OVER (PARTITION BY n_chars % 8 ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k <= 10), r AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM u GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, doc) AS rank FROM r) SELECT * FROM k WHERE rank <= 5",
@@ -172,6 +186,17 @@ SQL = {
     "session_vector": """WITH k AS (SELECT vec_id % 20 AS "user", embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id DESC) AS k FROM embeddings), p AS (SELECT "user", i, sum(pow(0.8, k - 1) * v[i + 1]) AS x FROM k, range(64) g(i) WHERE k <= 20 GROUP BY 1, 2)
         SELECT "user", i::INT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY "user")), 5) AS x FROM p""",
     "linucb_stats": "WITH e AS (SELECT event_type AS arm, [round(value / 500, 4), 1.0] AS x, (user_id % 2)::DOUBLE AS r FROM events), c AS (SELECT arm, i::INT AS i, j::INT AS j, x[i + 1] * x[j + 1] AS xx, CASE WHEN j = 0 THEN x[i + 1] * r ELSE 0 END AS xr FROM e, range(2) g(i), range(2) h(j)) SELECT arm, i, j, round(sum(xx) + CASE WHEN i = j THEN 1 ELSE 0 END, 4) AS a, round(sum(xr), 4) AS b FROM c GROUP BY arm, i, j",
-    "kcore": None,
+    "pagerank_20": _pagerank_sql(20),
+    "cooccurrence_graph": r"WITH m AS (SELECT DISTINCT doc_id, e FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z]{4,})(?:$|[^A-Za-z])', 1)) AS e FROM documents) WHERE length(e) <= 6) SELECT x.e AS a, y.e AS b, count(*) AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2",
+    "sentence_chunks": r"""WITH s AS (SELECT doc_id, list_filter(flatten(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: string_split(regexp_replace(trim(p), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda x: trim(x) <> '') AS s FROM documents)
+        SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS i, unnest(s) AS sentence FROM s""",
+    "lexical_rerank": f"""WITH {_BM}, c AS (SELECT query, doc, {_LONG('b.text')} AS q0, {_LONG('d.text')} AS p FROM bm JOIN benchmark b ON b.item_id = query JOIN documents d ON d.doc_id = doc WHERE rank <= 5), x AS (SELECT query, doc, list_distinct(q0) AS q, p, count(*) OVER (PARTITION BY query) AS n FROM c),
+        t AS (SELECT query, doc, p, n, unnest(q) AS t FROM x), h AS (SELECT *, list_contains(p, t) AS has, list_contains(p[1 : greatest(1, len(p) // 4)], t) AS early, len(list_filter(p, lambda w: w = t)) / len(p) AS tf FROM t), i AS (SELECT *, ln(1 + n / (1 + sum(has::INT) OVER (PARTITION BY query, t))) AS idf FROM h),
+        a AS (SELECT query, doc, avg(has::INT) AS cov, sum(CASE WHEN has THEN tf * idf ELSE 0 END) AS tfs, avg(idf) AS idf, avg(early::INT) AS pos FROM i GROUP BY 1, 2)
+        SELECT query, doc, round(cov, 5) AS coverage, round(least(1, tfs / (idf + 1e-9)), 5) AS tf_score, round(pos, 5) AS position, round(0.5 * cov + 0.35 * least(1, tfs / (idf + 1e-9)) + 0.15 * pos, 5) AS rerank_score FROM a""",
+    "entity_linking": f"""WITH m AS (SELECT DISTINCT lower(p_name) AS s FROM part WHERE p_partkey <= 200), k AS (SELECT p_name AS s, p_partkey AS e FROM part), a AS (SELECT DISTINCT s FROM k), mg AS (SELECT s, {_GRAMS('s')} AS g FROM m), ag AS (SELECT s, {_GRAMS('s')} AS g FROM a),
+        me AS (SELECT s, len(g) AS n, unnest(g) AS g FROM mg), ae AS (SELECT s, len(g) AS n, unnest(g) AS g FROM ag), j AS (SELECT me.s AS mention, ae.s AS alias, count(*) / (me.n + ae.n - count(*)) AS sc FROM me JOIN ae USING (g) GROUP BY me.s, ae.s, me.n, ae.n),
+        b AS (SELECT mention, e AS entity, round(max(sc), 6) AS score FROM j JOIN k ON k.s = alias WHERE sc >= 0.6 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, entity) AS rank FROM b) SELECT * FROM r WHERE rank <= 5""",
+    "content_recommend": """WITH x AS (SELECT o_custkey, l_partkey, l_quantity AS w, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 1 AND p_partkey % 10 = 0), p AS (SELECT o_custkey, p_brand, sum(w) AS w FROM x GROUP BY 1, 2), n AS (SELECT o_custkey, sqrt(sum(w * w)) AS n FROM p GROUP BY 1),
+        i AS (SELECT DISTINCT l_partkey, p_brand FROM x), s AS (SELECT o_custkey, l_partkey, w / n AS score FROM p JOIN n USING (o_custkey) JOIN i USING (p_brand) ANTI JOIN x USING (o_custkey, l_partkey)), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, l_partkey) AS rank FROM s) SELECT o_custkey, l_partkey, round(score, 6) AS score, rank FROM r WHERE rank <= 3""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
