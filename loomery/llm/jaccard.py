@@ -16,8 +16,10 @@ of one document only (their signatures are left out, nobody can share them). Bot
 documents; they are broadcast within stated bounds, and beyond these left out.
 
 Links are found for components, not for all pairs: sets that are equal are one node; members of a list are first
-verified against two of its members; only pairs of one list that are still in different components are then verified
-one by one. Every pair that shares a signature ends up verified or in one component.
+verified against two of its members. What is still apart in a list is compared by parity sketches, whose differing bits
+are a lower bound of differing tokens: short lists by a join, long ones in blocks inside tasks, which first give back
+the nearest pairs that connect what they have, then all pairs of different components that sketches can't rule out.
+Every pair that shares a signature ends up verified, ruled out, or in one component.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ from loomery.session import stage_table
 FREQUENT = 8
 #: Tokens in this many documents or more are signed in pairs; 16 times as many: in triples.
 PAIRED = 64
-#: Bits of the parity sketch by which pairs are ruled out before their sets are compared.
-SKETCH_BITS = 1024
+#: Parity sketches, by which pairs are ruled out before their sets are compared: bits for each token, and at least.
+BITS_PER_TOKEN, LEAST_BITS = 4, 1024
+#: Lists of more members are compared in blocks of so many, by their sketches, inside tasks that give back few pairs.
+SMALL_LIST, BLOCK = 16, 1000
 #: Bounds of what is sent to every executor.
 MAX_FREQUENT_TOKENS = 2_000_000
 MAX_BITMAP_BYTES = 64 << 20
@@ -252,7 +256,8 @@ def sketch_table(docs: DataFrame, k: int, ids: DataFrame, key: str) -> DataFrame
             n, bits = [], []
             for s in shingle_sets(batch["text"].tolist(), k):
                 n.append(len(s))
-                odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                size = max(LEAST_BITS, 1 << (BITS_PER_TOKEN * len(s) - 1).bit_length())
+                odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pd.DataFrame({key: batch[key], "n": n, "bits": bits})
 
@@ -264,14 +269,71 @@ def _fitting(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
+def _folded(bits, to):
+    """A sketch of twice the size of another, folded to its size; else itself."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.when(F.size(bits) == 2 * F.size(to), F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, key: str) -> DataFrame:
     """Pairs whose sketches don't rule them out: sets differ at least in as many tokens as their sketches in bits."""
     left, right = (sketches.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = both.withColumns({"_a": _folded(F.col("bits_a"), F.col("bits_b")), "_b": _folded(F.col("bits_b"), F.col("bits_a"))}).filter(F.size("_a") == F.size("_b"))
+    differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
 
 
+def _near_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[np.ndarray], percent: int, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of different components that their sketches don't rule out; with ``forest`` only what connects, nearest first."""
+    found = []
+    size = np.array([len(x) for x in bits])
+    for width in np.unique(size):
+        own, wide = np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)
+        mine = np.stack([bits[i] for i in own])
+        other = np.concatenate([mine, np.stack([bits[i][:width] ^ bits[i][width:] for i in wide])]) if len(wide) else mine
+        at = np.concatenate([own, wide])
+        for r, i in enumerate(own):
+            differ = np.bitwise_count(other[r + 1 :] ^ mine[r]).sum(axis=1, dtype=np.int64)
+            j = at[r + 1 :]
+            ok = (differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)) & (component[i] != component[j])
+            found += [(int(d), int(i), int(k)) for d, k in zip(differ[ok], j[ok])]
+    if not forest:
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for _, i, j in found]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out = []
+    for _, i, j in sorted(found):
+        x, y = root(int(component[i])), root(int(component[j]))
+        if x != y:
+            parent[x] = y
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def pairs_in_blocks(members: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int, key: str, forest: bool) -> DataFrame:
+    """Pairs ``a``, ``b`` of the long lists of ``members``, by sketch. A list is dealt into blocks, and each two blocks meet in a task.
+
+    A task holds two blocks of a list at most, and gives back pairs that are all but verified.
+    """
+    dealt = members.join(sizes, "sig").withColumn("_blocks", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").cast("int")).withColumn("_i", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    met = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select("sig", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), key, "component").join(sketches, key)
+
+    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = [np.asarray(x, np.int64).view(np.uint64) for x in rows["bits"]]
+        pairs = _near_pairs(rows[key].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), bits, percent, forest)
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("sig", "_lo", "_hi").applyInPandas(run, "a long, b long").filter("a < b").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str) -> DataFrame:
     """Of the pairs ``a``, ``b`` those with ``100 * intersection >= percent * union``, by their whole sets."""
     ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "ids")
@@ -335,20 +397,26 @@ def link_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "
     links = classes.join(known, "fp").filter(F.col("rep") != F.col(key)).select(F.col("rep").alias("a"), F.col(key).alias("b"))
     found = [links.join(known.groupBy(key).agg(F.count_distinct("fp").alias("c")).filter("c > 1").withColumnRenamed(key, "b").select("b"), "b", "left_semi").select("a", "b")]
     components = None
-    for choose in (F.min, F.max, None):
-        if choose is not None:
-            pairs = _star(members, choose, percent, key)
+    for step in ("least", "greatest", "forest", "rest"):
+        if step in ("least", "greatest"):
+            likely = plausible(_star(members, F.min if step == "least" else F.max, percent, key), sketches, percent, key)
         else:
-            other = members.select("sig", F.col(key).alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            mine = members.select("sig", F.col(key).alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            pairs = mine.join(other, "sig").filter("a < b AND c_a <> c_b").filter(_fitting(percent)).select("a", "b").distinct()
-        likely = stage_table(plausible(pairs, sketches, percent, key), "pairs")
+            lengths = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+            likely = pairs_in_blocks(members, lengths.filter(F.col("c") > SMALL_LIST), sketches, percent, key, step == "forest")
+            if step == "rest":
+                few = members.join(lengths.filter(F.col("c") <= SMALL_LIST).select("sig"), "sig")
+                other = few.select("sig", F.col(key).alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+                mine = few.select("sig", F.col(key).alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+                short = mine.join(other, "sig").filter("a < b AND c_a <> c_b").filter(_fitting(percent)).select("a", "b").distinct()
+                likely = likely.unionByName(plausible(short, sketches, percent, key)).distinct()
+        likely = stage_table(likely, "pairs")
         found.append(stage_table(verified(likely, docs, k, percent, key), "links"))
         edges = found[0]
         for x in found[1:]:
             edges = edges.unionByName(x)
         components = stage_table(connected_components(edges, "a", "b"), "components")
-        members = _labelled(members, components, key)
+        if step != "rest":
+            members = _labelled(members, components, key)
 
     return (
         sizes.join(classes, "fp", "left")

@@ -221,6 +221,8 @@ def test_jaccard_with_frequent_tokens(spark, monkeypatch):
     """Combinations of two and three tokens decide when almost all tokens are frequent."""
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
     monkeypatch.setattr(jaccard, "PAIRED", 2)
+    monkeypatch.setattr(jaccard, "SMALL_LIST", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
     rng = random.Random(4)
     pool = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(30)) for _ in range(6)]
     texts = {}
