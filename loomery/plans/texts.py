@@ -190,8 +190,8 @@ SQL = {
     "cooccurrence_graph": r"WITH m AS (SELECT DISTINCT doc_id, e FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z]{4,})(?:$|[^A-Za-z])', 1)) AS e FROM documents) WHERE length(e) <= 6) SELECT x.e AS a, y.e AS b, count(*) AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2",
     "sentence_chunks": r"""WITH s AS (SELECT doc_id, list_filter(flatten(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: string_split(regexp_replace(trim(p), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))), lambda x: trim(x) <> '') AS s FROM documents)
         SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS i, unnest(s) AS sentence FROM s""",
-    "lexical_rerank": f"""WITH {_BM}, c AS (SELECT query, doc, {_LONG('b.text')} AS q0, {_LONG('d.text')} AS p FROM bm JOIN benchmark b ON b.item_id = query JOIN documents d ON d.doc_id = doc WHERE rank <= 5), x AS (SELECT query, doc, list_distinct(q0) AS q, p, count(*) OVER (PARTITION BY query) AS n FROM c),
-        t AS (SELECT query, doc, p, n, unnest(q) AS t FROM x), h AS (SELECT *, list_contains(p, t) AS has, list_contains(p[1 : greatest(1, len(p) // 4)], t) AS early, len(list_filter(p, lambda w: w = t)) / len(p) AS tf FROM t), i AS (SELECT *, ln(1 + n / (1 + sum(has::INT) OVER (PARTITION BY query, t))) AS idf FROM h),
+    "lexical_rerank": f"""WITH {_BM}, c AS (SELECT query, doc, {_LONG('b.text')} AS q0, {_LONG('d.text')} AS p FROM bm JOIN benchmark b ON b.item_id = query JOIN documents d ON d.doc_id = doc WHERE rank <= 5), lx AS (SELECT query, doc, list_distinct(q0) AS q, p, count(*) OVER (PARTITION BY query) AS n FROM c),
+        lt AS (SELECT query, doc, p, n, unnest(q) AS t FROM lx), h AS (SELECT *, list_contains(p, t) AS has, list_contains(p[1 : greatest(1, len(p) // 4)], t) AS early, len(list_filter(p, lambda w: w = t)) / len(p) AS tf FROM lt), i AS (SELECT *, ln(1 + n / (1 + sum(has::INT) OVER (PARTITION BY query, t))) AS idf FROM h),
         a AS (SELECT query, doc, avg(has::INT) AS cov, sum(CASE WHEN has THEN tf * idf ELSE 0 END) AS tfs, avg(idf) AS idf, avg(early::INT) AS pos FROM i GROUP BY 1, 2)
         SELECT query, doc, round(cov, 5) AS coverage, round(least(1, tfs / (idf + 1e-9)), 5) AS tf_score, round(pos, 5) AS position, round(0.5 * cov + 0.35 * least(1, tfs / (idf + 1e-9)) + 0.15 * pos, 5) AS rerank_score FROM a""",
     "entity_linking": f"""WITH m AS (SELECT DISTINCT lower(p_name) AS s FROM part WHERE p_partkey <= 200), k AS (SELECT p_name AS s, p_partkey AS e FROM part), a AS (SELECT DISTINCT s FROM k), mg AS (SELECT s, {_GRAMS('s')} AS g FROM m), ag AS (SELECT s, {_GRAMS('s')} AS g FROM a),
