@@ -73,10 +73,11 @@ def k_core(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
             lost = left.select("src").distinct().join(low.withColumnRenamed("id", "src"), "src", "left_anti").join(cut.select("src").distinct(), "src", "left_anti")
             out = out.unionByName(lost.select(F.col("src").alias("id"), F.lit(k).alias("core")))
             left = cut
-        elif deg.limit(1).count():
-            k += 1
         else:
-            break
+            least = deg.agg(F.min("d")).first()[0]
+            if least is None:
+                break
+            k = int(least)
     return out.groupBy("id").agg(F.max("core").alias("core")) if out is not None else edges.select(F.col("src").alias("id"), F.lit(0).alias("core")).limit(0)
 
 

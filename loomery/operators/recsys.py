@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.blocks import over_block_pairs
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -47,9 +49,13 @@ def content_scores(df: DataFrame, user: str, item: str, weight: str, attribute:
     """Cosine of each user's weighted profile of an attribute with items that have one value each; seen items left out."""
     profile = df.groupBy(user, attribute).agg(F.sum(weight).alias("_w"))
     norms = profile.groupBy(user).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    items = df.select(item, attribute).distinct()
-    scored = profile.join(norms, user).withColumn("score", F.col("_w") / F.col("_n")).join(items, attribute).select(user, item, "score")
-    fresh = scored.join(df.select(user, item).distinct(), [user, item], "left_anti")
+    seen = df.select(user, item, attribute).distinct()
+    # items of a value score alike and go by id: with b of them seen, the first k + b hold the k best unseen ones
+    bought = seen.groupBy(user, attribute).agg(F.count(F.lit(1)).alias("_b"))
+    items = df.select(item, attribute).distinct().withColumn("_at", F.row_number().over(Window.partitionBy(attribute).orderBy(item)))
+    asked = profile.join(norms, user).join(bought, [user, attribute]).withColumn("score", F.col("_w") / F.col("_n")).withColumn("_at", F.explode(F.sequence(F.lit(1), (F.col("_b") + k).cast("int"))))
+    scored = asked.join(items, [attribute, "_at"]).select(user, item, "score")
+    fresh = scored.join(seen.select(user, item), [user, item], "left_anti")
     return top_k(fresh, [user], [F.desc("score"), F.col(item)], k)
 
 
@@ -83,18 +89,67 @@ def thompson(posteriors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return posteriors.withColumn("draw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), draw))).orderBy(F.desc("draw"), "arm").limit(k)
 
 
+def _first_k(distance: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` least entries of each row, the first of equals; entries at ``own`` are left out."""
+    distance = np.where(own, np.inf, distance)
+    at = np.argsort(distance, axis=1, kind="stable")[:, : k + 1]
+    row = np.repeat(np.arange(len(at)), at.shape[1])
+    at = at.ravel()
+    keep = ~own[row, at]
+    return row[keep], at[keep]
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, places: int = 6) -> DataFrame:
+    """The ``k`` nearest other rows of every row by cosine, rounded to ``places``: ``q``, ``key``, ``rank``, ``cos``; ties by key.
+
+    All pairs count. They are compared in blocks inside tasks, and only the best of each block leave them.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def unit(frame: pd.DataFrame) -> np.ndarray:
+        v = np.stack(frame["v"].to_numpy())
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", ignore_index=True)
+        left, right, ids, out = unit(a), unit(b), b["id"].to_numpy(), []
+        for i in range(0, len(a), 256):
+            asked = a["id"].to_numpy()[i : i + 256]
+            cos = np.round(left[i : i + 256] @ right.T, places)
+            row, at = _first_k(-cos, asked[:, None] == ids[None, :], k)
+            out.append(pd.DataFrame({"q": asked[row], "id": ids[at], "cos": cos[row, at] + 0.0}))
+        return pd.concat(out)
+
+    found = over_block_pairs(rows, rows, "id", "id", run, f"q {kind}, id {kind}, cos double")
+    return top_k(found, ["q"], [F.desc("cos"), F.col("id")], k).select("q", F.col("id").alias(key), "rank", "cos")
+
+
 def comparables(df: DataFrame, subjects: DataFrame, key: str, features: dict[str, float], price: str, k: int = 5) -> DataFrame:
-    """The ``k`` nearest rows of each subject by weighted min-max distance; ``subjects`` is a bounded table of keys."""
+    """The ``k`` nearest rows of each subject by weighted min-max distance; ``subjects`` is a table of keys, of any size.
+
+    All pairs are compared, in blocks inside tasks. Rows that lack a feature come last.
+    """
     low = df.agg(*[F.min(c).alias(f"lo_{c}") for c in features], *[F.max(c).alias(f"hi_{c}") for c in features])
     scaled = df.crossJoin(F.broadcast(low)).select(  # one row
-        key, price, *[(w * (F.col(c) - F.col(f"lo_{c}")) / F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 1.0).otherwise(F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(f"f_{c}") for c, w in features.items()]
+        key, F.col(price).alias("_price"), F.array(*[(w * (F.col(c) - F.col(f"lo_{c}")) / F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 1.0).otherwise(F.col(f"hi_{c}") - F.col(f"lo_{c}"))).cast("double") for c, w in features.items()]).alias("f")
     )
-    asked = scaled.join(F.broadcast(subjects.select(key)), key).select(F.col(key).alias("subject"), *[F.col(f"f_{c}").alias(f"s_{c}") for c in features])
-    d2 = F.lit(0.0)
-    for c in features:
-        d2 = d2 + (F.col(f"f_{c}") - F.col(f"s_{c}")) * (F.col(f"f_{c}") - F.col(f"s_{c}"))
-    pairs = scaled.join(F.broadcast(asked), F.col(key) != F.col("subject")).withColumn("distance", F.sqrt(d2))
-    return top_k(pairs, ["subject"], [F.round("distance", 9), F.col(key)], k).select("subject", key, "rank", "distance", F.exp(-F.col("distance")).alias("similarity"), price)
+    asked = scaled.join(subjects.select(key).distinct(), key).select(F.col(key).alias("subject"), F.col("f").alias("s"))
+    kind = scaled.schema[key].dataType.simpleString()
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(key, ignore_index=True)
+        left, right, ids, out = np.stack(a["s"].to_numpy()).astype(float), np.stack(b["f"].to_numpy()).astype(float), b[key].to_numpy(), []
+        for i in range(0, len(a), 256):
+            names, part = a["subject"].to_numpy()[i : i + 256], left[i : i + 256]
+            far = np.sqrt(sum((part[:, None, c] - right[None, :, c]) ** 2 for c in range(right.shape[1])))
+            row, at = _first_k(np.round(far, 9), names[:, None] == ids[None, :], k)
+            out.append(pd.DataFrame({"subject": names[row], key: ids[at], "distance": far[row, at]}))
+        return pd.concat(out)
+
+    pairs = over_block_pairs(asked, scaled.select(key, "f"), "subject", key, run, f"subject {kind}, `{key}` {kind}, distance double")
+    best = top_k(pairs, ["subject"], [F.round("distance", 9).asc_nulls_last(), F.col(key)], k).join(scaled.select(key, F.col("_price").alias(price)) if price != key else scaled.select(key), key)
+    return best.select("subject", key, "rank", "distance", F.exp(-F.col("distance")).alias("similarity"), price)
 
 
 def mmr(df: DataFrame, group: str, item: str, relevance: str, vector: str, k: int = 10, lam: float = 0.7) -> DataFrame:

@@ -81,7 +81,7 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, q
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats)  # one row
     idf = F.greatest(F.lit(0.0), F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = postings.join(df, "term").withColumn("w", weight).join(q, "term").groupBy("query", "doc").agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
+    scored = postings.join(df, "term").withColumn("w", weight).filter("w > 0").join(q, "term").groupBy("query", "doc").agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
     return top_k(scored, ["query"], [F.desc("score"), F.col("doc")], k)
 
 
@@ -170,14 +170,26 @@ def jaccard(a: Column, b: Column) -> Column:
 def link_entities(mentions: DataFrame, mention: str, aliases: DataFrame, alias: str, entity: str, least: float = 0.5, k: int = 5) -> DataFrame:
     """The ``k`` best entities of each mention by n-gram Jaccard of the best alias, at ``least`` or more.
 
-    Candidates share an n-gram with the mention: they come from a join on n-grams, counted, not from all pairs.
+    Two sets with an index of ``least`` share one of their first ``n - ceil(least * n) + 1`` n-grams, the rarest first.
+    Candidates come from a join on these and are verified on the whole sets.
     """
     grams = lambda df, c: df.select(F.col(c).alias("s")).distinct().withColumn("_g", trigrams(F.col("s")))
     m, a = grams(mentions, mention), grams(aliases, alias)
-    left = m.select(F.col("s").alias("mention"), F.size("_g").alias("nm"), F.explode("_g").alias("g"))
-    right = a.select(F.col("s").alias("alias"), F.size("_g").alias("na"), F.explode("_g").alias("g"))
-    near = left.join(right, "g").groupBy("mention", "alias", "nm", "na").agg(F.count(F.lit(1)).alias("c"))
-    scored = near.select("mention", "alias", (F.col("c") / (F.col("nm") + F.col("na") - F.col("c"))).alias("score")).filter(F.col("score") >= least)
+    counts = a.select(F.explode("_g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("_k"))
+
+    def first(df: DataFrame) -> DataFrame:
+        # a hair more than the bound, so that rounding never drops one
+        most = F.size("_g") - F.ceil(F.size("_g") * least - 1e-9) + 1
+        long = df.select("s", F.size("_g").alias("n"), F.least(F.size("_g"), most).alias("_p"), F.explode("_g").alias("g")).join(counts, "g", "left")
+        at = F.row_number().over(Window.partitionBy("s").orderBy(F.coalesce("_k", F.lit(0)), "g"))
+        return long.withColumn("_at", at).filter("_at <= _p").select("s", "n", "g")
+
+    left, right = first(m).select(F.col("s").alias("mention"), F.col("n").alias("nm"), "g"), first(a).select(F.col("s").alias("alias"), F.col("n").alias("na"), "g")
+    fits = (F.col("nm") >= F.col("na") * least - 1e-9) & (F.col("na") >= F.col("nm") * least - 1e-9)
+    near = left.join(right, "g").filter(fits).select("mention", "alias").distinct()
+    sets = near.join(m.select(F.col("s").alias("mention"), F.col("_g").alias("gm")), "mention").join(a.select(F.col("s").alias("alias"), F.col("_g").alias("ga")), "alias")
+    c = F.size(F.array_intersect("gm", "ga"))
+    scored = sets.select("mention", "alias", (c / (F.size("gm") + F.size("ga") - c)).alias("score")).filter(F.col("score") >= least)
     best = scored.join(aliases.select(F.col(alias).alias("alias"), F.col(entity).alias("entity")), "alias").groupBy("mention", "entity").agg(F.round(F.max("score"), 6).alias("score"))
     return top_k(best, ["mention"], [F.desc("score"), F.col("entity")], k)
 

@@ -130,7 +130,7 @@ def gini_concentration(s, d):
 
 def comps_knn(s, d):
     p = table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), "p_retailprice")
-    out = recsys.comparables(p, p.filter("p_partkey <= 20"), "p_partkey", {"size": 1.0, "p_retailprice": 2.0}, "p_retailprice")
+    out = recsys.comparables(p, p, "p_partkey", {"size": 1.0, "p_retailprice": 2.0}, "p_retailprice")
     return _r(out.drop("similarity"), 6, "distance")
 
 
