@@ -36,8 +36,9 @@ def _closed(sm: Column, x: Column, i: Column) -> tuple[Column, list[Column]]:
 def anchors(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``anchors``: structs of ``pos`` (the word at which a closed syncmer starts, from 0) and ``hash``, in order.
 
-    For positional matching of passages between documents. Texts of fewer than ``K`` words have one anchor, of all
-    their words; texts without words (null, empty) have none.
+    For positional matching of passages between documents. Texts with words but without a closed syncmer (under
+    ``K`` words, and some of ``K`` or ``K + 1``) have one anchor, of all their words; texts without words (null, empty)
+    have none.
     """
     step = docs.withColumn("_w", words(text)).withColumn("_h", _word_hashes(F.col("_w"))).withColumn("_sm", _smer_hashes(F.col("_h")))
 
@@ -47,9 +48,9 @@ def anchors(docs: DataFrame, text: str = "text") -> DataFrame:
 
     found = F.filter(F.transform("_sm", place), lambda a: a.isNotNull())
     short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64("_h").alias("hash")))
-    return step.withColumn(
-        "anchors", F.when(F.size("_w") >= K, found).when(F.size("_w") > 0, short).otherwise(F.slice(short, 1, 0))
-    ).drop("_w", "_h", "_sm")
+    return step.withColumn("_found", found).withColumn(
+        "anchors", F.when((F.size("_found") == 0) & (F.size("_w") > 0), short).otherwise(F.col("_found"))
+    ).drop("_w", "_h", "_sm", "_found")
 
 
 def with_sketch(docs: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:
@@ -65,9 +66,10 @@ def with_sketch(docs: DataFrame, text: str = "text", out: str = "sketch") -> Dat
 
     found = F.sort_array(F.array_distinct(F.array_compact(F.transform("_sm", pick))))
     short = F.array(low(F.xxhash64("_h")))
-    return step.withColumn(
-        out, F.when(F.size("_h") >= K, F.slice(found, 1, SKETCH)).when(F.size("_h") > 0, short).otherwise(F.slice(short, 1, 0))
-    ).drop("_h", "_sm")
+    # a text with words has an anchor: that of all its words where no syncmer is closed
+    return step.withColumn("_found", F.slice(found, 1, SKETCH)).withColumn(
+        out, F.when((F.size("_found") == 0) & (F.size("_h") > 0), short).otherwise(F.col("_found"))
+    ).drop("_h", "_sm", "_found")
 
 
 def fingerprint(sketch: Column) -> Column:
