@@ -7,7 +7,7 @@ drops documents so that sources come near their target weights; encoding turns t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.llm import jaccard, language, lines, mixing, pieces
@@ -35,18 +35,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least id of each component of texts with a Jaccard index of 0.8 or more over 5-word shingles."""
-    components = jaccard.link_components(docs, percent=80, k=5)
-    gone = stage_table(components.filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each component of texts with a Jaccard index of 0.8 or more over 5-word shingles.
+
+    It is that of the least id, null last, then of the least text digest, source and language. Rows are told apart by a
+    number of their own, fixed by writing it, so null and repeated ids are judged like others.
+    """
+    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    components = stage_table(jaccard.link_components(rows, percent=80, k=5, key="_row").select("_row", "component_id"), "row-components")
+    grouped = components.join(components.filter("_row <> component_id").select("component_id").distinct(), "component_id")
+    names = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5("text").alias("text"), "source", "lang", "_row").alias("name"))
+    named = stage_table(grouped.join(names, "_row"), "row-names")
+    kept = named.groupBy("component_id").agg(F.min("name")["_row"].alias("_row"))
+    gone = stage_table(named.select("_row").join(kept.select("_row"), "_row", "left_anti"), "duplicates")
+    return rows.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources come near their targets: as often as the mix takes their words, rounded."""
-    sized = stage_table(docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size")), "mix-sizes")
-    taken = mixing.mix(sized)
-    times = taken.filter("size > 0").groupBy("doc_id").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_times")).filter("_times > 0")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Repeat or drop documents so that sources come near their targets: as often as the mix takes their words, rounded.
+
+    Rows go by a digest of all their columns, null or not. Equal rows share one and are mixed each for itself; as they
+    can't be told apart, the sum of their times is dealt out among them.
+    """
+    keyed = docs.withColumn("_key", F.md5(F.to_json(F.struct(*[c for c in docs.columns if c != "text"], F.md5("text").alias("text")))))
+    sized = stage_table(keyed.select("_key", "source", F.size(words("text")).cast("long").alias("size")), "mix-sizes")
+    taken = mixing.mix(sized, key="_key").filter("size > 0")
+    times = taken.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("_sum")).filter("_sum > 0")
+    ranked = keyed.join(times, "_key").withColumn("_at", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    shared = ranked.withColumn("_times", F.expr("cast(_sum div _rows + if(_at <= _sum % _rows, 1, 0) AS int)")).filter("_times > 0")
+    return shared.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus operators do the whole job: short texts, null and repeated ids, every language."""
 
+import corpus_pipeline
 from loomery.llm import fingerprints
 
 
@@ -14,3 +15,24 @@ def test_texts_of_five_and_six_words_have_fingerprints(spark):
     assert got[100].near_next == 0.0  # an empty text before one of words
     anchors = {r.doc_id: r.anchors for r in fingerprints.anchors(df).collect()}
     assert all(anchors[i] for i in range(len(texts))) and anchors[100] == anchors[101] == []
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _text(seed, n=40):
+    return " ".join(f"w{seed}x{j}" for j in range(n))
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c, d = (_text(s) for s in "abcd")
+    rows = [(5, a), (5, a), (None, a + " more"), (None, b), (None, b), (7, c), (7, d), (3, c), (None, "one two"), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    got = sorted([(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()], key=repr)
+    assert got == sorted([(5, a), (None, b), (3, c), (7, d), (None, "one two"), (9, "")], key=repr)
+
+
+def test_mixing_keeps_null_and_repeated_rows(spark):
+    rows = [(None, _text(i), "en", "s", 1) for i in range(20)] + [(1, _text("z"), None, "s", None)] * 3 + [(1, _text("y"), "en", "s", 1)]
+    got = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))  # one source: its target is its size
