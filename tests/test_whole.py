@@ -104,3 +104,16 @@ def test_long_mentions_and_late_parts(spark, tmp_path):
         want |= {(n, j, -s, k + 1) for k, (s, j) in enumerate(sorted(near)[:5])}
     got = catalogue.queries()["entity_linking"](spark, str(tmp_path)).collect()
     assert {(r.mention, r.entity, r.score, r["rank"]) for r in got} == want and len({r.mention for r in got}) == 300
+
+
+def test_mmd_sums_over_all_rows(spark):
+    import numpy as np
+
+    from loomery.operators import drift
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2300, 3)), np.vstack([rng.normal(size=(2100, 3)), rng.normal(4, 1, (300, 3))])
+    side = lambda v: spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(v)], "id long, v array<double>")
+    mean = lambda p, q: np.exp(-0.2 * ((p[:, None, :] - q[None, :, :]) ** 2).sum(2)).mean()
+    want = mean(x, x) + mean(y, y) - 2 * mean(x, y)
+    assert drift.mmd_rbf(side(x), side(y), "v", 0.2).first().mmd == pytest.approx(want, abs=1e-9)
