@@ -7,6 +7,7 @@ of each language, counted over the whole corpus. A text is kept if, for some lan
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ COMMON = r"[\p{Ll}\x20\x09-\x0D]"
 #: Common words are short: the most frequent ones of so many bytes at most.
 COMMON_BYTES = 6
 WINDOW = 8
+#: Up to so many references are compared one by one in the plan, which is quicker; more as one constant array.
+UNROLLED = 16
 
 
 def _removed(text: Column, pattern: str) -> Column:
@@ -106,24 +109,23 @@ def js_distance(shares: Column, entropy: Column, reference: list[float]) -> Colu
     return F.sqrt(F.greatest(F.lit(0.0), _entropy(mean) - (entropy + own) / 2))
 
 
-def references(featured: DataFrame, n_common: int = 8, max_langs: int = 16) -> list[dict]:
-    """The pooled references of each language, counted over all rows of ``featured`` (``lang``, ``_words``, ``_classes``).
+def references(featured: DataFrame, n_common: int = 8) -> list[dict]:
+    """The pooled references of every language, counted over all rows of ``featured`` (``lang``, ``_words``, ``_classes``).
 
-    What reaches the driver is bounded by the parameters: the ``max_langs`` languages with most characters, each with
-    its ``n_common`` most frequent words and a histogram of the classes. Null languages make no reference.
+    What reaches the driver is one row a language, with its ``n_common`` most frequent words and a histogram of the
+    classes. Null languages make no reference.
     """
     named = featured.filter("lang IS NOT NULL")
     n = len(CLASSES)
     pooled = named.groupBy("lang").agg(*[F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(n)])
-    langs = pooled.orderBy(F.desc(f"c{n - 1}"), "lang").limit(max_langs).collect()
+    langs = sorted(pooled.collect(), key=lambda x: x["lang"])
     # words that are too long to be common are counted together
     short = F.when(F.octet_length("word") <= COMMON_BYTES, F.col("word"))
     counted = stage_table(named.select("lang", F.explode("_words").alias("word")).groupBy("lang", short.alias("word")).agg(F.count(F.lit(1)).alias("n")), "words")
-    named_langs = F.col("lang").isin([x["lang"] for x in langs])
-    totals = {x["lang"]: x["n"] for x in counted.filter(named_langs).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {x["lang"]: x["n"] for x in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top: dict[str, list] = {}
-    for x in counted.filter(named_langs & F.col("word").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= n_common).orderBy("lang", "rank").collect():
+    for x in counted.filter(F.col("word").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= n_common).orderBy("lang", "rank").collect():
         top.setdefault(x["lang"], []).append((x["word"], x["n"] / totals[x["lang"]]))
     out = []
     for x in langs:
@@ -137,6 +139,27 @@ def references(featured: DataFrame, n_common: int = 8, max_langs: int = 16) -> l
     return out
 
 
+def _distances_from_table(refs: list[dict]) -> tuple[Column, Column]:
+    """Least class and word distance over any number of references, held as one constant array of the plan."""
+    bits = lambda shares: -sum(q * math.log2(q) for q in shares if q > 0)
+    rows = [{**r, "class_bits": bits(r["classes"]), "word_bits": bits(r["word_shares"])} for r in refs]
+    kind = "array<struct<classes: array<double>, words: array<string>, word_shares: array<double>, class_bits: double, word_bits: double>>"
+    table = F.from_json(F.lit(json.dumps(rows)), kind)
+
+    def distance(shares: Column, reference: Column, own: Column) -> Column:
+        mean = F.zip_with(shares, reference, lambda p, q: (p + q) / 2)
+        return F.sqrt(F.greatest(F.lit(0.0), _entropy(mean) - (_entropy(shares) + own) / 2))
+
+    def seen(r: Column) -> Column:
+        gone = lambda w: F.col("_size") - F.octet_length(F.replace(F.col("_line"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
+        part = F.transform(r["words"], lambda w: gone(w) / (F.octet_length(w) + 2) / F.greatest(F.col("n_words"), F.lit(1)))
+        return F.concat(part, F.array(F.lit(1.0) - F.aggregate(part, F.lit(0.0), lambda a, x: a + x)))
+
+    by_class = F.transform(table, lambda r: distance(F.col("_shares"), r["classes"], r["class_bits"]))
+    by_word = F.transform(table, lambda r: distance(seen(r), r["word_shares"], r["word_bits"]))
+    return F.array_min(by_class), F.array_min(by_word)
+
+
 def judge(
     featured: DataFrame, refs: list[dict], max_class: float = 0.32, max_word: float = 0.40, min_chars: int = 200, min_words: int = 50
 ) -> DataFrame:
@@ -156,24 +179,28 @@ def judge(
             "_line": F.concat(F.lit(" "), F.array_join(F.filter("_words", lambda w: w.isin(some)), "  "), F.lit(" ")),
         }
     ).withColumns({"_entropy": _entropy(F.col("_shares")), "_size": F.octet_length("_line").cast("double")})
-    for k, ref in enumerate(refs):
+    unrolled = refs if len(refs) <= UNROLLED else []
+    for k, ref in enumerate(unrolled):
         each = [(F.col("_size") - F.octet_length(F.replace(F.col("_line"), F.lit(f" {w} "), F.lit("")))) / float(len(w.encode()) + 2) for w in ref["words"]]
         step = step.withColumn(f"_seen{k}", F.array(*each) if each else F.array().cast("array<double>"))
-    for k in range(len(refs)):
+    for k in range(len(unrolled)):
         part = F.transform(f"_seen{k}", lambda c: c / F.greatest(F.col("n_words"), F.lit(1)))
         step = step.withColumn(f"_seen{k}", F.concat(part, F.array(F.lit(1.0) - F.aggregate(part, F.lit(0.0), lambda a, x: a + x))))
-    step = step.withColumns({f"_bits{k}": _entropy(F.col(f"_seen{k}")) for k in range(len(refs))})
-    by_class = [js_distance(F.col("_shares"), F.col("_entropy"), r["classes"]) for r in refs]
-    by_word = [js_distance(F.col(f"_seen{k}"), F.col(f"_bits{k}"), r["word_shares"]) for k, r in enumerate(refs)]
+    if unrolled:
+        step = step.withColumns({f"_bits{k}": _entropy(F.col(f"_seen{k}")) for k in range(len(refs))})
+        by_class = F.array_min(F.array(*[js_distance(F.col("_shares"), F.col("_entropy"), r["classes"]) for r in refs]))
+        by_word = F.array_min(F.array(*[js_distance(F.col(f"_seen{k}"), F.col(f"_bits{k}"), r["word_shares"]) for k, r in enumerate(refs)]))
+    else:
+        by_class, by_word = _distances_from_table(refs)
     out = step.withColumns(
         {
-            "class_distance": F.when(F.col("word_chars") >= min_chars, F.array_min(F.array(*by_class))),
-            "word_distance": F.when(F.col("n_words") >= min_words, F.array_min(F.array(*by_word))),
+            "class_distance": F.when(F.col("word_chars") >= min_chars, by_class),
+            "word_distance": F.when(F.col("n_words") >= min_words, by_word),
         }
     )
     fits = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= max_class) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= max_word)
     return out.withColumn("verdict", fits).drop(
-        "_shares", "_entropy", "_line", "_size", *[f"{x}{k}" for x in ("_seen", "_bits") for k in range(len(refs))]
+        "_shares", "_entropy", "_line", "_size", *[f"{x}{k}" for x in ("_seen", "_bits") for k in range(len(unrolled))]
     )
 
 
