@@ -9,30 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.session import stage_table
+from loomery.session import drop_staged, stage_table
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Return ``id`` and ``component``, the least id reachable, for every id with an edge to another.
 
-    Edges count in both directions; loops, repeats and null ends do nothing. No edges: no rows.
+    Edges count in both directions; loops, repeats and null ends do nothing. No edges: no rows. It goes on until a round
+    changes nothing. The joins are by node; a node with very many edges is split over tasks by adaptive execution.
     """
     current = stage_table(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u > v").distinct(), "edges"
     )
     signature = None
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u > v").distinct()
         small = large.join(_least_neighbour(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(small.select("u", F.col("_m").alias("v")))
-        current = stage_table(small.filter("u > v").distinct(), "edges")
+        before, current = current, stage_table(small.filter("u > v").distinct(), "edges")
+        drop_staged(before)
         now = current.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if signature == tuple(now):
+        if signature == tuple(now) or not now["n"]:
             break
         signature = tuple(now)
     # stars: every edge leads to the least id of its component
