@@ -9,14 +9,15 @@ a bounded sample of labelled documents; prediction takes every byte of every tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.llm.common import with_made_columns
+
 WIDTH = 64
 #: Windows that go through the network together.
 BLOCK = 2048
@@ -233,23 +234,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     ``und`` with score 0 if the text is null or has no letter, or without a model. Of equal scores the first language by
     name wins; scores are rounded to 6 places.
     """
-    base = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for batch in batches:
-            texts = [x if isinstance(x, str) and any(map(str.isalpha, x)) else None for x in batch["text"]]
-            if known is None or not any(texts):
-                yield batch.assign(lang_pred="und", score=0.0)
-                continue
-            p = document_probabilities(known, texts)
-            best = np.round(p, 6).argmax(axis=1)
+
+    def made(known: Model | None, texts: list[str | None]) -> dict:
+        texts = [x if x is not None and any(map(str.isalpha, x)) else None for x in texts]
+        if known is None or not any(texts):
+            named, score = ["und"] * len(texts), [0.0] * len(texts)
+        else:
+            p = np.round(document_probabilities(known, texts), 6)
+            best = p.argmax(axis=1)
             named = [known.langs[k] if t else "und" for k, t in zip(best, texts)]
-            yield batch.assign(lang_pred=named, score=[round(float(p[i, k]), 6) if texts[i] else 0.0 for i, k in enumerate(best)])
+            score = [float(p[i, k]) if texts[i] else 0.0 for i, k in enumerate(best)]
+        return {"lang_pred": pa.array(named, pa.string()), "score": pa.array(score, pa.float64())}
 
-    return base.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    # the weights are some tens of kilobytes and go along with the tasks
+    return with_made_columns(docs, "text", {"lang_pred": "string", "score": "double"}, lambda: model, made)
 
 
 def held_out(doc_id: str = "doc_id"):

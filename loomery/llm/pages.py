@@ -16,11 +16,12 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomery.llm.common import with_made_columns
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 LABEL = "data-content"
@@ -335,19 +336,13 @@ def extract(pages: DataFrame, model: TreeModel | None = None, source: str = "htm
 
     Other columns are kept; a column ``text`` or ``n_chars`` of the input is replaced. One row out for each row in.
     """
-    kept = [f for f in pages.schema.fields if f.name not in (source, "text", "n_chars")]
-    base = pages.select(*[f"`{f.name}`" for f in kept], source)
-    names = [f.name for f in kept]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-
-    known = model or default_model()  # a few kilobytes, sent along
+    known = model or default_model()  # some kilobytes, sent along
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [known.text(x) for x in batch[source]]
-            yield batch[names].assign(text=texts, n_chars=[len(x) for x in texts])
+    def made(tool: TreeModel, sources: list[str | None]) -> dict:
+        texts = [tool.text(x) for x in sources]
+        return {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
 
-    return base.mapInPandas(run, f"{schema}text string, n_chars long")
+    return with_made_columns(pages, source, {"text": "string", "n_chars": "bigint"}, lambda: known, made, without=(source,))
 
 
 def op7_pages(pages: DataFrame) -> DataFrame:

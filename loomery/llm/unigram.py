@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomery.llm.common import Remembered, with_made_columns
+
 MARK = "▁"
-MEMORY = 400_000
 
 
 class UnigramCounter:
@@ -35,7 +36,7 @@ class UnigramCounter:
         self.unknown = min(vocabulary.values()) - 10.0
         self.prefix = prefix
         self.apart = all(float(s).is_integer() for s in vocabulary.values()) and not any(MARK in p.lstrip(MARK) for p in vocabulary)
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known = Remembered(self.best)
 
     def best(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best path through a marked text."""
@@ -68,17 +69,9 @@ class UnigramCounter:
         if not self.apart:
             return self.best(marked)
         total, sum_ = 0, 0.0
-        known = self.known
-        for chunk in _chunks(marked):
-            found = known.get(chunk)
-            if found is None:
-                found = self.best(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[chunk] = found
-            total += found[0]
-            sum_ += found[1]
+        for n, score in map(self.known.__getitem__, _chunks(marked)):
+            total += n
+            sum_ += score
         return total, sum_
 
 
@@ -112,20 +105,21 @@ _COUNTERS: dict[str, UnigramCounter] = {}
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """Add ``n_tokens`` (long) and ``path_score`` (double) to ``docs``. Null text counts as empty: 0 and 0.
 
-    ``model_path``: a sentencepiece file whose pieces and scores are taken as a unigram vocabulary.
+    ``model_path``: a sentencepiece file whose pieces and scores are taken as a unigram vocabulary. One row out for each
+    row in, repeated rows too; columns of these names are replaced, others kept; no rows: no rows. Texts of any length
+    are counted whole, in one pass over them.
     """
-    base = docs.drop("n_tokens", "path_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tool() -> UnigramCounter:
         if model_path not in _COUNTERS:
             _COUNTERS[model_path] = UnigramCounter(read_vocabulary(model_path))
-        counter = _COUNTERS[model_path]
-        for batch in batches:
-            found = [counter.count(x or "") for x in batch["text"]]
-            yield batch.assign(n_tokens=[n for n, _ in found], path_score=[s for _, s in found])
+        return _COUNTERS[model_path]
+
+    def made(counter: UnigramCounter, texts: list[str | None]) -> dict:
+        found = [counter.count(x or "") for x in texts]
+        return {"n_tokens": pa.array([n for n, _ in found], pa.int64()), "path_score": pa.array([s for _, s in found], pa.float64())}
 
-    return base.mapInPandas(run, f"{schema}, n_tokens long, path_score double")
+    return with_made_columns(docs, "text", {"n_tokens": "bigint", "path_score": "double"}, tool, made)
 
 
 def op2_token_counts(docs: DataFrame, model_path: str) -> DataFrame:
