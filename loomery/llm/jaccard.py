@@ -15,27 +15,37 @@ What decides nothing about results, only about work: which tokens count as frequ
 of one document only (their signatures are left out, nobody can share them). Both come from exact counts over all
 documents; they are broadcast within stated bounds, and beyond these left out.
 
-Links are found for components, not for all pairs: sets that are equal are one node; members of a list are first
-verified against two of its members. What is still apart in a list is compared by parity sketches, whose differing bits
-are a lower bound of differing tokens: short lists by a join, long ones in blocks inside tasks, which first give back
-the nearest pairs that connect what they have, then all pairs of different components that sketches can't rule out.
+Lists that share their least member are one list, named by it: near copies share hundreds of signatures, and so meet
+once and not hundreds of times. Links are found for components, not for all pairs:
+
+- sets that are equal are one node;
+- each member of a list is verified against its least, then its greatest member, and a list with very many members in
+  other components against further members, as long as that still connects a good part of them;
+- what is still apart is compared by parity sketches, whose differing bits are a lower bound of differing tokens. In a
+  list the members of its largest component need not meet each other, only the others, the *strays*: short lists are
+  joined, long ones are dealt into blocks of strays and of the rest that meet inside tasks. They first give back the
+  nearest pairs that connect what they have; these are verified; then all pairs of different components that sketches
+  can't rule out. A list of ``c`` near copies costs about ``c`` rows.
+
 Every pair that shares a signature ends up verified, ruled out, or in one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.common import SLICE_BYTES, arrow_slices
 from loomery.llm.shingles import mix64, shingle_sets
 from loomery.operators.components import connected_components
-from loomery.session import stage_table
+from loomery.session import drop_staged, stage_table
 
 #: Tokens in this many documents or more come late in the order, by their frequency.
 FREQUENT = 8
@@ -43,8 +53,10 @@ FREQUENT = 8
 PAIRED = 64
 #: Parity sketches, by which pairs are ruled out before their sets are compared: bits for each token, and at least.
 BITS_PER_TOKEN, LEAST_BITS = 4, 1024
-#: Lists of more members are compared in blocks of so many, by their sketches, inside tasks that give back few pairs.
-SMALL_LIST, BLOCK = 16, 1000
+#: Lists of more members are compared in blocks of so many members or bytes of sketches, inside tasks.
+SMALL_LIST, BLOCK, BLOCK_BYTES = 16, 1000, 8 << 20
+#: Tokens of a slice of the token space, counted in one task.
+SLICE_TOKENS = 1_000_000
 #: Bounds of what is sent to every executor.
 MAX_FREQUENT_TOKENS = 2_000_000
 MAX_BITMAP_BYTES = 64 << 20
@@ -57,48 +69,57 @@ def required(n, percent: int):
 
 
 # -- passes over the texts -----------------------------------------------------------------------------------------
+def _over_sets(docs: DataFrame, k: int, schema: str, made: Callable[[pa.RecordBatch, list[np.ndarray]], dict | None], size: int = SLICE_BYTES) -> DataFrame:
+    """The columns ``schema`` that ``made`` gives for a slice of rows and their sets at a time."""
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in arrow_slices(batches, "text", size):
+            found = made(rows, list(shingle_sets(rows.column("text").cast(pa.binary()).to_pylist(), k)))
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([found[x] for x in names], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def set_table(docs: DataFrame, k: int, key: str) -> DataFrame:
     """Per row: ``key``, ``n_shingles`` and ``fp``, a 128-bit digest of its set (null for an empty set)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n, fp = [], []
-            for s in shingle_sets(batch["text"].tolist(), k):
-                n.append(len(s))
-                fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pd.DataFrame({key: batch[key], "n_shingles": n, "fp": fp})
+    def made(rows: pa.RecordBatch, sets: list[np.ndarray]) -> dict:
+        fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        return {key: rows.column(key), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array(fp, pa.binary())}
 
-    return docs.select(key, "text").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles long, fp binary")
+    return _over_sets(docs.select(key, "text"), k, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_shingles bigint, fp binary", made)
 
 
 def token_counts(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Document frequencies by slice (the token's first ``bits`` bits): a bitmap of repeated tokens, and frequent ones.
 
-    Tokens travel as packed 32-bit numbers, counted per batch; a token in many documents is a few numbers per batch.
+    Tokens travel as packed 32-bit numbers, counted per slice of texts; a token in many documents is a few numbers each.
     Columns: ``slice``, ``repeated`` (bitmap), ``tokens`` and ``counts`` (packed, of frequent tokens).
     """
     shift = np.uint64(32 - bits)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [s for s in shingle_sets(batch["text"].tolist(), k) if len(s)]
-            if not sets:
-                continue
-            short, n = np.unique(np.concatenate(sets) >> shift, return_counts=True)
-            cuts = np.searchsorted(short, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-            low, many = (short & np.uint64(0xFFFFFFFF)).astype(np.uint32), n > 1
-            rows = []
-            for s in range(1 << bits):
-                a, b = cuts[s], cuts[s + 1]
-                if b > a:
-                    part, more = low[a:b], many[a:b]
-                    rows.append((s, part[~more].tobytes(), part[more].tobytes(), n[a:b][more].astype(np.uint32).tobytes()))
-            yield pd.DataFrame(rows, columns=["slice", "once", "more", "n"])
+    def split(rows: pa.RecordBatch, sets: list[np.ndarray]) -> dict | None:
+        sets = [s for s in sets if len(s)]
+        if not sets:
+            return None
+        short, n = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+        high = (short >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(high, prepend=-1))
+        low, many = (short & np.uint64(0xFFFFFFFF)).astype(np.uint32), n > 1
+        out = {"slice": high[starts].astype(np.int32), "once": [], "more": [], "n": []}
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(low)]):
+            part, again = low[a:b], many[a:b]
+            out["once"].append(part[~again].tobytes())
+            out["more"].append(part[again].tobytes())
+            out["n"].append(n[a:b][again].astype(np.uint32).tobytes())
+        return {x: pa.array(v, pa.int32() if x == "slice" else pa.binary()) for x, v in out.items()}
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        once = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["once"]])
-        more = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["more"]])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["n"]])
+        once = np.frombuffer(b"".join(rows["once"]), np.uint32)
+        more = np.frombuffer(b"".join(rows["more"]), np.uint32)
+        n = np.frombuffer(b"".join(rows["n"]), np.uint32)
         tokens, single = np.unique(once, return_counts=True)
         # one sort for both kinds
         both, place = np.unique(np.concatenate([tokens, more]), return_inverse=True)
@@ -112,7 +133,8 @@ def token_counts(docs: DataFrame, k: int, bits: int) -> DataFrame:
             {"slice": [key[0]], "repeated": [np.packbits(marks).tobytes()], "tokens": [both[often].tobytes()], "counts": [np.minimum(total[often], 0xFFFFFFFF).astype(np.uint32).tobytes()]}
         )
 
-    parts = docs.select("text").mapInPandas(split, "slice int, once binary, more binary, n binary")
+    # larger slices of texts than elsewhere: the more texts, the fewer rows
+    parts = _over_sets(docs.select("text"), k, "slice int, once binary, more binary, n binary", split, 4 * SLICE_BYTES)
     return parts.groupBy("slice").applyInPandas(count, "slice int, repeated binary, tokens binary, counts binary")
 
 
@@ -214,23 +236,20 @@ def signatures(tokens: np.ndarray, order: TokenOrder, percent: int) -> np.ndarra
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def signature_table(docs: DataFrame, k: int, percent: int, order: TokenOrder, key: str) -> DataFrame:
-    """Rows ``sig``, ``key``, ``n`` of all sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def signature_table(docs: DataFrame, k: int, percent: int, order, key: str) -> DataFrame:
+    """Rows ``sig``, ``key``, ``n`` of all sets; ``order`` is a broadcast :class:`TokenOrder`."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for batch in batches:
-            found, sizes = [], []
-            for s in shingle_sets(batch["text"].tolist(), k):
-                found.append(signatures(s, known, percent) if len(s) else s)
-                sizes.append(len(s))
-            each = [len(x) for x in found]
-            yield pd.DataFrame(
-                {"sig": np.concatenate(found).view(np.int64) if found else [], key: np.repeat(batch[key].to_numpy(), each), "n": np.repeat(np.array(sizes, np.int64), each)}
-            )
+    def made(rows: pa.RecordBatch, sets: list[np.ndarray]) -> dict | None:
+        known = order.value
+        found = [signatures(s, known, percent) if len(s) else s for s in sets]
+        each = [len(x) for x in found]
+        if not sum(each):
+            return None
+        sizes = np.repeat(np.array([len(s) for s in sets], np.int64), each)
+        place = pa.array(np.repeat(np.arange(len(sets)), each))
+        return {"sig": pa.array(np.concatenate(found).view(np.int64)), key: rows.column(key).take(place), "n": pa.array(sizes)}
 
-    return docs.select(key, "text").mapInPandas(run, f"sig long, `{key}` long, n long")
+    return _over_sets(docs.select(key, "text"), k, f"sig bigint, `{key}` bigint, n bigint", made)
 
 
 def _those(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -241,27 +260,24 @@ def _those(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
 def token_table(docs: DataFrame, k: int, ids: DataFrame, key: str) -> DataFrame:
     """The packed sets of the documents in ``ids``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "tokens": [s.tobytes() for s in shingle_sets(batch["text"].tolist(), k)]})
+    def made(rows: pa.RecordBatch, sets: list[np.ndarray]) -> dict:
+        return {key: rows.column(key), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())}
 
-    return _those(docs, ids, key).mapInPandas(run, f"`{key}` long, tokens binary")
+    return _over_sets(_those(docs, ids, key), k, f"`{key}` bigint, tokens binary", made)
 
 
 def sketch_table(docs: DataFrame, k: int, ids: DataFrame, key: str) -> DataFrame:
     """Sizes and parity sketches of the documents in ``ids``: bit ``i`` tells whether an odd number of tokens fall on it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n, bits = [], []
-            for s in shingle_sets(batch["text"].tolist(), k):
-                n.append(len(s))
-                size = max(LEAST_BITS, 1 << (BITS_PER_TOKEN * len(s) - 1).bit_length())
-                odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pd.DataFrame({key: batch[key], "n": n, "bits": bits})
+    def made(rows: pa.RecordBatch, sets: list[np.ndarray]) -> dict:
+        bits = []
+        for s in sets:
+            size = max(LEAST_BITS, 1 << (BITS_PER_TOKEN * len(s) - 1).bit_length())
+            odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        return {key: rows.column(key), "n": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))}
 
-    return _those(docs, ids, key).mapInPandas(run, f"`{key}` long, n long, bits array<bigint>")
+    return _over_sets(_those(docs, ids, key), k, f"`{key}` bigint, n bigint, bits array<bigint>", made)
 
 
 # -- pairs -----------------------------------------------------------------------------------------------------------
@@ -284,78 +300,124 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, key: str) ->
     return both.filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
 
 
-def _near_pairs(ids: np.ndarray, n: np.ndarray, component: np.ndarray, bits: list[np.ndarray], percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of different components that their sketches don't rule out; with ``forest`` only what connects, nearest first."""
-    found = []
+def _by_width(bits: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sketches of each width as a matrix, with their places."""
     size = np.array([len(x) for x in bits])
-    for width in np.unique(size):
-        own, wide = np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)
-        mine = np.stack([bits[i] for i in own])
-        other = np.concatenate([mine, np.stack([bits[i][:width] ^ bits[i][width:] for i in wide])]) if len(wide) else mine
-        at = np.concatenate([own, wide])
-        for r, i in enumerate(own):
-            differ = np.bitwise_count(other[r + 1 :] ^ mine[r]).sum(axis=1, dtype=np.int64)
-            j = at[r + 1 :]
-            ok = (differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)) & (component[i] != component[j])
-            found += [(int(d), int(i), int(k)) for d, k in zip(differ[ok], j[ok])]
-    if not forest:
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for _, i, j in found]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
+    places = {int(w): np.flatnonzero(size == w) for w in np.unique(size)}
+    return {w: (np.stack([bits[i] for i in at]), at) for w, at in places.items()}
 
-    out = []
-    for _, i, j in sorted(found):
-        x, y = root(int(component[i])), root(int(component[j]))
-        if x != y:
-            parent[x] = y
-            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-    return out
 
+def _near_pairs(strays: pd.DataFrame, others: pd.DataFrame, key: str, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a stray and another of a different component that their sketches don't rule out.
 
-def pairs_in_blocks(members: DataFrame, sizes: DataFrame, sketches: DataFrame, percent: int, key: str, forest: bool) -> DataFrame:
-    """Pairs ``a``, ``b`` of the long lists of ``members``, by sketch. A list is dealt into blocks, and each two blocks meet in a task.
-
-    A task holds two blocks of a list at most, and gives back pairs that are all but verified.
+    With ``forest`` the nearest ones only, until all they connect is one: each pair taken joins its two components at
+    once, so no more pairs come out than there are components. One stray's distances are held at a time.
+    """
+    names, where = np.unique(np.concatenate([strays["component"].to_numpy(), others["component"].to_numpy()]), return_inverse=True)
+    mine, theirs = where[: len(strays)].copy(), where[len(strays) :].copy()
+    n_a, n_b = strays["n"].to_numpy(), others["n"].to_numpy()
+    left, right = (_by_width([np.asarray(x, np.int64).view(np.uint64) for x in rows["bits"]]) for rows in (strays, others))
+    a, b = [], []
+    for w, (rows, at_a) in left.items():
+        for v, (found, at_b) in right.items():
+            if v not in (w, 2 * w) and w != 2 * v:
+                continue  # sizes too far apart for any link
+            half = min(w, v)
+            near_a = rows if w == half else rows[:, :half] ^ rows[:, half:]
+            near_b = found if v == half else found[:, :half] ^ found[:, half:]
+            for i, bits in zip(at_a, near_a):
+                apart = theirs[at_b] != mine[i]
+                if not apart.any():
+                    continue
+                differ = np.bitwise_count(near_b ^ bits).sum(axis=1, dtype=np.int64)
+                ok = apart & (differ * (100 + percent) <= (n_a[i] + n_b[at_b]) * (100 - percent))
+                if not forest:
+                    a.append(np.full(int(ok.sum()), i))
+                    b.append(at_b[ok])
+                    continue
+                while ok.any():
+                    j = at_b[np.flatnonzero(ok)[differ[ok].argmin()]]
+                    a.append([i])
+                    b.append([j])
+                    gone = theirs[j]
+                    mine[mine == gone] = mine[i]
+                    theirs[theirs == gone] = mine[i]
+                    ok &= theirs[at_b] != mine[i]
+    none = [np.zeros(0, np.int64)]
+    x, y = strays[key].to_numpy()[np.concatenate(a or none)], others[key].to_numpy()[np.concatenate(b or none)]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _strays(members: DataFrame) -> DataFrame:
+    """Add ``stray``: whether a member is outside of the largest component of its list (of equals, the last)."""
+    sizes = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("hub").agg(F.max(F.struct("c", "component"))["component"].alias("_largest"))
+    return members.join(largest, "hub").withColumn("stray", F.col("component") != F.col("_largest")).drop("_largest")
+
+
+def pairs_in_blocks(members: DataFrame, sketches: DataFrame, percent: int, key: str, forest: bool) -> DataFrame:
+    """Pairs ``a``, ``b`` of long lists (``hub``, ``key``, ``component``, ``stray``), by sketch.
+
+    The strays and the others of a list are dealt into blocks; a task holds a block of strays and one other block. So a
+    member that is no stray goes to as many tasks as there are blocks of strays, most often one.
     """
-    dealt = members.join(sizes, "sig").withColumn("_blocks", F.expr(f"(c + {BLOCK - 1}) div {BLOCK}").cast("int")).withColumn("_i", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
-    met = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = met.select("sig", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), key, "component").join(sketches, key)
+    known = members.join(sketches.drop("n"), key)
+    per = known.groupBy("hub", "stray").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("bits").cast("long") * 8) / BLOCK_BYTES)).alias("blocks")
+    )
+    per = per.groupBy("hub").agg(F.max(F.when(F.col("stray"), F.col("blocks"))).alias("_s"), F.max(F.when(~F.col("stray"), F.col("blocks"))).alias("_o"))
+    dealt = known.join(per, "hub").withColumn("_i", F.pmod(F.xxhash64(key), F.when(F.col("stray"), F.col("_s")).otherwise(F.col("_o"))).cast("int"))
+    cell = lambda kind, lo, hi, part: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), F.lit(part).alias("part"))
+    upto = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
+    i = F.col("_i")
+    with_others = F.transform(upto(F.col("_o")), lambda j: cell(1, i, j, 0))
+    with_strays = F.transform(upto(F.col("_s")), lambda j: cell(0, F.least(i, j), F.greatest(i, j), 0))
+    cells = F.when(F.col("stray"), F.concat(with_others, with_strays)).otherwise(F.transform(upto(F.col("_s")), lambda j: cell(1, j, i, 1)))
+    met = dealt.withColumn("_cell", F.explode(cells)).select("hub", "_cell.kind", "_cell.lo", "_cell.hi", "_cell.part", "_i", key, "n", "component", "bits")
 
     def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = [np.asarray(x, np.int64).view(np.uint64) for x in rows["bits"]]
-        pairs = _near_pairs(rows[key].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy(), bits, percent, forest)
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        _, kind, lo, hi = group
+        if kind:
+            first, second = rows[rows["part"] == 0], rows[rows["part"] == 1]
+        else:
+            first, second = rows[rows["_i"] == lo], rows[rows["_i"] == hi]
+        a, b = _near_pairs(first, second, key, percent, forest)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return met.groupBy("hub", "kind", "lo", "hi").applyInPandas(run, "a long, b long").filter("a < b").distinct()
+
 
-    return met.groupBy("sig", "_lo", "_hi").applyInPandas(run, "a long, b long").filter("a < b").distinct()
+def _pairs_in_short_lists(members: DataFrame, percent: int, key: str) -> DataFrame:
+    """Pairs of a stray and a member of another component, of sizes that fit, in lists of ``SMALL_LIST`` members at most."""
+    one = members.filter("stray").select("hub", F.col(key).alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+    other = members.select("hub", F.col(key).alias("y"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+    return one.join(other, "hub").filter("c_a <> c_b").filter(_fitting(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str) -> DataFrame:
-    """Of the pairs ``a``, ``b`` those with ``100 * intersection >= percent * union``, by their whole sets."""
+    """Of the pairs ``a``, ``b`` those with ``100 * intersection >= percent * union``, by their whole sets; staged."""
     ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "ids")
     sets = stage_table(token_table(docs, k, ids, key), "tokens")
     left, right = (sets.select(F.col(key).alias(x), F.col("tokens").alias(f"t_{x}")) for x in "ab")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["t_a"], batch["t_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+            for x, y in zip(batch.column("t_a"), batch.column("t_b")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    out = stage_table(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
+    drop_staged(ids, sets)
+    return out
 
 
 def _star(members: DataFrame, choose, percent: int, key: str) -> DataFrame:
     """Pairs of each member of a list with one of the list, those already in one component left out."""
-    lead = members.groupBy("sig").agg(choose(F.struct(key, "n", "component")).alias("lead"))
-    pairs = members.join(lead, "sig").select(
+    lead = members.groupBy("hub").agg(choose.alias("lead"))
+    pairs = members.join(lead, "hub").select(
         F.least(key, "lead." + key).alias("a"), F.greatest(key, "lead." + key).alias("b"),
         F.col("n").alias("n_a"), F.col("lead.n").alias("n_b"), F.col("component").alias("c_a"), F.col("lead.component").alias("c_b"),
     )
@@ -363,10 +425,16 @@ def _star(members: DataFrame, choose, percent: int, key: str) -> DataFrame:
 
 
 def _labelled(members: DataFrame, components: DataFrame, key: str) -> DataFrame:
-    """Members with their present component, of lists that still hold more than one."""
+    """Members with their present component, of lists that still hold more than one; staged."""
     named = members.drop("component").join(components.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
-    open_lists = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    return stage_table(named.join(open_lists, "sig"), "members")
+    open_lists = named.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hub")
+    return stage_table(named.join(open_lists, "hub"), "members")
+
+
+def _long_strays(members: DataFrame) -> int:
+    """How many strays the lists with more than a block of them hold."""
+    many = _strays(members).filter("stray").groupBy("hub").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK)
+    return many.agg(F.sum("c").alias("c")).first()["c"] or 0
 
 
 def link_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "doc_id") -> DataFrame:
@@ -374,8 +442,11 @@ def link_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "
 
     Two rows link when 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles, words split at
     ASCII white space, A-Z lower-cased. Empty texts (nulls too) link with nothing. Rows with one key are one node; rows
-    with a null key get their size and a null component. Repeated rows come out as often as they went in.
+    with a null key get their size and a null component. Repeated rows come out as often as they went in. Texts of any
+    length are taken whole; other columns are left out; no rows: no rows. ``percent`` is above 50 and at most 100.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = docs.select(key, "text")
     sizes = stage_table(set_table(docs, k, key), "sets")
     known = sizes.filter(F.col(key).isNotNull() & F.col("fp").isNotNull())
@@ -383,40 +454,64 @@ def link_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "
     reps = classes.select(F.col("rep").alias(key)).distinct()
 
     total = known.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    bits = min(16, max(3, (total // 2_000_000).bit_length()))
-    order = TokenOrder.collect(stage_table(token_counts(docs, k, bits), "token-counts"), bits)
+    bits = min(24, max(3, (total // SLICE_TOKENS).bit_length()))
+    slices = stage_table(token_counts(docs, k, bits), "token-counts")
+    order = docs.sparkSession.sparkContext.broadcast(TokenOrder.collect(slices, bits))
     copies = stage_table(known.select(key).distinct().join(reps, key, "left_anti"), "copies")
     own = _those(docs.filter(F.col(key).isNotNull()), copies, key, "left_anti")
     signed = stage_table(signature_table(own, k, percent, order, key), "signatures")
-    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig")
-    members = stage_table(signed.join(shared, "sig").withColumn("component", F.col(key)), "members")
+    order.destroy()
+    lists = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(key).alias("hub")).filter("c > 1").select("sig", "hub")
+    members = stage_table(signed.join(lists, "sig").select("hub", key, "n", F.col(key).alias("component")).distinct(), "members")
+    drop_staged(slices, copies, signed)
 
     ids = stage_table(members.select(key).distinct(), "ids")
     sketches = stage_table(sketch_table(docs, k, ids, key), "sketches")
+    drop_staged(ids)
     # rows that share a key are one node, though their sets differ
     links = classes.join(known, "fp").filter(F.col("rep") != F.col(key)).select(F.col("rep").alias("a"), F.col(key).alias("b"))
     found = [links.join(known.groupBy(key).agg(F.count_distinct("fp").alias("c")).filter("c > 1").withColumnRenamed(key, "b").select("b"), "b", "left_semi").select("a", "b")]
-    components = None
-    for step in ("least", "greatest", "forest", "rest"):
-        if step in ("least", "greatest"):
-            likely = plausible(_star(members, F.min if step == "least" else F.max, percent, key), sketches, percent, key)
-        else:
-            lengths = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
-            likely = pairs_in_blocks(members, lengths.filter(F.col("c") > SMALL_LIST), sketches, percent, key, step == "forest")
-            if step == "rest":
-                few = members.join(lengths.filter(F.col("c") <= SMALL_LIST).select("sig"), "sig")
-                other = few.select("sig", F.col(key).alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-                mine = few.select("sig", F.col(key).alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-                short = mine.join(other, "sig").filter("a < b AND c_a <> c_b").filter(_fitting(percent)).select("a", "b").distinct()
-                likely = likely.unionByName(plausible(short, sketches, percent, key)).distinct()
+
+    def step(likely: DataFrame) -> DataFrame:
+        """Verify pairs and give the components of all links so far."""
         likely = stage_table(likely, "pairs")
-        found.append(stage_table(verified(likely, docs, k, percent, key), "links"))
+        if found[1:] and not likely.limit(1).count():
+            drop_staged(likely)
+            return components
+        found.append(verified(likely, docs, k, percent, key))
+        drop_staged(likely)
         edges = found[0]
         for x in found[1:]:
             edges = edges.unionByName(x)
-        components = stage_table(connected_components(edges, "a", "b"), "components")
-        if step != "rest":
-            members = _labelled(members, components, key)
+        return stage_table(connected_components(edges, "a", "b"), "components")
+
+    whom = F.struct(key, "n", "component")
+    components, before, turn = None, None, 0
+    while True:
+        choose = [F.min(whom), F.max(whom)][turn] if turn < 2 else F.min_by(whom, F.xxhash64(F.lit(turn), key))
+        components = step(plausible(_star(members, choose, percent, key), sketches, percent, key))
+        old, members = members, _labelled(members, components, key)
+        drop_staged(old)
+        turn += 1
+        if turn >= 2:
+            left = _long_strays(members)
+            if not left or (before is not None and left > 0.9 * before):
+                break
+            before = left
+    for forest in (True, False):
+        apart = stage_table(_strays(members), "apart")
+        lengths = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("c"))
+        long = apart.join(lengths.filter(F.col("c") > SMALL_LIST).select("hub"), "hub")
+        likely = pairs_in_blocks(long, sketches, percent, key, forest)
+        if not forest:
+            short = apart.join(lengths.filter(F.col("c") <= SMALL_LIST).select("hub"), "hub")
+            likely = likely.unionByName(plausible(_pairs_in_short_lists(short, percent, key), sketches, percent, key)).distinct()
+        components = step(likely)
+        drop_staged(apart)
+        if forest:
+            old, members = members, _labelled(members, components, key)
+            drop_staged(old)
+    drop_staged(members, sketches, *found)
 
     return (
         sizes.join(classes, "fp", "left")

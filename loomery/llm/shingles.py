@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Texts are hashed in groups of about so many bytes, which bounds memory; one longer text makes a group of its own.
-GROUP_BYTES = 1 << 20
+#: Texts are hashed in groups of about so many bytes, and longer ones in pieces cut at white space, which bounds memory.
+GROUP_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _TURNS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
 _POWERS: list[np.ndarray] = []
 
 
@@ -28,15 +30,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * GROUP_BYTES)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _POWERS[:] = tables
-    return _POWERS[0][:n], _POWERS[1][:n]
+    if not _POWERS:
+        _POWERS[:] = _powers_anew(2 * GROUP_BYTES)
+    up, down = _POWERS if n <= len(_POWERS[0]) else _powers_anew(n)  # only a word of this length needs more
+    return up[:n], down[:n]
+
+
+def _powers_anew(n: int) -> list[np.ndarray]:
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, np.uint64(base))
+        steps[0] = 1
+        tables.append(np.multiply.accumulate(steps))
+    return tables
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +61,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(bounds)
 
 
-def text_groups(texts: list[str | None]) -> Iterator[list[bytes]]:
-    """The texts as bytes, in order, in groups of bounded size."""
+def text_groups(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    """The texts in order, nulls as empty, in groups of bounded size; a longer text is a group of its own."""
     group, size = [], 0
-    for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
+    for raw in texts:
+        raw = raw or b""
         if group and size + len(raw) > GROUP_BYTES:
             yield group
             group, size = [], 0
@@ -69,20 +75,35 @@ def text_groups(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield group
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its ``k``-word shingles.
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text cut at white space."""
+    at = 0
+    while at < len(raw):
+        found = _CUT.search(raw, at + GROUP_BYTES)
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
+    """For each text (UTF-8) the sorted distinct hashes of its ``k``-word shingles.
 
     A text of fewer words has one shingle, all its words; one without words has none.
     """
     for group in text_groups(texts):
-        hashes, counts = word_hashes(group)
+        if len(group[0]) > GROUP_BYTES:
+            hashes = np.concatenate([word_hashes([x])[0] for x in _pieces(group[0])])
+            counts = [len(hashes)]
+        else:
+            hashes, counts = word_hashes(group)
+            counts = counts.tolist()
         n = len(hashes) - k + 1
         rolled = np.zeros(max(n, 0), np.uint64)
         for j in range(k if n > 0 else 0):
             rolled += hashes[j : j + n] * _TURNS[j % 8] + np.uint64(j)
         rolled = mix64(rolled)
         at = 0
-        for count in counts.tolist():
+        for count in counts:
             if count >= k:
                 yield np.unique(rolled[at : at + count - k + 1])
             elif count:
