@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.session import drop_staged, stage_table
+from loomery.session import drop_staged, stage_table, tasks_for
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -21,22 +21,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Edges count in both directions; loops, repeats and null ends do nothing. No edges: no rows. It goes on until a round
     changes nothing. The joins are by node; a node with very many edges is split over tasks by adaptive execution.
+    Rounds have as many tasks as their edges need.
     """
     current = stage_table(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u > v").distinct(), "edges"
     )
-    signature = None
-    while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u > v").distinct()
-        small = large.join(_least_neighbour(large), "u")
+    n, signature = current.count(), None
+    while n:
+        k = tasks_for(n)
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(2 * k)
+        large = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u > v").coalesce(k).distinct().coalesce(k)
+        small = large.join(_least_neighbour(large), "u").coalesce(k)
         small = small.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(small.select("u", F.col("_m").alias("v")))
-        before, current = current, stage_table(small.filter("u > v").distinct(), "edges")
+        before, current = current, stage_table(small.filter("u > v").coalesce(k).distinct(), "edges", k)
         drop_staged(before)
         now = current.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if signature == tuple(now) or not now["n"]:
+        if signature == tuple(now):
             break
-        signature = tuple(now)
+        n, signature = now["n"], tuple(now)
     # stars: every edge leads to the least id of its component
     members = current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     return members.unionByName(members.select(F.col("component").alias("id"), "component").distinct())

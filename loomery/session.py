@@ -39,13 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def tasks_for(rows: int, per_task: int = 200_000) -> int:
+    """How many tasks ``rows`` rows need."""
+    return max(1, -(-rows // per_task))
+
+
+def stage_table(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, and survives the loss of any executor: later reads go to the shared store and not to the
-    shuffle files of the executors that made the rows.
+    shuffle files of the executors that made the rows. With ``tasks``, no more tasks than these make the last step: for
+    tables known to be smaller than the session's shuffle partitions are made for.
     """
     spark = df.sparkSession
+    df = df if tasks is None else df.coalesce(tasks)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
