@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions.stats import chi2_sf_1
+from loomery.operators.ranking import descending_bucket, running_sums
+from loomery.session import stage_table
 
 
 def bucket(id_: Column) -> Column:
@@ -66,17 +68,35 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str, a: object) ->
     return out.select("observed", "expected", chi.alias("chi2"), chi2_sf_1(chi).alias("p_value"))
 
 
-def concordance(df: DataFrame, risk: str, duration: str, event: str) -> DataFrame:
+def concordance(df: DataFrame, risk: str, duration: str, event: str, blocks: int = 64) -> DataFrame:
     """Harrell's index: pairs with T_j > T_i and an event at i; equal risks count a half.
 
-    Quadratic by definition, so both sides are first counted by (time, event, risk).
+    Rows are counted by time and risk; risks, in order, are dealt into ``blocks`` of about equally many. For each event
+    cell, later cells of lower blocks come as running sums over times, block by block; only cells of its own block are
+    compared one by one, and these in turn by running sums over risks within one time span. So nothing grows with the
+    square of the rows: it is a count of inversions by merging, ``log(rows)`` levels deep.
     """
-    cells = df.groupBy(F.col(risk).alias("r"), F.col(duration).alias("t"), F.col(event).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    later = cells.groupBy(F.col("r").alias("r2"), F.col("t").alias("t2")).agg(F.sum("n").alias("n2"))
-    pairs = cells.filter("e = 1").join(later, F.col("t2") > F.col("t"))
-    w = (F.col("n") * F.col("n2")).cast("double")
-    hit = F.when(F.col("r") > F.col("r2"), w).when(F.col("r") == F.col("r2"), w / 2).otherwise(0.0)
-    return pairs.agg((F.sum(hit) / F.sum(w)).alias("c_index"), F.sum(w).cast("long").alias("pairs"))
+    cells = df.groupBy(F.col(risk).cast("double").alias("r"), F.col(duration).cast("double").alias("t")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count(F.lit(1)).alias("n"))
+    ranked = _dense(_dense(stage_table(cells, "concordance"), "r", "ri"), "t", "ti").select("ri", "ti", "d", "n")
+    ranked = stage_table(ranked, "concordance")
+    most = ranked.agg(F.coalesce(F.max("ti"), F.lit(0)).alias("m")).first()["m"]
+    levels = max(1, int(most).bit_length())
+    # level k: times in spans of 2**(k+1), halves of 2**k; a pair with T_j > T_i meets in exactly one level, i left, j right
+    span = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("k")
+    spread = ranked.select("*", span).withColumns({"g": F.expr("shiftright(ti, k + 1)"), "right": F.expr("shiftright(ti, k) & 1") == 1})
+    by_risk = spread.groupBy("k", "g", "ri").agg(F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(~F.col("right"), F.col("d")).otherwise(0)).alias("events"))
+    by_risk = by_risk.withColumn("bucket", F.expr(f"ri div {blocks}"))
+    run = running_sums(by_risk, ["k", "g"], "bucket", [F.col("ri")], {"below": F.col("later")}, {"below": "all"})
+    hit = F.col("events") * (F.col("below") + F.col("later") / 2)
+    pairs = F.sum(F.col("events") * F.col("all"))
+    return run.agg((F.sum(hit) / pairs).alias("c_index"), pairs.cast("long").alias("pairs"))
+
+
+def _dense(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add the dense rank (from 0) of a column's values; the values are counted first and ranked in buckets."""
+    values = descending_bucket(df.select(value).distinct(), value).withColumn("_all", F.lit(0))
+    ranked = running_sums(values, ["_all"], "_bucket", [F.desc(value)], {"_down": F.lit(1).cast("long")}, {"_down": "_n"})
+    return df.join(ranked.select(value, (F.col("_n") - 1 - F.col("_down")).alias(out)), value)
 
 
 def group_metrics(df: DataFrame, group: str, y: str, pred: str) -> DataFrame:
@@ -102,12 +122,13 @@ def fairness_gaps(metrics: DataFrame) -> DataFrame:
 def qini(df: DataFrame, score: str, y: str, treated: str, key: str) -> DataFrame:
     """Qini curve: after each row by falling score, treated outcomes less the control's, scaled to the treated.
 
-    Rows are ordered in one window per call; group by score bins first where there are very many.
+    Rows are ordered in buckets of scores; only the buckets' sums meet in one task.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), key).rowsBetween(Window.unboundedPreceding, 0)
-    t = F.col(treated).cast("long")
-    run = df.withColumns({"_nt": F.sum(t).over(w), "_nc": F.sum(1 - t).over(w), "_yt": F.sum(t * F.col(y)).over(w), "_yc": F.sum((1 - t) * F.col(y)).over(w), "rank": F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return run.select(key, "rank", (F.col("_yt") - F.when(F.col("_nc") > 0, F.col("_yc") * F.col("_nt") / F.col("_nc")).otherwise(0.0)).alias("qini"))
+    t, o = F.col(treated).cast("long"), F.col(y).cast("long")
+    rows = descending_bucket(df.withColumns({"_t": t, "_yt": t * o, "_yc": (1 - t) * o, "_all": F.lit(0)}), score)
+    run = running_sums(rows, ["_all"], "_bucket", [F.desc_nulls_last(score), F.col(key)], {"_i": F.lit(1).cast("long"), "_nt": F.col("_t"), "_st": F.col("_yt"), "_sc": F.col("_yc")})
+    i, nt, yt, yc = F.col("_i") + 1, F.col("_nt") + F.col("_t"), F.col("_st") + F.col("_yt"), F.col("_sc") + F.col("_yc")
+    return run.select(key, i.cast("int").alias("rank"), (yt - F.when(i > nt, yc * nt / (i - nt)).otherwise(0.0)).alias("qini"))
 
 
 def latency(df: DataFrame, column: str, groups: list[str]) -> DataFrame:

@@ -72,3 +72,50 @@ def feature_ref(ref: Column) -> tuple[Column, Column]:
     """View and feature of a reference ``view:feature``."""
     parts = F.split(ref, ":", 2)
     return F.get(parts, 0), F.get(parts, 1)
+
+
+# -- data sets ---------------------------------------------------------------------------------------------------------
+def property_features(df: DataFrame, built: str, price: str, area: str, garage: Column, year: int) -> DataFrame:
+    """Add ``age`` in years, ``unit_price`` (rounded price by area) and ``has_garage`` (yes or no)."""
+    return df.withColumns({"age": F.lit(year) - F.col(built), "unit_price": F.round(F.try_divide(F.col(price), F.col(area))).cast("long"), "has_garage": F.when(garage, "yes").otherwise("no")})
+
+
+def labelled_split(df: DataFrame, key: str, label: str, positive: object = 1, unknown: object = 0) -> DataFrame:
+    """Rows with a known label, as 1 (``positive``) or 0."""
+    return df.filter(F.col(label) != unknown).select(key, F.when(F.col(label) == positive, 1).otherwise(0).alias("label"))
+
+
+def class_balance(df: DataFrame, label: str, split: str) -> DataFrame:
+    """Rows by class and by split: ``kind``, ``value``, ``n``; with the ratio of the largest to the smallest class."""
+    kinds = [df.groupBy(F.lit(k).alias("kind"), F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")) for k, c in (("class", label), ("split", split))]
+    ratio = kinds[0].agg(F.round(F.max("n") / F.min("n"), 3).alias("imbalance"))
+    return kinds[0].unionByName(kinds[1]).crossJoin(F.broadcast(ratio))  # one row
+
+
+def interaction_stats(df: DataFrame, user: str, item: str, rating: str) -> DataFrame:
+    """Users, items, ratings, share of empty cells and mean rating."""
+    out = df.agg(F.count_distinct(user).alias("n_users"), F.count_distinct(item).alias("n_items"), F.count(F.lit(1)).alias("n_ratings"), F.avg(rating).alias("mean_rating"))
+    return out.withColumn("sparsity", 1 - F.col("n_ratings") / (F.col("n_users") * F.col("n_items").cast("double")))
+
+
+def rating_histogram(df: DataFrame, rating: str) -> DataFrame:
+    """Ratings by value."""
+    return df.groupBy(rating).agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_tags(df: DataFrame, tags: str, sep: str = "|", k: int = 10) -> DataFrame:
+    """The most frequent parts of a separated column, of equal counts the first by name."""
+    return df.select(F.explode(F.split(tags, F.lit("\\Q" + sep + "\\E"))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(k)
+
+
+def cube_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows by every combination of columns, nulls for the ones left out."""
+    return df.cube(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A projection that says which columns are missing, instead of the first."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.select(*columns)

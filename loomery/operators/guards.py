@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of personal data that results must share.
+# Patterns of personal data in tables.
 PII = {
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
-    "ssn": r"\b\d{3}[\-\s]\d{2}[\-\s]\d{4}\b",
-    "credit_card": r"\b(?:\d{4}[\s\-]?){3}\d{4}\b",
+    "phone": r"(?<!\d)(\+?1[\s\-.]?)?\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4}(?!\d)",
+    "ssn": r"\b(?!000|666|9\d{2})\d{3}[-\s]?(?!00)\d{2}[-\s]?(?!0000)\d{4}\b",
+    "credit_card": r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}\b",
     "ip_address": r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b",
     "passport": r"\b[A-Z]{1,2}\d{6,9}\b",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}(?:[A-Z0-9]{0,16})\b",
@@ -17,7 +18,17 @@ PII = {
     "full_name": r"\b[A-Z][a-z]{2,}\s[A-Z][a-z]{2,}\b",
 }
 # Severities.
-SEVERITY = {"email": "high", "ssn": "critical", "credit_card": "critical", "ip_address": "low", "passport": "high", "iban": "high", "date_of_birth": "medium", "full_name": "low"}
+SEVERITY = {"ssn": "critical", "credit_card": "critical", "passport": "high", "iban": "high", "email": "high", "date_of_birth": "medium", "phone": "medium", "ip_address": "low", "full_name": "low"}
+# Patterns of personal data in questions, in the order in which they are replaced.
+QUERY_PII = {
+    "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "phone_ru": r"(?:\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}\b",
+    "ssn": r"\b\d{3}[\-\s]\d{2}[\-\s]\d{4}\b",
+    "credit_card": r"\b(?:\d{4}[\s\-]?){3}\d{4}\b",
+    "passport_ru": r"\b\d{4}\s?\d{6}\b",
+}
+# Those of answers, in their order.
+ANSWER_PII = ["email", "phone_ru", "credit_card", "ssn"]
 # Patterns of prompt injection, case ignored.
 INJECTION = [
     r"ignore\s+(?:(?:previous|all|prior|above)\s+){1,2}(?:instructions?|prompts?|context|rules?)",
@@ -41,7 +52,7 @@ HARMFUL = [
     r"(how\s+to\s+hack\s+into|unauthorized\s+access\s+to\s+|bypass\s+authentication)",
     r"step[\s\-]by[\s\-]step\s+(instructions?|guide)\s+(to|for)\s+(attack|exploit|compromise)",
 ]
-GUARD_PII = ("email", "ssn", "credit_card")
+HARMFUL_ANSWER = "[Content filtered by output guardrail — potential harmful information detected]"
 
 
 def pii_scan(df: DataFrame, column: str) -> DataFrame:
@@ -72,31 +83,76 @@ def _any(text: Column, patterns: list[str]) -> Column:
     return out
 
 
-def _redact(text: Column) -> Column:
-    for kind in GUARD_PII:
-        text = F.regexp_replace(text, PII[kind], f"[{kind.upper()}_REDACTED]")
+def _redact(text: Column, kinds: list[str]) -> Column:
+    for kind in kinds:
+        text = F.regexp_replace(text, QUERY_PII[kind], f"[{kind.upper()}_REDACTED]")
     return text
 
 
-def input_guard(df: DataFrame, column: str, max_length: int = 2000) -> DataFrame:
-    """Add ``injection``, ``has_pii``, ``too_long``, ``empty``, ``is_safe``, ``risk_score`` and ``sanitized`` to queries."""
+def _found(text: Column, kinds: list[str]) -> Column:
+    """The kinds that are found when each is replaced in turn."""
+    out = []
+    for i, kind in enumerate(kinds):
+        out.append(F.when(_redact(text, kinds[:i]).rlike(QUERY_PII[kind]), F.lit(kind)))
+    return F.array_compact(F.array(*out))
+
+
+def _blank(text: Column) -> Column:
+    return ~text.rlike(r"(?U)\S")
+
+
+def is_injection(text: Column) -> Column:
+    """Whether any pattern of prompt injection matches."""
+    return _any(F.coalesce(text, F.lit("")), INJECTION)
+
+
+def mask_answer(text: Column) -> Column:
+    """An answer with its personal data replaced."""
+    return _redact(text, ANSWER_PII)
+
+
+def input_guard(df: DataFrame, column: str, max_length: int = 2000, domain: list[str] | None = None, block_pii: bool = False, block_off_topic: bool = False) -> DataFrame:
+    """Add ``threats`` (array), ``pii``, ``injection``, ``has_pii``, ``off_topic``, ``too_long``, ``empty``, ``is_safe``, ``risk_score`` and ``sanitized``.
+
+    The risk is the largest of: empty 1, injection .95, off topic .5 (with ``domain`` words only), personal data .4, too
+    long .3. Injection and blank questions aren't safe; personal data and topics if asked for.
+    """
     x = F.coalesce(F.col(column), F.lit(""))
+    short = F.substring(x, 1, max_length)
+    low = F.lower(x)
+    topic = F.lit(True)
+    if domain:
+        topic = F.lit(False)
+        for w in domain:
+            topic = topic | low.contains(w.lower())
+    full = ~_blank(x)
     flags = df.withColumns(
         {
-            "empty": F.trim(x) == "", "too_long": F.length(x) > max_length, "injection": _any(x, INJECTION),
-            "has_pii": _any(x, [f"(?-i){PII[k]}" for k in GUARD_PII]), "sanitized": _redact(F.substring(x, 1, max_length)),
+            "empty": ~full, "too_long": full & (F.length(x) > max_length), "injection": full & _any(x, INJECTION), "pii": _found(short, list(QUERY_PII)), "off_topic": full & ~topic,
+            "sanitized": F.when(full, _redact(short, list(QUERY_PII))).otherwise(""),
         }
-    )
-    risk = F.greatest(F.when(F.col("empty") | F.col("injection"), 1.0).otherwise(0.0), F.when(F.col("has_pii"), 0.6).otherwise(0.0), F.when(F.col("too_long"), 0.2).otherwise(0.0))
-    return flags.withColumns({"is_safe": ~(F.col("empty") | F.col("injection")), "risk_score": risk})
+    ).withColumn("has_pii", F.size("pii") > 0)
+    names = {"empty": "empty_query", "too_long": "query_too_long", "injection": "prompt_injection", "has_pii": "pii_in_query", "off_topic": "off_topic"}
+    weights = {"empty": 1.0, "injection": 0.95, "off_topic": 0.5, "has_pii": 0.4, "too_long": 0.3}
+    stop = F.col("empty") | F.col("injection") | (F.col("has_pii") & F.lit(block_pii)) | (F.col("off_topic") & F.lit(block_off_topic))
+    return flags.withColumns(
+        {
+            "threats": F.array_compact(F.array(*[F.when(F.col(k), F.lit(v)) for k, v in names.items()])), "is_safe": ~stop,
+            "risk_score": F.greatest(*[F.when(F.col(k), w).otherwise(0.0) for k, w in weights.items()]),
+        }
+    )
 
 
-def output_guard(df: DataFrame, column: str, sources: str | None = None, least: int = 10) -> DataFrame:
-    """Add ``is_safe``, ``risk_score`` and ``filtered`` to answers: harmful ones are replaced, personal data redacted."""
+def output_guard(df: DataFrame, column: str, sources: str | None = None, least: int = 10, mask_pii: bool = True) -> DataFrame:
+    """Add ``is_safe``, ``risk_score`` and ``filtered`` to answers: harmful ones are replaced, personal data redacted.
+
+    The risk is 1 for a harmful answer, else the largest of: personal data .6, under ``least`` characters without the
+    white space around .2, no sources .1. Without a column of sources there are none.
+    """
     x = F.coalesce(F.col(column), F.lit(""))
-    harmful, pii = _any(x, HARMFUL), _any(x, [f"(?-i){PII[k]}" for k in GUARD_PII])
-    bare = F.lit(False) if sources is None else F.coalesce(F.size(sources), F.lit(0)) == 0
-    risk = F.when(harmful, 1.0).otherwise(F.greatest(F.when(pii, 0.6).otherwise(0.0), F.when(F.length(x) < least, 0.2).otherwise(0.0), F.when(bare, 0.1).otherwise(0.0)))
-    return df.withColumns(
-        {"is_safe": ~harmful, "risk_score": risk, "filtered": F.when(harmful, "[Content filtered by output guardrail — potential harmful information detected]").otherwise(_redact(x))}
-    )
+    harmful = _any(x, HARMFUL)
+    pii = F.lit(mask_pii) & (F.size(_found(x, ANSWER_PII)) > 0)
+    bare = F.lit(True) if sources is None else F.coalesce(F.size(sources), F.lit(0)) <= 0
+    brief = F.length(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")) < least
+    risk = F.when(harmful, 1.0).otherwise(F.greatest(F.when(pii, 0.6).otherwise(0.0), F.when(brief, 0.2).otherwise(0.0), F.when(bare, 0.1).otherwise(0.0)))
+    return df.withColumns({"is_safe": ~harmful, "risk_score": risk, "filtered": F.when(harmful, HARMFUL_ANSWER).otherwise(mask_answer(x) if mask_pii else x)})

@@ -11,6 +11,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.decisions import uplift_segment
+
 
 def _vectors(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="skip").transform(df)
@@ -25,8 +27,7 @@ def uplift(df: DataFrame, features: list[str], label: str, treated: str, trees:
         scored = model.transform(out).withColumn(name, F.get(vector_to_array("probability"), 1))
         out = scored.drop("rawPrediction", "probability", "prediction")
     cate = F.col("p_treated") - F.col("p_control")
-    high_t, high_c = F.col("p_treated") >= 0.5, F.col("p_control") >= 0.5
-    segment = F.when(~high_t & high_c, "persuadable").when(high_t & high_c, "lost_cause").when(~high_t & ~high_c, "sure_thing").otherwise("sleeping_dog")
+    segment = uplift_segment(F.col("p_treated"), F.col("p_control"))
     return out.withColumns({"cate": cate, "segment": segment}).drop("features", "label")
 
 

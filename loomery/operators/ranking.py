@@ -26,17 +26,31 @@ def running_offsets(
     Columns in ``groups`` and ``bucket`` must not be null.
     """
     weight = F.lit(1).cast("long") if weight is None else weight
-    keys = [*groups, bucket]
+    return running_sums(df, groups, bucket, order, {start: weight}, {start: total})
+
+
+def running_sums(df: DataFrame, groups: list[str], bucket: str, order: list[Column], sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
+    """Add for each name in ``sums`` the sum of its column over the rows before this one in its group.
+
+    ``totals`` names columns for the groups' sums. ``bucket`` must grow with ``order`` within a group.
+    """
+    keys, totals = [*groups, bucket], totals or {}
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
-    sums = (
-        df.groupBy(*keys)
-        .agg(F.sum(weight).alias("_w"))
-        .select(*keys, F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_base"), F.sum("_w").over(whole).alias(total))
-    )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = df.withColumn("_inner", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return ranked.join(sums, keys).withColumn(start, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
+    parts = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_w_{n}") for n, c in sums.items()]).select(
+        *keys, *[F.coalesce(F.sum(f"_w_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums], *[F.sum(f"_w_{n}").over(whole).alias(t) for n, t in totals.items()]
+    )
+    ranked = df.withColumns({f"_inner_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    out = ranked.join(parts, keys).withColumns({n: F.col(f"_base_{n}") + F.col(f"_inner_{n}") for n in sums})
+    return out.drop(*[f"_base_{n}" for n in sums], *[f"_inner_{n}" for n in sums])
+
+
+def descending_bucket(df: DataFrame, value: str, n: int = 256, out: str = "_bucket") -> DataFrame:
+    """Add a bucket that grows as ``value`` falls (nulls last), of about equally many rows: by approximate quantiles, counted by Spark."""
+    borders = df.agg(F.percentile_approx(F.col(value), [i / n for i in range(1, n)], 10_000).alias("_borders"))
+    above = F.size(F.filter(F.array_distinct(F.coalesce("_borders", F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>"))), lambda b: b > F.col(value)))
+    return df.crossJoin(F.broadcast(borders)).withColumn(out, F.when(F.col(value).isNull(), n + 1).otherwise(above)).drop("_borders")  # one row
 
 
 def hash_bucket(hex_digest: Column, bits_of_hex: int = 3) -> Column:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.operators.recsys import top_k
 
-# Words that carry no content in lexical judgements.
-STOP_WORDS = "a an and are as at be been but by can do does for from had has have he her his how i if in into is it its may me my no not of on or our she so some than that the their them then there these they this to was we were what when where which who will with would you your".split()
+# Words that carry no content in lexical judgements, and the signs that are taken out of a text first.
+STOP_WORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought to of in on at by for with from into through during before after above below "
+    "and or but if because as until while that this it its not no nor so yet both either neither just than then when where who which how what "
+    "и в на с по из за к о от до у под над при без для или но а не это что как то все он она они мы вы я его её их нас вас ему ей им же ли уже ещё даже тоже также себя"
+).split()
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»—–„“”"
 # Words that point back to an earlier turn.
-REFERENCE_WORDS = "it this that they these those them he she its their there".split()
+REFERENCE_WORDS = "it this that they them their these those such same above mentioned described said previous aforementioned".split()
 
 
 def tokens(text: Column) -> Column:
@@ -19,8 +28,16 @@ def tokens(text: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    """Distinct tokens without stop words."""
-    return F.array_except(F.array_distinct(tokens(text)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    """Distinct words without stop words: lower case, punctuation taken out, split at white space."""
+    bare = F.translate(F.lower(text), PUNCTUATION, "")
+    words = F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in STOP_WORDS]))
+
+
+def judged_sentences(text: Column) -> Column:
+    """Sentences of over five characters, cut after . ! or ? and white space."""
+    parts = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: F.length(s) > 5)
 
 
 def sentences(text: Column) -> Column:
@@ -47,10 +64,57 @@ def paragraph_chunks(df: DataFrame, key: str, text: str, most: int = 1200) -> Da
 
 
 def fixed_chunks(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:
-    """Pieces of ``size`` characters, each beginning ``size - overlap`` after the last."""
-    step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - overlap - 1), F.lit(step))
-    return df.select(key, text, F.posexplode(starts).alias("chunk_index", "_s")).select(key, "chunk_index", F.substring(text, F.col("_s") + 1, F.lit(size)).alias("chunk"))
+    """Chunks of ``size`` characters at most, cut at paragraphs, else lines, sentences, words, characters: one row per chunk.
+
+    Parts that fit are put together again, and a chunk begins with the last parts of the one before, ``overlap``
+    characters of them at most. White space at both ends of a chunk is taken off; empty chunks are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, t in zip(batch[key], batch[text]):
+                found = split_text(t or "", SEPARATORS, size, overlap)
+                if found:
+                    yield pd.DataFrame({key: [k] * len(found), "chunk_index": range(len(found)), "chunk": found})
+
+    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, chunk_index int, chunk string")
+
+
+# Where texts are cut, the best first.
+SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
+
+
+def split_text(text: str, separators: list[str], size: int, overlap: int) -> list[str]:
+    """The chunks of a text. A separator stays at the start of the part that follows it."""
+    at = next(i for i, s in enumerate(separators) if not s or s in text)
+    sep, rest = separators[at], separators[at + 1 :]
+    if sep:
+        first, *others = text.split(sep)
+        parts = ([first] if first else []) + [sep + x for x in others]
+    else:
+        parts = list(text)
+    out, small = [], []
+    for part in parts:
+        if len(part) < size:
+            small.append(part)
+            continue
+        out += _put_together(small, size, overlap)
+        small = []
+        out += split_text(part, rest, size, overlap) if rest else [part]
+    return out + _put_together(small, size, overlap)
+
+
+def _put_together(parts: list[str], size: int, overlap: int) -> list[str]:
+    out, held, total = [], deque(), 0
+    for part in parts:
+        if held and total + len(part) > size:
+            out.append("".join(held).strip())
+            while held and (total > overlap or total + len(part) > size):
+                total -= len(held.popleft())
+        held.append(part)
+        total += len(part)
+    out.append("".join(held).strip())
+    return [x for x in out if x]
 
 
 def topic_chunks(df: DataFrame, key: str, text: str, least: float = 0.3, most: int = 1200) -> DataFrame:
@@ -125,19 +189,62 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, ra
     )
 
 
+def context_precision(question: Column, contexts: Column) -> Column:
+    """Share of the contexts (array) that share a content word with the question; 0 without contexts or content words."""
+    q = content_tokens(question)
+    hit = F.size(F.filter(contexts, lambda c: F.arrays_overlap(content_tokens(c), q)))
+    return F.when((F.size(contexts) <= 0) | (F.size(q) == 0), 0.0).otherwise(hit / F.size(contexts))
+
+
+def context_recall(answer: Column, contexts: Column) -> Column:
+    """Share of the answer's sentences that share a content word with any context; 0 without either."""
+    parts, known = judged_sentences(answer), F.array_distinct(F.flatten(F.transform(contexts, content_tokens)))
+    hit = F.size(F.filter(parts, lambda s: F.arrays_overlap(content_tokens(s), known)))
+    return F.when((F.size(parts) <= 0) | (F.size(contexts) <= 0), 0.0).otherwise(hit / F.size(parts))
+
+
 def answer_relevance(question: Column, answer: Column) -> Column:
-    """Jaccard index of the content tokens of question and answer."""
+    """Jaccard index of the content words of question and answer; 0 if either has none."""
     q, a = content_tokens(question), content_tokens(answer)
-    union = F.size(F.array_union(q, a))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(q, a)) / union)
+    return F.when((F.size(q) <= 0) | (F.size(a) <= 0), 0.0).otherwise(F.size(F.array_intersect(q, a)) / F.size(F.array_union(q, a)))
 
 
 def faithfulness(answer: Column, context: Column) -> Column:
-    """Share of the answer's sentences (over five characters) that share a content token with the context."""
-    parts = F.filter(F.split(answer, r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 5)
-    known = content_tokens(context)
-    hit = F.size(F.filter(parts, lambda s: F.arrays_overlap(content_tokens(s), known)))
-    return F.when(F.size(parts) == 0, 0.0).otherwise(hit / F.size(parts))
+    """:func:`context_recall` for one text or an array of contexts."""
+    return context_recall(answer, context)
+
+
+def judged(df: DataFrame, question: str, answer: str, contexts: str) -> DataFrame:
+    """Add the four lexical measures of a sample, and ``overall``, their mean."""
+    q, a, c = F.coalesce(F.col(question), F.lit("")), F.coalesce(F.col(answer), F.lit("")), F.coalesce(F.col(contexts), F.array().cast("array<string>"))
+    out = df.withColumns({"context_precision": context_precision(q, c), "context_recall": context_recall(a, c), "answer_relevance": answer_relevance(q, a)})
+    out = out.withColumn("faithfulness", F.col("context_recall"))
+    return out.withColumn("overall", (F.col("context_precision") + F.col("context_recall") + F.col("answer_relevance") + F.col("faithfulness")) / 4)
+
+
+MEASURES = ["context_precision", "context_recall", "answer_relevance", "faithfulness", "overall"]
+
+
+def judged_means(samples: DataFrame) -> DataFrame:
+    """Means of the measures over all samples, to 4 places, and their number; zeros without samples."""
+    return samples.agg(*[F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(c) for c in MEASURES], F.count(F.lit(1)).alias("num_samples"))
+
+
+def ir_report(metrics: DataFrame) -> DataFrame:
+    """Macro means of per-query retrieval measures, each rounded to 4 places before."""
+    names = [c for c in ("precision", "recall", "rr", "ap", "ndcg") if c in metrics.columns]
+    return metrics.agg(*[F.round(F.avg(F.round(c, 4)), 4).alias(c) for c in names], F.count(F.lit(1)).alias("n_queries"))
+
+
+def keyword_relevance(chunks: DataFrame, chunk: str, text: str, queries: DataFrame, query: str, keywords: str, least: int = 2) -> DataFrame:
+    """Pairs of query and chunk where at least ``least`` of the query's keywords occur, case ignored; with their number.
+
+    Any text may hold any keyword, so queries meet chunks without a key: up to 10000 queries are sent along with the tasks.
+    """
+    asked = queries.select(F.col(query).alias("query"), F.transform(F.col(keywords), lambda k: F.lower(k)).alias("_k"))
+    known = F.size(F.filter("_k", lambda k: F.contains(F.col("_t"), k)))
+    both = chunks.select(F.col(chunk).alias("chunk"), F.lower(F.col(text)).alias("_t")).join(F.broadcast(asked) if asked.count() <= 10_000 else asked, known >= least)
+    return both.select("query", "chunk", known.alias("n_keywords"))
 
 
 def cooccurrence(mentions: DataFrame, chunk: str, entity: str) -> DataFrame:
@@ -146,15 +253,34 @@ def cooccurrence(mentions: DataFrame, chunk: str, entity: str) -> DataFrame:
     return m.alias("a").join(m.alias("b"), "c").filter(F.col("a.e") < F.col("b.e")).groupBy(F.col("a.e").alias("a"), F.col("b.e").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rewrite_queries(df: DataFrame, session: str, order: str, question: str, turns: int = 3) -> DataFrame:
-    """Short questions (five words or fewer) or such with a reference word get the last ``turns`` questions as context."""
+def rewrite_queries(df: DataFrame, session: str, order: str, question: str, answer: str | None = None, turns: int = 3) -> DataFrame:
+    """Short questions (five words or fewer) or such with a reference word get the last ``turns`` turns as context.
+
+    A turn is its question and, if there is one, up to 120 characters of the first sentence of its answer. A question
+    without earlier turns stays as it is.
+    """
     w = Window.partitionBy(session).orderBy(order)
-    past = F.collect_list(F.concat(F.lit("Q: "), question)).over(w.rowsBetween(-turns, -1))
-    parts = F.filter(F.split(F.lower(F.trim(question)), r"\s+"), lambda x: x != "")
+    said = F.concat(F.lit("Q: "), F.col(question))
+    if answer is not None:
+        first = F.substring(F.regexp_replace(F.substring_index(F.col(answer), ".", 1), r"(?U)^\s+|\s+$", ""), 1, 120)
+        said = F.concat(said, F.when(F.coalesce(F.col(answer), F.lit("")) != "", F.concat(F.lit(" | A: "), first)).otherwise(""))
+    past = F.collect_list(said).over(w.rowsBetween(-turns, -1))
+    parts = F.filter(F.split(F.lower(question), r"(?U)\s+"), lambda x: x != "")
     needs = (F.size(parts) <= 5) | F.arrays_overlap(parts, F.array(*[F.lit(x) for x in REFERENCE_WORDS]))
     return df.withColumn("rewritten", F.when(needs & (F.size(past) > 0), F.concat(F.col(question), F.lit(" [Context: "), F.array_join(past, " | "), F.lit("]"))).otherwise(F.col(question)))
 
 
+def kept_turns(df: DataFrame, session: str, order: str, last: int = 10) -> DataFrame:
+    """The last ``last`` turns of each session: what a memory holds."""
+    return top_k(df, [session], [F.desc(order)], last).drop("rank")
+
+
+def live_sessions(df: DataFrame, session: str, ts: str, now: Column, ttl_seconds: float = 3600.0) -> DataFrame:
+    """Sessions with their last turn, and whether they have been idle for longer than ``ttl_seconds``."""
+    last = df.groupBy(session).agg(F.count(F.lit(1)).alias("n_turns"), F.max(ts).alias("last_active"))
+    return last.withColumn("is_expired", F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_active").cast("timestamp")) > F.lit(int(ttl_seconds * 1_000_000)))
+
+
 def trigrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the lower-cased text, white space collapsed; shorter texts are one gram."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))

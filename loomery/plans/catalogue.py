@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomery.plans import series, tabular, texts
+from loomery.plans import decisions, governance, series, tabular, texts
 
-MODULES = (tabular, series, texts)
+MODULES = (tabular, governance, decisions, series, texts)
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomery.operators import drift as D
 from loomery.operators import quality_control as Q
 from loomery.operators import timeseries as T
+from loomery.plans.governance import DRIFT_REPORT
 from loomery.session import table
 
 SPLIT = "2024-01-16"
@@ -121,6 +122,7 @@ def _bins(bins: int) -> str:
 
 
 SQL = {
+    "drift_report": DRIFT_REPORT,
     "psi_equal_width": _bins(10) + ' SELECT c AS "column", round(sum((q + 1e-8 - p - 1e-8) * ln((q + 1e-8) / (p + 1e-8))), 6) AS psi FROM x GROUP BY c',
     "js_divergence": _bins(20) + ', y AS (SELECT c, (p + 1e-10) / (1 + 20e-10) AS p, (q + 1e-10) / (1 + 20e-10) AS q FROM x) SELECT c AS "column", round(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / (2 * ln(2)), 6) AS js FROM y GROUP BY c',
     "psi_quantile": f"""WITH {_H}, e AS (SELECT c, list_sort(list_distinct(quantile_cont(v, [{', '.join(str(i / 10) for i in range(11))}]))) AS e FROM h WHERE side = 'ref' GROUP BY c),

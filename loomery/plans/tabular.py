@@ -163,15 +163,27 @@ _PROFILE = " UNION ALL ".join(
     f"round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q75 FROM lineitem"
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 )
-# RE2's \\b knows ASCII letters only: the word borders of names are spelled out
-_BORDERED = guards.PII | {"full_name": r"(^|[^\p{L}\p{N}_])[A-Z][a-z]{2,}\s[A-Z][a-z]{2,}($|[^\p{L}\p{N}_])"}
+# RE2's \b knows ASCII letters only, and it can't look around: borders and excluded numbers are spelled out
+_B, _E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+_PII = [
+    ("email", "high", _B + r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}" + _E),
+    ("phone", "medium", r"(^|[^\d])(\+?1[\s\-.]?)?\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4}($|[^\d])"),
+    ("ssn", "critical", _B + r"(0([1-9]\d|0[1-9])|[1-578]\d\d|6([0-57-9]\d|6[0-57-9]))[-\s]?(0[1-9]|[1-9]\d)[-\s]?(000[1-9]|00[1-9]\d|0[1-9]\d\d|[1-9]\d{3})" + _E),
+    ("credit_card", "critical", _B + r"(4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(011|5\d{2}))[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}" + _E),
+    ("ip_address", "low", _B + r"((25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(25[0-5]|2[0-4]\d|[01]?\d\d?)" + _E),
+    ("passport", "high", _B + r"[A-Z]{1,2}\d{6,9}" + _E),
+    ("iban", "high", _B + r"[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}[A-Z0-9]{0,16}" + _E),
+    ("date_of_birth", "medium", _B + r"((19|20)\d{2}[-/](0[1-9]|1[0-2])[-/](0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])[-/](0[1-9]|1[0-2])[-/](19|20)\d{2})" + _E),
+    ("full_name", "low", _B + r"[A-Z][a-z]{2,}\s[A-Z][a-z]{2,}" + _E),
+]
 _PII_SQL = " UNION ALL ".join(
-    f"SELECT '{k}' AS pii_type, count(*) FILTER (regexp_matches(text, '{p}')) AS match_count, round(count(*) FILTER (regexp_matches(text, '{p}')) / count(*) FILTER (trim(text) <> ''), 4) AS fraction, '{guards.SEVERITY[k]}' AS severity FROM documents"
-    for k, p in _BORDERED.items()
+    f"SELECT '{k}' AS pii_type, count(*) FILTER (regexp_matches(text, '{p}')) AS match_count, round(count(*) FILTER (regexp_matches(text, '{p}')) / count(*) FILTER (trim(text) <> ''), 4) AS fraction, '{v}' AS severity FROM documents"
+    for k, v, p in _PII
 )
-_INJ = " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in guards.INJECTION)
-_GPII = " OR ".join(f"regexp_matches(text, '{guards.PII[k]}')" for k in guards.GUARD_PII)
-_HARM = " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in guards.HARMFUL)
+_INJ = r"""regexp_matches(text, '(?i)ignore\s+((previous|all|prior|above)\s+){1,2}(instructions?|prompts?|context|rules?)|forget\s+(everything|all|previous|prior|your\s+instructions)|you\s+are\s+now\s+(a|an)\s+\w+|act\s+as\s+(if\s+you\s+are|a|an)\s+|(system\s*prompt|system\s*message)\s*[:=]|\bjailbreak\b|\bdan\s*(mode|prompt|jailbreak)\b|pretend\s+(you\s+are|to\s+be)\s+|\[system\]|\[user\]|\[assistant\]|override\s+(safety|guidelines|rules|restrictions|filters|constraints)|disregard\s+your\s+(training|guidelines|instructions|constraints)|new\s+instruction[s]?:\s*|</?(s|system|instruction|context)>')"""
+_SEEN = lambda text, *more: " OR ".join(f"regexp_matches({text}, '{p}')" for p in (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", r"(\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}\b", r"\b\d{3}[\-\s]\d{2}[\-\s]\d{4}\b", r"\b(\d{4}[\s\-]?){3}\d{4}\b", *more))
+_QPII, _APII = _SEEN("text[1:2000]", r"\b\d{4}\s?\d{6}\b"), _SEEN("text")
+_HARM = r"""regexp_matches(text, '(?i)how\s+to\s+(make|build|create|synthesize)\s+(a\s+)?(bomb|explosive|weapon|poison|drug)|suicide\s+method|how\s+to\s+self[\s\-]?harm|steps?\s+to\s+(kill|harm)\s+(yourself|oneself)|how\s+to\s+hack\s+into|unauthorized\s+access\s+to\s+|bypass\s+authentication|step[\s\-]by[\s\-]step\s+(instructions?|guide)\s+(to|for)\s+(attack|exploit|compromise)')"""
 
 SQL = {
     "item_popularity": "SELECT *, row_number() OVER (ORDER BY n DESC, item) AS popularity_rank FROM (SELECT l_partkey AS item, round(avg(l_quantity), 6) AS avg_value, count(l_quantity) AS n, round((avg(l_quantity) * count(l_quantity) + 30.0) / (count(l_quantity) + 10.0), 6) AS score FROM lineitem GROUP BY 1)",
@@ -198,8 +210,8 @@ SQL = {
     + " UNION ALL ".join(f"SELECT '{c}' AS c, avg(({c} IS NULL)::INT)::DOUBLE AS nr, count(DISTINCT {c}) / count(*) AS dr FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")) + ")",
     "pii_scan": _PII_SQL,
     "pii_mask": "SELECT c_custkey, c_name[1:2] || '***' || c_name[-2:] AS masked, repeat('*', length(c_custkey::VARCHAR) + 2) || '3456' AS ssn FROM customer",
-    "input_guard": f"SELECT conv_id, turn, ({_INJ}) AS injection, ({_GPII}) AS has_pii, NOT (trim(text) = '' OR ({_INJ})) AS is_safe, CASE WHEN trim(text) = '' OR ({_INJ}) THEN 1.0 WHEN {_GPII} THEN 0.6 WHEN length(text) > 2000 THEN 0.2 ELSE 0.0 END::DOUBLE AS risk_score FROM conversations",
-    "output_guard": f"SELECT conv_id, turn, NOT ({_HARM}) AS is_safe, CASE WHEN {_HARM} THEN 1.0 WHEN {_GPII} THEN 0.6 WHEN length(text) < 10 THEN 0.2 ELSE 0.0 END::DOUBLE AS risk_score FROM conversations WHERE role = 'assistant'",
+    "input_guard": f"SELECT conv_id, turn, NOT regexp_matches(text, '^\\s*$') AND ({_INJ}) AS injection, ({_QPII}) AS has_pii, NOT (regexp_matches(text, '^\\s*$') OR ({_INJ})) AS is_safe, CASE WHEN regexp_matches(text, '^\\s*$') THEN 1.0 WHEN {_INJ} THEN 0.95 WHEN {_QPII} THEN 0.4 WHEN length(text) > 2000 THEN 0.3 ELSE 0.0 END::DOUBLE AS risk_score FROM conversations",
+    "output_guard": f"SELECT conv_id, turn, NOT ({_HARM}) AS is_safe, CASE WHEN {_HARM} THEN 1.0 WHEN {_APII} THEN 0.6 WHEN length(trim(text)) < 10 THEN 0.2 ELSE 0.1 END::DOUBLE AS risk_score FROM conversations WHERE role = 'assistant'",
     "confident_joint": "WITH r AS (SELECT doc_id, quality AS y, 1.0::DOUBLE - doc_id % 128 / 128.0::DOUBLE AS p0, doc_id % 128 / 128.0::DOUBLE AS p1 FROM labels), t AS (SELECT avg(p0) FILTER (y = 0) AS t0, avg(p1) FILTER (y = 1) AS t1 FROM r), g AS (SELECT y, CASE WHEN p0 >= t0 AND (p1 < t1 OR p0 >= p1) THEN 0 WHEN p1 >= t1 THEN 1 END AS g FROM r, t) SELECT y AS label, g AS guess, count(*) AS n FROM g WHERE g IS NOT NULL AND g <> y GROUP BY 1, 2",
     "ab_results": "WITH b AS (SELECT ('0x' || md5(c_custkey::VARCHAR)[1:8])::BIGINT / 4294967295.0 AS b, (c_acctbal + 1000) / 11000 AS p, (c_mktsegment = 'BUILDING')::INT AS y FROM customer) SELECT CASE WHEN b < 0.5 THEN 'a' WHEN b < 0.8 THEN 'b' ELSE 'c' END AS variant, count(*) AS n, round(avg(p), 4) AS mean_prob, round(avg((p >= 0.5)::INT), 4) AS high_risk_rate, round(avg(y), 4) AS outcome_rate FROM b GROUP BY 1",
     "kaplan_meier": f"WITH s AS ({_SURVIVAL}), t AS (SELECT t, count(*) AS n, sum(e) AS d FROM s WHERE t >= 0 GROUP BY t), r AS (SELECT t, d, sum(n) OVER (ORDER BY t DESC) AS r FROM t), v AS (SELECT t, d, r, CASE WHEN min(r - d) OVER w <= 0 THEN 0 ELSE exp(sum(CASE WHEN d < r THEN ln(1 - d / r) END) OVER w) END AS s, coalesce(sum(CASE WHEN r > d THEN d / (r * (r - d)) END) OVER w, 0) AS g FROM r WHERE d > 0 WINDOW w AS (ORDER BY t)) SELECT t, d::BIGINT AS events, r::BIGINT AS at_risk, round(s, 6)::DOUBLE AS survival, round(s * s * g, 6)::DOUBLE AS variance FROM v",
@@ -212,7 +224,7 @@ SQL = {
     "gini_concentration": "WITH n AS (SELECT count(*)::DOUBLE AS x FROM lineitem GROUP BY l_partkey), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM n) SELECT round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1) / max(n), 6) AS gini, round(sum(x) FILTER (i > n - n // 10) / sum(x), 6) AS top_share FROM r",
     "ips_debias": "WITH n AS (SELECT l_partkey AS item, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(sqrt(n)) AS t FROM n) SELECT item, n, round(greatest(0.0001, sqrt(n) / t), 8) AS propensity, round(least(10.0, 1 / greatest(0.0001, sqrt(n) / t)), 8) AS ips_weight FROM n, t",
     "beta_posterior": "WITH s AS (SELECT user_id AS arm, 1 + count(*) FILTER (event_type = 'purchase') AS alpha, 1 + count(*) FILTER (event_type <> 'purchase') AS beta FROM events GROUP BY 1) SELECT arm, alpha, beta, round(alpha / (alpha + beta), 6) AS mean, round(sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1.0::DOUBLE))), 6) AS std, alpha + beta - 2 AS pulls FROM s",
-    "comps_knn": "WITH b AS (SELECT min(p_size) AS l1, max(p_size) AS h1, min(p_retailprice) AS l2, max(p_retailprice) AS h2 FROM part), f AS (SELECT p_partkey, p_retailprice, (p_size - l1) / (h1 - l1)::DOUBLE AS f1, 2 * (p_retailprice - l2) / (h2 - l2) AS f2 FROM part, b), p AS (SELECT s.p_partkey AS subject, f.p_partkey, f.p_retailprice, sqrt(pow(f.f1 - s.f1, 2) + pow(f.f2 - s.f2, 2)) AS d FROM f s JOIN f ON f.p_partkey <> s.p_partkey WHERE s.p_partkey <= 20), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY round(d, 9), p_partkey) AS rank FROM p) SELECT subject, p_partkey, rank, round(d, 6) AS distance, p_retailprice FROM r WHERE rank <= 5",
+    "comps_knn": "WITH b AS (SELECT min(p_size) AS l1, max(p_size) AS h1, min(p_retailprice) AS l2, max(p_retailprice) AS h2 FROM part), f AS (SELECT p_partkey, p_retailprice, (p_size - l1) / (h1 - l1)::DOUBLE AS f1, 2 * (p_retailprice - l2) / (h2 - l2) AS f2 FROM part, b), p AS (SELECT s.p_partkey AS subject, f.p_partkey, f.p_retailprice, sqrt(pow(f.f1 - s.f1, 2) + pow(f.f2 - s.f2, 2)) AS d FROM f s JOIN f ON f.p_partkey <> s.p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY round(d, 9), p_partkey) AS rank FROM p) SELECT subject, p_partkey, rank, round(d, 6) AS distance, p_retailprice FROM r WHERE rank <= 5",
     "risk_profile": "WITH o AS (SELECT o_custkey, avg(o_totalprice) AS amt, count(*) AS n, date_diff('day', min(o_orderdate)::DATE, DATE '1999-01-01') AS age FROM orders GROUP BY 1), f AS (SELECT o_custkey, round(least(0.97, greatest(0.03, 0.45 * least(1, greatest(0, (ln(1 + amt / 20) - ln(1 + exp(5.32))) / (ln(1 + exp(9.125)) - ln(1 + exp(5.32))))) + 0.30 * CASE WHEN age <= 0 THEN 1 ELSE least(1, greatest(0, 1 - ln(1 + age) / ln(366))) END + 0.25 * least(1, greatest(0, (n - 5) / 25.0)))), 6) AS fraud, round(least(0.96, greatest(0.04, 0.16 + 0.28 * CASE WHEN age / 30.0 <= 0 THEN 1.0 WHEN age / 30.0 <= 12 THEN 1.0 - age / 30.0 / 24 ELSE greatest(0, 0.5 - (age / 30.0 - 12) / 120) END + 0.24 * least(1, greatest(0, (amt / 2000 - 18) / 100)) + 0.16 * 0.52)), 6) AS churn FROM o) SELECT o_custkey, fraud::DOUBLE AS fraud, churn::DOUBLE AS churn, round(0.55 * fraud + 0.30 * churn, 5)::DOUBLE AS combined, CASE WHEN fraud >= 0.5 THEN 'block' WHEN 0.55 * fraud + 0.30 * churn >= 0.7 THEN 'review' WHEN churn >= 0.5 THEN 'intervene' ELSE 'ok' END AS action FROM f",
     "entity_resolution": """WITH v AS (SELECT s_suppkey AS id, s_acctbal AS bal, s_nationkey AS nk, list_distinct(list_transform(range(1, length(s_name) - 1), lambda i: lower(s_name)[i : i + 2])) AS g FROM supplier),
         p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS t, abs(a.bal - b.bal) / greatest(abs(a.bal), abs(b.bal), 1e-12) AS gap FROM v a JOIN v b ON a.nk = b.nk AND a.id < b.id),
