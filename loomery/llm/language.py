@@ -29,6 +29,8 @@ class Model:
 
     langs: list[str]
     weights: dict[str, np.ndarray]
+    #: Scores of documents below this are hardly of a learned language.
+    floor: float = 0.0
 
     @property
     def hidden(self) -> int:
@@ -164,33 +166,39 @@ def cut(raw: bytes) -> np.ndarray:
     return np.frombuffer(filled, np.uint8).reshape(n, WIDTH)
 
 
-def training_sample(docs: DataFrame, docs_per_lang: int = 150, max_langs: int = 64, seed: int = 3) -> DataFrame:
-    """A bounded sample of labelled documents: at most ``docs_per_lang`` of each of the ``max_langs`` largest languages.
+def training_sample(docs: DataFrame, docs_per_lang: int = 150, windows_per_doc: int = 8, seed: int = 3) -> DataFrame:
+    """A bounded sample of labelled documents: ``docs_per_lang`` of each language at most, and of each ``windows_per_doc`` windows.
 
-    Rows with null text or language are left out. Ranks are cut within partitions before any shuffle.
+    Windows are ``WIDTH`` characters from anywhere in the text. Rows with null text or language, or without a letter, are
+    left out. Ranks are cut within partitions before any shuffle; what is shuffled of a text is its windows.
     """
     named = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    largest = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), k), F.greatest(F.char_length("text") - (WIDTH - 1), F.lit(1))).cast("int")
+    windows = F.transform(F.sequence(F.lit(1), F.lit(windows_per_doc)), lambda k: F.substring("text", draw(k) + 1, F.lit(WIDTH)))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
-    # texts are cut to what training can use at most, so that the sample is bounded in bytes too
-    short = named.select("doc_id", "lang", F.substring("text", 1, 16 * WIDTH).alias("text"))
-    return short.withColumn("_rank", order).filter(F.col("_rank") <= docs_per_lang).drop("_rank").join(F.broadcast(largest), "lang", "left_semi")
+    short = named.select("doc_id", "lang", windows.alias("windows"))
+    return short.withColumn("_rank", order).filter(F.col("_rank") <= docs_per_lang).drop("_rank")
 
 
-def fit(labelled: DataFrame, windows_per_doc: int = 8, seed: int = 1, **training) -> Model | None:
-    """Train on a bounded sample of ``labelled`` (``doc_id``, ``text``, ``lang``). None if it has no usable row."""
-    rows = sorted((r["lang"], str(r["doc_id"]), r["text"]) for r in training_sample(labelled).collect())
+def fit(labelled: DataFrame, docs_per_lang: int = 150, windows_per_doc: int = 8, seed: int = 1, **training) -> Model | None:
+    """Train on a bounded sample of ``labelled`` (``doc_id``, ``text``, ``lang``), of every language in it. None if it has no usable row.
+
+    ``Model.floor`` is set to half way from chance to what all but one in a hundred of the sampled documents reach for
+    their own language.
+    """
+    rows = sorted((r["lang"], str(r["doc_id"]), r["windows"]) for r in training_sample(labelled, docs_per_lang, windows_per_doc).collect())
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
-    rng = np.random.default_rng(seed)
-    windows, labels = [], []
-    for lang, _, text in rows:
-        parts = cut(text.encode("utf-8", "replace"))
-        for k in rng.permutation(len(parts))[:windows_per_doc]:
-            windows.append(parts[k])
-            labels.append(langs.index(lang))
-    return train(np.array(windows), np.array(labels), langs, seed=seed, **training)
+    place = {x: k for k, x in enumerate(langs)}
+    windows = np.stack([cut(w.encode("utf-8", "replace"))[0] for _, _, parts in rows for w in parts])
+    labels = np.repeat([place[r[0]] for r in rows], windows_per_doc)
+    model = train(windows, labels, langs, seed=seed, **training)
+    shares = np.concatenate([position_probabilities(model, np.ascontiguousarray(windows[i : i + BLOCK].T)).mean(axis=0).T for i in range(0, len(windows), BLOCK)])
+    own = shares[np.arange(len(windows)), labels].reshape(-1, windows_per_doc).mean(axis=1)
+    chance = 1 / len(langs)
+    model.floor = chance + 0.5 * max(0.0, float(np.quantile(own, 0.01)) - chance)
+    return model
 
 
 def document_probabilities(model: Model, texts: list[str | None]) -> np.ndarray:
@@ -231,8 +239,9 @@ def document_probabilities(model: Model, texts: list[str | None]) -> np.ndarray:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to ``docs``; only ``text`` is read. Other columns are kept.
 
-    ``und`` with score 0 if the text is null or has no letter, or without a model. Of equal scores the first language by
-    name wins; scores are rounded to 6 places.
+    ``und`` with score 0 if the text is null or has no letter, or without a model (that is, if no labelled row could be
+    learned from). Of equal scores the first language by name wins; scores are rounded to 6 places. Repeated rows give
+    repeated results; no rows: no rows. Texts of any length are read whole, window by window.
     """
 
     def made(known: Model | None, texts: list[str | None]) -> dict:
