@@ -14,15 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.llm.common import SPACE_CHARS, whole, words
-from loomery.session import stage_table
 
 #: Character classes: letters that aren't small, digits, symbols, stops, all others, small letters.
 CLASSES = ("upper", "digit", "symbol", "stop", "other", "lower")
 DIGITS, SYMBOLS = r"\p{Nd}", r"[#*$%&|<>]"
 #: Small letters and white space: most of a text. Classes are counted in what remains without them.
 COMMON = r"[\p{Ll}\x20\x09-\x0D]"
-#: Common words are short: the most frequent ones of so many bytes at most.
-COMMON_BYTES = 6
 WINDOW = 8
 #: Up to so many references are compared one by one in the plan, which is quicker; more as one constant array.
 UNROLLED = 16
@@ -109,23 +106,23 @@ def js_distance(shares: Column, entropy: Column, reference: list[float]) -> Colu
     return F.sqrt(F.greatest(F.lit(0.0), _entropy(mean) - (entropy + own) / 2))
 
 
-def references(featured: DataFrame, n_common: int = 8) -> list[dict]:
+def references(featured: DataFrame, n_common: int = 16) -> list[dict]:
     """The pooled references of every language, counted over all rows of ``featured`` (``lang``, ``_words``, ``_classes``).
 
-    What reaches the driver is one row a language, with its ``n_common`` most frequent words and a histogram of the
-    classes. Null languages make no reference.
+    What reaches the driver is one row a language, with its ``n_common`` most frequent words (of equal counts the first by
+    name) and a histogram of the classes. Words of any length count. Null languages make no reference. Ranks are cut
+    within partitions before they meet by language.
     """
     named = featured.filter("lang IS NOT NULL")
     n = len(CLASSES)
-    pooled = named.groupBy("lang").agg(*[F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(n)])
+    pooled = named.groupBy("lang").agg(F.sum(F.size("_words")).alias("n"), *[F.sum(F.col("_classes")[k]).alias(f"c{k}") for k in range(n)])
     langs = sorted(pooled.collect(), key=lambda x: x["lang"])
-    # words that are too long to be common are counted together
-    short = F.when(F.octet_length("word") <= COMMON_BYTES, F.col("word"))
-    counted = stage_table(named.select("lang", F.explode("_words").alias("word")).groupBy("lang", short.alias("word")).agg(F.count(F.lit(1)).alias("n")), "words")
-    totals = {x["lang"]: x["n"] for x in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    counted = named.select("lang", F.explode("_words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top: dict[str, list] = {}
-    for x in counted.filter(F.col("word").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= n_common).orderBy("lang", "rank").collect():
+    found = counted.withColumn("rank", rank).filter(F.col("rank") <= n_common).collect()
+    totals = {x["lang"]: x["n"] for x in langs}
+    for x in sorted(found, key=lambda x: (x["lang"], x["rank"])):
         top.setdefault(x["lang"], []).append((x["word"], x["n"] / totals[x["lang"]]))
     out = []
     for x in langs:
@@ -208,8 +205,9 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """Base rules, then the divergence verdict, on ``docs`` (``text``, ``lang``); other columns are kept.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated windows. ``kept``: not ``base_failed``, and
-    the verdict. Null and empty texts fail the base rules. ``docs`` is read twice: once for the references of its
-    languages, once for the rows.
+    the verdict. Null and empty texts fail the base rules. ``docs`` is read more than once: for the references of its
+    languages, and for the rows. Repeated rows are judged alike, each counting in the references; no rows: no rows.
+    Columns of the names made here are replaced.
     """
     split = docs.select("lang", residue(whole("text")).alias("_rest"), words("text").alias("_words"), word_characters(whole("text")).alias("_chars")).withColumn("_odd", odd_characters(F.col("_rest")))
     refs = references(split.withColumn("_classes", class_counts(F.col("_rest"), F.col("_odd"), F.col("_chars"))))
