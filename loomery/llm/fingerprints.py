@@ -16,8 +16,9 @@ from loomery.session import stage_table
 
 K, S = 5, 2
 SKETCH = 128
-#: Blocks of neighbouring ids: as many rows each, and so many blocks at most (the table of blocks is broadcast).
-BLOCK_ROWS, MAX_BLOCKS = 512, 100_000
+#: Neighbouring ids are dealt into spans of equal width, and each span into blocks of about so many rows, and so many
+#: blocks at most (the tables of spans and blocks are broadcast).
+SPANS, BLOCK_ROWS, MAX_BLOCKS = 4096, 512, 100_000
 
 
 def _word_hashes(word_array: Column) -> Column:
@@ -84,40 +85,81 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, 1.0).otherwise(both / F.size(union))
 
 
+def _image(key: Column, kind: str) -> Column:
+    """A whole number that doesn't fall where the key grows: the number itself, or the first bytes of a text."""
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(key, "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("decimal(38,0)")
+    return F.floor(key.cast("double") * 1024).cast("decimal(38,0)") if kind in ("double", "float") else F.floor(key.cast("decimal(38,6)")).cast("decimal(38,0)")
+
+
+def key_blocks(docs: DataFrame, key: str, tie: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_block``, a number that grows with ``key`` (nulls first) and, within equal keys, falls with ``tie``; and the blocks.
+
+    Spans of equal width are counted, and each is cut into as many blocks as its rows need, by the range of its own keys.
+    An id that fills more than a block by itself, or null, is cut further by ``tie``, an unsigned 32-bit checksum. So ids
+    that lie far from the others, null ids and repeated ids make no large block. The blocks come as ``_block``, ``_first``
+    (its greatest key and least tie) and ``_to``, the block before it in descending order.
+    """
+    image = _image(F.col(key), docs.schema[key].dataType.typeName())
+    ids = docs.select(key, tie, image.alias("_at"))
+    seen = ids.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, width = int(seen["lo"] or 0), (int(seen["hi"] or 0) - int(seen["lo"] or 0)) // SPANS + 1
+    rows_each = max(BLOCK_ROWS, -(-seen["n"] // (MAX_BLOCKS - 2 * SPANS)))
+    span = F.coalesce(F.floor((F.col("_at") - F.lit(lo).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long"), F.lit(-1).cast("long"))
+    need = lambda n: F.ceil(n / rows_each).cast("long")
+    known = ids.withColumn("_span", span).groupBy("_span").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"), need(F.count(F.lit(1))).alias("_parts"))
+    known = stage_table(known, "spans")
+
+    def parted(df: DataFrame) -> DataFrame:
+        both = df.withColumn("_at", image).withColumn("_span", span).join(F.broadcast(known), "_span")  # SPANS rows and one
+        by_key = F.floor((F.col("_at") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.col("_parts"))
+        part = F.greatest(F.lit(0), F.least(F.coalesce(by_key, F.lit(0)), F.col("_parts") - 1))
+        return both.withColumn("_part", ((F.col("_span") + 1) * F.lit(1 << 17) + part).cast("long")).drop("_at", "_span", "_lo", "_hi", "_parts")
+
+    # keys that fill more than a block, null among them: MAX_BLOCKS at most
+    hot = docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_each)
+    hot = parted(hot).groupBy("_part").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), need(F.col("_n")).alias("parts")))).alias("_hot"))
+    hot = stage_table(hot, "hot-keys")
+
+    def placed(df: DataFrame) -> DataFrame:
+        both = parted(df).join(F.broadcast(hot), "_part", "left")
+        own = F.filter("_hot", lambda h: h["k"].eqNullSafe(F.col(key)))
+        below = F.size(F.filter("_hot", lambda h: h["k"] < F.col(key)))
+        cut = F.try_element_at(own, F.lit(1))["parts"]
+        by_tie = F.greatest(F.lit(0), cut - 1 - F.floor(F.col(tie) * cut / float(1 << 32)))
+        inner = F.coalesce((2 * below + F.least(F.size(own), F.lit(1))) * F.lit(1 << 17), F.lit(0)) + F.coalesce(by_tie, F.lit(0))
+        return both.withColumn("_block", (F.col("_part") * F.lit(1 << 33) + F.when(F.col("_hot").isNull(), 0).otherwise(inner)).cast("long")).drop("_part", "_hot")
+
+    first = F.struct(F.col(key).isNotNull().alias("k"), F.col(key).alias("v"), (-F.col(tie)).alias("t"))
+    blocks = placed(docs.select(key, tie)).groupBy("_block").agg(F.max(first).alias("_first"))
+    every = Window.partitionBy(F.lit(0))  # some times MAX_BLOCKS rows at most
+    up = every.orderBy("_block")
+    edges = blocks.select("_block", "_first", F.coalesce(F.lead("_block").over(up), F.min("_block").over(every)).alias("_to"))
+    return placed(docs), stage_table(edges, "blocks")
+
+
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "_tie") -> DataFrame:
     """Add ``next_<column>`` of the next row by descending ``key`` (nulls last, then ``tie``); after the last, the first.
 
     Rows are dealt into blocks of neighbouring keys; a copy of the first row of a block goes along to the block before
-    it. So one shuffle does, no task sees more than a block, and the only table that is ordered as a whole, and
-    broadcast, is that of the blocks: ``MAX_BLOCKS`` rows at most.
+    it. So one shuffle does, no task sees more than a few blocks, and the only tables that are ordered as a whole, and
+    broadcast, are those of spans and blocks. Rows equal in key and tie are interchangeable. ``key`` is a number or a text.
     """
-    seen = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = seen["lo"] or 0, seen["hi"] or 0
-    n_blocks = max(1, min(MAX_BLOCKS - 1, seen["n"] // BLOCK_ROWS))
-    width = float((hi - lo) // n_blocks + 1)
-    block = F.coalesce(F.least(F.floor((F.col(key).cast("double") - F.lit(float(lo))) / width), F.lit(n_blocks)), F.lit(-1)).cast("long")
-    rows = docs.withColumn("_block", block)
-    order = [F.col(key).desc_nulls_last(), F.col(tie)]
-    blocks = docs.select(key, block.alias("_block")).groupBy("_block").agg(F.max(key).alias("_first"))
-    every = Window.partitionBy(F.lit(0))
-    up = every.orderBy("_block")
-    # the first row of a block follows the last row of the next higher one; that of the highest closes the circle
-    edges = stage_table(
-        blocks.select("_block", "_first", F.coalesce(F.lead("_block").over(up), F.min("_block").over(every)).alias("_to")), "blocks"
-    )
-    heads = (
-        rows.join(F.broadcast(edges), "_block")
-        .filter(F.col(key).eqNullSafe(F.col("_first")))
-        .withColumn("_block", F.col("_to"))
-        .drop("_first", "_to")
-    )
+    rows, edges = key_blocks(docs, key, tie)
+    head = rows.join(F.broadcast(edges), "_block").filter(F.col(key).eqNullSafe(F.col("_first.v")) & (F.col(tie) == -F.col("_first.t")))
+    # of rows equal in both, one goes along
+    heads = head.withColumn("_block", F.col("_to")).drop("_first", "_to").dropDuplicates(["_block", key, tie])
     both = rows.withColumn("_copy", F.lit(0)).unionByName(heads.withColumn("_copy", F.lit(1)))
-    window = Window.partitionBy("_block").orderBy("_copy", *order)
+    window = Window.partitionBy("_block").orderBy("_copy", F.col(key).desc_nulls_last(), F.col(tie))
     return both.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).filter("_copy = 0").drop("_block", "_copy")
 
 
 def op1_fingerprints(docs: DataFrame) -> DataFrame:
-    """The contract of operator 1 over ``documents``: each text against its edited text and the next document's."""
+    """The contract of operator 1 over ``documents``: each text against its edited text and the next document's.
+
+    Null text counts as empty, with an empty fingerprint. Of documents with one id the least checksum comes first; null
+    ids come last. A single document follows itself. Texts of any length are taken whole; no rows: no rows.
+    """
     base = with_sketch(docs.select("doc_id", whole("text").alias("text"))).withColumn("_tie", F.crc32("text"))
     paired = with_next(base, ["text", "sketch"])
     n = F.char_length("text")
