@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule (operator 6).
 
-The documents of a source, in a seeded random order, form one long stream of tokens, cut into blocks of equally many.
-Slot ``i`` of the mix goes to the source whose interval of cumulative target weights holds the ``i``-th van der Corput
-point; the slots of a source, ranked, take its blocks in turn, and start again after the last. Any stretch of the mix
+The documents of a source, in a seeded random order, form one long stream of tokens, cut into blocks of equally many;
+a small source has smaller blocks. Slot ``i`` of the mix goes to the source whose interval of cumulative weights (target
+tokens over block length) holds the ``i``-th van der Corput point; the slots of a source, ranked, take its blocks in turn,
+and start again after the last. Any stretch of the mix
 then holds the sources in proportion, and each source's share of tokens is off by a few blocks at most.
 
 The points, the ranks and the running offsets are all computed in parallel: no group goes to one task. Only the table
@@ -39,7 +40,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
 
     ``sizes`` has ``src`` and ``source_size``. What a source cannot take is shared among the others by weight, until
     none is above its limit: that is ``least(limit, weight * level)`` for one level, found by ordering the sources by
-    ``limit / weight``. Adds ``target`` and ``lo``, ``hi``, its part of [0, 1). Sources without words get nothing.
+    ``limit / weight``. Adds ``target``. Sources without words get nothing.
     """
     everything = Window.partitionBy(F.lit(0))
     by_key = Window.partitionBy(F.lit(0)).orderBy("src")
@@ -56,33 +57,40 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     # the first source, in that order, whose limit is not below the level reached: from it on nobody is limited
     level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "src", "_level"))).over(everything)["_level"]
     shared = levels.withColumn("target", F.least(F.col("limit"), F.col("weight") * level))
-    upto = F.sum("target").over(by_key.rowsBetween(Window.unboundedPreceding, 0))
-    return shared.withColumn("hi", F.when(F.col("_t") > 0, upto / F.col("_t")).otherwise(0.0)).withColumn(
-        "lo", F.coalesce(F.lag("hi").over(by_key), F.lit(0.0))
-    ).select("src", "source_size", "target", "lo", "hi", F.col("_t").cast("long").alias("all_size"))
+    return shared.select("src", "source_size", "target")
 
 
-def mix(docs: DataFrame, seed: int = 29, max_block: int = 512, least_slots: int = 65536, max_epochs: int = 3, key: str = "doc_id") -> DataFrame:
+def schedule(targets: DataFrame, max_block: int, least_blocks: int) -> DataFrame:
+    """Add ``block``, the tokens of a block of each source (its size over ``least_blocks``, 1 to ``max_block``), ``lo`` and ``hi``, its part
+    of [0, 1), and ``n_slots``, the slots of the whole mix: as many as the targets have blocks."""
+    everything = Window.partitionBy(F.lit(0))  # one row a source
+    by_key = everything.orderBy("src")
+    cut = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.col("source_size") / least_blocks))).cast("long"))
+    weighed = cut.withColumn("_w", F.col("target") / F.col("block"))
+    upto, whole = F.sum("_w").over(by_key.rowsBetween(Window.unboundedPreceding, 0)), F.sum("_w").over(everything)
+    out = weighed.withColumns({"hi": F.when(whole > 0, upto / whole).otherwise(0.0), "n_slots": F.ceil(whole)})
+    return out.withColumn("lo", F.coalesce(F.lag("hi").over(by_key), F.lit(0.0))).drop("_w")
+
+
+def mix(docs: DataFrame, seed: int = 29, max_block: int = 512, least_blocks: int = 4096, max_epochs: int = 3, key: str = "doc_id") -> DataFrame:
     """Mix ``docs`` (columns ``key``, ``source``, ``size``): one row each with ``source_size``, ``target``, ``taken``.
 
-    ``taken`` counts tokens, repeats included. Blocks have ``all_size / least_slots`` tokens, 1 to ``max_block``. A
-    document's last block may be cut; no document is taken more than ``max_epochs`` times. Documents without tokens and
+    ``taken`` counts tokens, repeats included. A source's blocks have ``source_size / least_blocks`` tokens, 1 to
+    ``max_block``. The random order is that of a digest of seed, key and, if the caller gives one, ``_tie``, which tells
+    rows apart whose keys are null or repeat. A document's last block may be cut; no document is taken more than ``max_epochs`` times. Documents without tokens and
     repeated rows keep a row each (``taken`` 0 for the former). Null sources form a source of their own, the last.
     ``docs`` is read twice: give it staged or cheap.
     """
+    ties = [F.col("_tie").cast("string")] if "_tie" in docs.columns else []
     rows = docs.select(
         key, source_key("source").alias("src"), F.col("size").cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("_mix"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), *ties)).alias("_mix"),
     ).withColumn("_cell", hash_bucket(F.col("_mix")))
     targets = source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), max_epochs)
-    targets = targets.withColumn(
-        "block", F.greatest(F.lit(1), F.least(F.lit(max_block), F.floor(F.col("all_size") / least_slots))).cast("long")
-    )
-    targets = stage_table(targets, "mix-targets")
+    targets = stage_table(schedule(targets, max_block, least_blocks), "mix-targets")
 
-    # Slots: as many blocks as the whole corpus has; slot, point, cell, then the source of the cell that holds the point.
-    whole = targets.agg(F.max("all_size").alias("t"), F.max("block").alias("b")).first()
-    n_slots = -(-(whole["t"] or 0) // (whole["b"] or 1))
+    # Slot, point, cell, then the source of the cell that holds the point.
+    n_slots = targets.agg(F.max("n_slots").alias("n")).first()["n"] or 0
     slots = docs.sparkSession.range(n_slots).withColumn("_u", van_der_corput(F.col("id"))).withColumn("_slot_cell", F.floor(F.col("_u") * CELLS))
     spans = targets.filter("hi > lo").select(
         "src", "lo", "hi", "source_size", "block",
@@ -116,5 +124,5 @@ def mix(docs: DataFrame, seed: int = 29, max_block: int = 512, least_slots: int
 
 def op6_mixing(docs: DataFrame) -> DataFrame:
     """The contract of operator 6 over ``documents``; the size of a text is its number of words."""
-    sized = docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", F.size(words("text")).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("_tie"))
     return mix(stage_table(sized, "mix-sizes"))

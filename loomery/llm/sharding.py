@@ -28,7 +28,7 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "so
     are interchangeable. Null sources form a source of their own. No rows: no rows. Other columns are kept.
     """
     ties = [F.col("_tie")] if "_tie" in docs.columns else []
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")), *[x.cast("string") for x in ties]))
     rows = docs.withColumns({"_src": source_key(source), "_mix": digest}).withColumn("_cell", hash_bucket(F.col("_mix")))
     ranked = running_offsets(rows, ["_src"], "_cell", [F.col("_mix"), F.col(key), *ties], start="_rank", total="_n")
     # (rank + 0.5) / n as a double is exact enough to order ranks of one source; equal fractions go by source.
