@@ -19,7 +19,7 @@ Lists that share their least member are one list, named by it: near copies share
 once and not hundreds of times. Links are found for components, not for all pairs:
 
 - sets that are equal are one node;
-- each member of a list is verified against its least, then its greatest member, and a list with very many members in
+- each member of a list is verified against its least and its greatest member, and a list with very many members in
   other components against further members, as long as that still connects a good part of them;
 - what is still apart is compared by parity sketches, whose differing bits are a lower bound of differing tokens. In a
   list the members of its largest component need not meet each other, only the others, the *strays*: short lists are
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from loomery.llm.common import SLICE_BYTES, arrow_slices
 from loomery.llm.shingles import mix64, shingle_sets
 from loomery.operators.components import connected_components
-from loomery.session import drop_staged, stage_table
+from loomery.session import drop_staged, stage_table, tasks_for
 
 #: Tokens in this many documents or more come late in the order, by their frequency.
 FREQUENT = 8
@@ -55,6 +55,8 @@ PAIRED = 64
 BITS_PER_TOKEN, LEAST_BITS = 4, 1024
 #: Lists of more members are compared in blocks of so many members or bytes of sketches, inside tasks.
 SMALL_LIST, BLOCK, BLOCK_BYTES = 16, 1000, 8 << 20
+#: Pairs of sets that a task verifies.
+SET_PAIRS = 10_000
 #: Tokens of a slice of the token space, counted in one task.
 SLICE_TOKENS = 1_000_000
 #: Bounds of what is sent to every executor.
@@ -291,13 +293,13 @@ def _folded(bits, to):
     return F.when(F.size(bits) == 2 * F.size(to), F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
 
 
-def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, key: str) -> DataFrame:
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, key: str, tasks: int) -> DataFrame:
     """Pairs whose sketches don't rule them out: sets differ at least in as many tokens as their sketches in bits."""
     left, right = (sketches.select(F.col(key).alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(left, "a").coalesce(tasks).join(right, "b").coalesce(tasks)
     both = both.withColumns({"_a": _folded(F.col("bits_a"), F.col("bits_b")), "_b": _folded(F.col("bits_b"), F.col("bits_a"))}).filter(F.size("_a") == F.size("_b"))
     differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
+    return both.filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
 
 
 def _by_width(bits: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -394,9 +396,9 @@ def _pairs_in_short_lists(members: DataFrame, percent: int, key: str) -> DataFra
     return one.join(other, "hub").filter("c_a <> c_b").filter(_fitting(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str) -> DataFrame:
-    """Of the pairs ``a``, ``b`` those with ``100 * intersection >= percent * union``, by their whole sets; staged."""
-    ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "ids")
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str, n_pairs: int) -> DataFrame:
+    """Of the ``n_pairs`` pairs ``a``, ``b`` those with ``100 * intersection >= percent * union``, by their whole sets; staged."""
+    ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "ids", tasks_for(2 * n_pairs))
     sets = stage_table(token_table(docs, k, ids, key), "tokens")
     left, right = (sets.select(F.col(key).alias(x), F.col("tokens").alias(f"t_{x}")) for x in "ab")
 
@@ -409,7 +411,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str)
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = stage_table(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
+    n_tasks = tasks_for(n_pairs, SET_PAIRS)
+    met = pairs.select("a", "b").join(left, "a").coalesce(n_tasks).join(right, "b").coalesce(n_tasks)
+    out = stage_table(met.mapInArrow(run, "a long, b long"), "links")
     drop_staged(ids, sets)
     return out
 
@@ -424,14 +428,14 @@ def _star(members: DataFrame, choose, percent: int, key: str) -> DataFrame:
     return pairs.filter("c_a <> c_b").filter(_fitting(percent)).select("a", "b").distinct()
 
 
-def _labelled(members: DataFrame, components: DataFrame, key: str) -> DataFrame:
+def _labelled(members: DataFrame, components: DataFrame, key: str, tasks: int) -> DataFrame:
     """Members with their present component, of lists that still hold more than one; staged."""
-    named = members.drop("component").join(components.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
-    open_lists = named.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hub")
-    return stage_table(named.join(open_lists, "hub"), "members")
+    named = members.drop("component").join(components.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key)).coalesce(tasks)
+    open_lists = named.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hub").coalesce(tasks)
+    return stage_table(named.join(open_lists, "hub"), "members", tasks)
 
 
-def _long_strays(members: DataFrame) -> int:
+def _many_strays(members: DataFrame) -> int:
     """How many strays the lists with more than a block of them hold."""
     many = _strays(members).filter("stray").groupBy("hub").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK)
     return many.agg(F.sum("c").alias("c")).first()["c"] or 0
@@ -463,53 +467,55 @@ def link_components(docs: DataFrame, percent: int = 85, k: int = 4, key: str = "
     order.destroy()
     lists = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(key).alias("hub")).filter("c > 1").select("sig", "hub")
     members = stage_table(signed.join(lists, "sig").select("hub", key, "n", F.col(key).alias("component")).distinct(), "members")
+    n_tasks = tasks_for(members.count())
     drop_staged(slices, copies, signed)
 
-    ids = stage_table(members.select(key).distinct(), "ids")
+    ids = stage_table(members.select(key).distinct(), "ids", n_tasks)
     sketches = stage_table(sketch_table(docs, k, ids, key), "sketches")
     drop_staged(ids)
     # rows that share a key are one node, though their sets differ
     links = classes.join(known, "fp").filter(F.col("rep") != F.col(key)).select(F.col("rep").alias("a"), F.col(key).alias("b"))
-    found = [links.join(known.groupBy(key).agg(F.count_distinct("fp").alias("c")).filter("c > 1").withColumnRenamed(key, "b").select("b"), "b", "left_semi").select("a", "b")]
+    twice = stage_table(links.join(known.groupBy(key).agg(F.count_distinct("fp").alias("c")).filter("c > 1").withColumnRenamed(key, "b").select("b"), "b", "left_semi").select("a", "b"), "links")
+    found, components = [twice], None
 
     def step(likely: DataFrame) -> DataFrame:
         """Verify pairs and give the components of all links so far."""
-        likely = stage_table(likely, "pairs")
-        if found[1:] and not likely.limit(1).count():
-            drop_staged(likely)
-            return components
-        found.append(verified(likely, docs, k, percent, key))
+        likely = stage_table(likely, "pairs", n_tasks)
+        n_pairs = likely.count()
+        new = verified(likely, docs, k, percent, key, n_pairs) if n_pairs else None
         drop_staged(likely)
+        if components is not None and (new is None or not new.limit(1).count()):
+            return components
+        found.append(new if new is not None else likely.sparkSession.createDataFrame([], "a long, b long"))
         edges = found[0]
         for x in found[1:]:
             edges = edges.unionByName(x)
-        return stage_table(connected_components(edges, "a", "b"), "components")
+        return stage_table(connected_components(edges, "a", "b"), "components", n_tasks)
 
     whom = F.struct(key, "n", "component")
-    components, before, turn = None, None, 0
+    stars = _star(members, F.min(whom), percent, key).unionByName(_star(members, F.max(whom), percent, key)).coalesce(n_tasks).distinct()
+    before, turn = None, 0
     while True:
-        choose = [F.min(whom), F.max(whom)][turn] if turn < 2 else F.min_by(whom, F.xxhash64(F.lit(turn), key))
-        components = step(plausible(_star(members, choose, percent, key), sketches, percent, key))
-        old, members = members, _labelled(members, components, key)
+        components = step(plausible(stars, sketches, percent, key, n_tasks))
+        old, members = members, _labelled(members, components, key, n_tasks)
         drop_staged(old)
-        turn += 1
-        if turn >= 2:
-            left = _long_strays(members)
-            if not left or (before is not None and left > 0.9 * before):
-                break
-            before = left
+        left = _many_strays(members)
+        if not left or (before is not None and left > 0.9 * before):
+            break
+        before, turn = left, turn + 1
+        stars = _star(members, F.min_by(whom, F.xxhash64(F.lit(turn), key)), percent, key)
     for forest in (True, False):
-        apart = stage_table(_strays(members), "apart")
+        apart = stage_table(_strays(members), "apart", n_tasks)
         lengths = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("c"))
-        long = apart.join(lengths.filter(F.col("c") > SMALL_LIST).select("hub"), "hub")
+        long = apart.join(lengths.filter(F.col("c") > SMALL_LIST).select("hub"), "hub").coalesce(n_tasks)
         likely = pairs_in_blocks(long, sketches, percent, key, forest)
         if not forest:
-            short = apart.join(lengths.filter(F.col("c") <= SMALL_LIST).select("hub"), "hub")
-            likely = likely.unionByName(plausible(_pairs_in_short_lists(short, percent, key), sketches, percent, key)).distinct()
-        components = step(likely)
+            short = apart.join(lengths.filter(F.col("c") <= SMALL_LIST).select("hub"), "hub").coalesce(n_tasks)
+            likely = likely.unionByName(plausible(_pairs_in_short_lists(short, percent, key), sketches, percent, key, n_tasks)).distinct()
+        last, components = components, step(likely)
         drop_staged(apart)
-        if forest:
-            old, members = members, _labelled(members, components, key)
+        if forest and components is not last:
+            old, members = members, _labelled(members, components, key, n_tasks)
             drop_staged(old)
     drop_staged(members, sketches, *found)
 
