@@ -11,24 +11,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.llm import jaccard, language, lines, mixing, pieces
-from loomery.llm.common import words
+from loomery.llm.common import small_batches, words
 from loomery.llm.queries import vocabulary
 from loomery.session import stage_table, table
 
-#: Documents whose best language has less of the pooled probability are rejected.
-LEAST_SCORE = 0.3
 #: Ids of rejected duplicates up to this number are broadcast; more are joined by a shuffle.
 MAX_IDS = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text is null, has no letter, or is in no learned language."""
+    """Drop documents whose text is null, has no letter, or is in no learned language.
+
+    That is, scored below the model's floor, which comes from the scores of the documents learned from. Without any
+    labelled document, those with a letter stay. Null and repeated ids are rows like others; no rows: no rows.
+    """
+    small_batches(spark)
     model = language.fit(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
-    return language.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return language.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= model.floor)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines of ten documents or more out of all but the first of them; drop documents left without a word."""
+    """Take lines of ten documents (rows) or more out of all but the first of them; drop documents left without a word.
+
+    First is the least id, null last, then the least hash of the text. Null and repeated ids are rows like others.
+    """
+    small_batches(spark)
     index = lines.build(docs.select("text"), min_docs=10, min_chars=1)
     stripped = lines.strip_lines(docs, index, keep_first=True)
     return stripped.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
@@ -40,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It is that of the least id, null last, then of the least text digest, source and language. Rows are told apart by a
     number of their own, fixed by writing it, so null and repeated ids are judged like others.
     """
+    small_batches(spark)
     rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     components = stage_table(jaccard.link_components(rows, percent=80, k=5, key="_row").select("_row", "component_id"), "row-components")
     grouped = components.join(components.filter("_row <> component_id").select("component_id").distinct(), "component_id")
@@ -66,7 +76,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, their number, and whether they decode to the same text."""
+    """Token ids of each text, their number, and whether they decode to the same text. One row for each row."""
+    small_batches(spark)
     return pieces.encode_rows(docs.select("doc_id", "lang", "source", "text"), vocabulary("piece_bpe_32k.model"))
 
 

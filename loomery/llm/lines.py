@@ -7,8 +7,9 @@ documents subtracts, and takes keys that fall below it out again. So a line drop
 comes back when one of them goes.
 
 To clean documents, their lines are asked of the filters inside the tasks that read the texts; what a filter knows is
-a candidate and is confirmed against the exact table in a join. Only candidates are shuffled, not all lines. If the
-filters would be too large to send to every executor, all lines take the join instead; the result is the same.
+a candidate and is confirmed against the exact common keys. Up to a stated number of these, they go along with the
+filters and no text is shuffled. Beyond it candidates are confirmed in a join, and what each text loses is joined to it;
+the result is the same.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import SPACE_CHARS
+from loomery.llm.common import SLICE_BYTES, SPACE_CHARS, arrow_slices
 from loomery.session import stage_table
 
 STRIP = SPACE_CHARS.encode()
@@ -136,28 +138,38 @@ def _signed(x: int) -> int:
 _LOW = (1 << 64) - 1
 
 
-def reference_counts(docs: DataFrame, min_chars: int = 1, sign: int = 1) -> DataFrame:
+def reference_counts(docs: DataFrame, min_chars: int = 1, sign: int = 1, key: str | None = None) -> DataFrame:
     """Counts of documents by line key: ``hi``, ``lo`` (the key's 128-bit hash) and ``n_docs``, times ``sign``.
 
-    Each row of ``docs`` (``text``) is a document; a key counts once in it. Nulls count as empty texts.
+    Each row of ``docs`` (``text``) is a document; a key counts once in it. With ``key``, rows that share one are a
+    document together, and rows where it is null are each one. Nulls count as empty texts.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in arrow_slices(batches, "text", 4 * SLICE_BYTES):
             seen: dict[int, int] = {}
-            for text in batch["text"]:
-                for key in {k for k in _keys(text, min_chars)[1] if k is not None}:
-                    seen[key] = seen.get(key, 0) + 1
-            yield pd.DataFrame(
-                {
-                    "hi": np.fromiter((_signed(k >> 64) for k in seen), np.int64, len(seen)),
-                    "lo": np.fromiter((_signed(k & _LOW) for k in seen), np.int64, len(seen)),
-                    "n": np.fromiter(seen.values(), np.int64, len(seen)),
-                }
-            )
-
-    part = docs.select("text").mapInPandas(run, "hi long, lo long, n long")
-    return part.groupBy("hi", "lo").agg((F.sum("n") * sign).alias("n_docs"))
+            for text in rows.column("text").to_pylist():
+                for k in {k for k in _keys(text, min_chars)[1] if k is not None}:
+                    seen[k] = seen.get(k, 0) + 1
+            hi = np.fromiter((_signed(k >> 64) for k in seen), np.int64, len(seen))
+            lo = np.fromiter((_signed(k & _LOW) for k in seen), np.int64, len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], names=["hi", "lo", "n"])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        part = rows.select("text").mapInArrow(run, "hi bigint, lo bigint, n bigint")
+        return part.groupBy("hi", "lo").agg((F.sum("n") * sign).alias("n_docs"))
+
+    if key is None:
+        return counted(docs)
+    # rows that share a key are few: they are counted apart, and what they count twice is taken off
+    again = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(key)
+    again = stage_table(again, "repeated-keys")
+    if not again.limit(1).count():
+        return counted(docs)
+    tagged = docs.join(again, key, "left_semi").select(F.lit(False).alias("_none"), F.xxhash64(key).alias("_id"), F.xxhash64(key, F.lit(1)).alias("_text"), "text")
+    twice = candidates(tagged, LineIndex(None, None, 0, min_chars, 1)).groupBy("hi", "lo", "_id", "_text").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    over = twice.groupBy("hi", "lo").agg((F.sum(F.col("_c") - 1) * -sign).alias("n_docs"))
+    return counted(docs).unionByName(over).groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"))
 
 
 @dataclass
@@ -189,9 +201,9 @@ def build_filters(keys: DataFrame, n_shards: int) -> DataFrame:
     return keys.select("lo", _shard(n_shards).alias("shard")).groupBy("shard").applyInPandas(run, "shard int, n_keys long, bits binary")
 
 
-def build(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 100_000) -> LineIndex:
-    """The index of ``docs``. Shards grow in number with the common keys, not in size."""
-    counts = stage_table(reference_counts(docs, min_chars), "line-counts")
+def build(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keys_per_shard: int = 100_000, key: str | None = None) -> LineIndex:
+    """The index of ``docs``, of rows or, with ``key``, of documents by it. Shards grow in number with the common keys, not in size."""
+    counts = stage_table(reference_counts(docs, min_chars, key=key), "line-counts")
     return _indexed(counts, min_docs, min_chars, keys_per_shard)
 
 
@@ -244,82 +256,165 @@ def update(index: LineIndex, inserted: DataFrame | None = None, deleted: DataFra
     return LineIndex(counts, filters, index.min_docs, index.min_chars, index.n_shards)
 
 
-def common_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", keep_first: bool = False, max_filter_bytes: int = 64 << 20) -> DataFrame:
-    """For each ``key`` of ``docs`` that holds common lines: ``common``, the distinct hashes (16 bytes) of those keys.
+#: Exact common keys that are sent along with the filters (about 40 bytes each); more are confirmed in a join.
+MAX_KEYS = 1_000_000
+_NO_KEY = -(1 << 63)
+
+
+def _tagged(docs: DataFrame, key: str | None) -> DataFrame:
+    """Add what tells texts apart for their first holder: ``_none``, ``_id`` (a number that grows with the key) and ``_text``."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumns({"_none": (F.col(key).isNull() if key else F.lit(False)), "_id": F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)) if key else F.lit(_NO_KEY), "_text": digest})
+
+
+def _filters(index: LineIndex) -> dict[int, bytes]:
+    return {r["shard"]: r["bits"] for r in index.filters.collect()}
+
+
+def candidates(docs: DataFrame, index: LineIndex, filters=None) -> DataFrame:
+    """Distinct ``hi``, ``lo`` of the lines that the filters know (all lines without filters), with the tag of their text.
 
-    ``key`` must tell documents apart; of rows that share it the common keys are pooled, which drops the same lines.
-    With ``keep_first`` the least key that holds a line keeps it.
+    ``filters`` is a broadcast dictionary of filters by shard.
     """
-    size = index.filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first()["n"]
-    known = None
-    if size <= max_filter_bytes:
-        known = docs.sparkSession.sparkContext.broadcast({r["shard"]: r["bits"] for r in index.filters.collect()})
     min_chars, n_shards = index.min_chars, index.n_shards
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filters = None if known is None else {k: CuckooFilter.from_bytes(v) for k, v in known.value.items()}
-        for batch in batches:
-            owner, keys = [], []
-            for i, text in enumerate(batch["text"]):
-                found = {k for k in _keys(text, min_chars)[1] if k is not None}
-                keys += found
-                owner += [i] * len(found)
-            hi = np.fromiter((_signed(k >> 64) for k in keys), np.int64, len(keys))
-            lo = np.fromiter((_signed(k & _LOW) for k in keys), np.int64, len(keys))
-            at = np.array(owner, np.int64)
-            if filters is not None:
-                shard, maybe = hi % n_shards, np.zeros(len(keys), bool)
-                for s, held in filters.items():
-                    mine = np.flatnonzero(shard == s)
-                    maybe[mine] = held.contains(lo[mine].view(np.uint64))
-                hi, lo, at = hi[maybe], lo[maybe], at[maybe]
-            yield pd.DataFrame({key: batch[key].to_numpy()[at], "hi": hi, "lo": lo})
-
-    kind = docs.schema[key].dataType.simpleString()
-    maybe = docs.select(key, "text").filter(F.col(key).isNotNull()).mapInPandas(candidates, f"`{key}` {kind}, hi long, lo long")
-    sure = maybe.join(index.common(), ["hi", "lo"])
-    if keep_first:
-        firsts = sure.groupBy("hi", "lo").agg(F.min(key).alias("_first"))
-        sure = sure.join(firsts, ["hi", "lo"]).filter(F.col(key) != F.col("_first"))
-    return sure.groupBy(key).agg(F.collect_set(F.struct("hi", "lo")).alias("common"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if filters is None else {k: CuckooFilter.from_bytes(v) for k, v in filters.value.items()}
+        for rows in arrow_slices(batches, "text"):
+            at, hi, lo = _hashed(rows.column("text").to_pylist(), min_chars)
+            if known is not None:
+                maybe = _known(known, n_shards, hi, lo)
+                at, hi, lo = at[maybe], hi[maybe], lo[maybe]
+            place = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(place) for c in ("_none", "_id", "_text")), pa.array(hi), pa.array(lo)], names=["_none", "_id", "_text", "hi", "lo"])
+
+    return docs.select("_none", "_id", "_text", "text").mapInArrow(run, "_none boolean, _id bigint, _text bigint, hi bigint, lo bigint")
+
+
+def _hashed(texts: list[str | None], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each text: the text's place, and the two halves of the key."""
+    owner, keys = [], []
+    for i, text in enumerate(texts):
+        found = {k for k in _keys(text, min_chars)[1] if k is not None}
+        keys += found
+        owner += [i] * len(found)
+    hi = np.fromiter((_signed(k >> 64) for k in keys), np.int64, len(keys))
+    lo = np.fromiter((_signed(k & _LOW) for k in keys), np.int64, len(keys))
+    return np.array(owner, np.int64), hi, lo
+
+
+def _known(filters: dict[int, CuckooFilter], n_shards: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    shard, maybe = hi % n_shards, np.zeros(len(hi), bool)
+    for s, held in filters.items():
+        mine = np.flatnonzero(shard == s)
+        maybe[mine] = held.contains(lo[mine].view(np.uint64))
+    return maybe
+
+
+class CommonKeys:
+    """Exact common keys, sorted, each with the tag of its first holder: what filters only guess at."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, holders: list[np.ndarray] | None):
+        order = np.lexsort((hi, lo))
+        self.hi, self.lo = hi[order], lo[order]
+        self.holders = None if holders is None else [x[order] for x in holders]
+
+    def find(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that aren't common."""
+        if not len(self.lo):
+            return np.full(len(lo), -1)
+        at = np.searchsorted(self.lo, lo)
+        while True:  # equal low halves are next to each other; nearly always one step
+            inside = np.minimum(at, len(self.lo) - 1)
+            step = (at < len(self.lo)) & (self.lo[inside] == lo) & (self.hi[inside] < hi)
+            if not step.any():
+                break
+            at = at + step
+        inside = np.minimum(at, len(self.lo) - 1)
+        return np.where((at < len(self.lo)) & (self.lo[inside] == lo) & (self.hi[inside] == hi), inside, -1)
 
 
-def strip_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", keep_first: bool = False, text_out: bool = True) -> DataFrame:
+def strip_lines(docs: DataFrame, index: LineIndex, key: str | None = "doc_id", keep_first: bool = False, text_out: bool = True, max_keys: int = MAX_KEYS) -> DataFrame:
     """``docs`` without the common lines: replaces ``text``, adds ``n_lines``, ``n_dropped``, ``kept_sha256``.
 
-    Null or empty text is one empty line and stays what it is. Other columns are kept. Rows with a null key keep all
-    their lines. With ``text_out`` false the text is left out.
+    Null or empty text is one empty line and stays what it is. Other columns are kept; rows with null or repeated keys
+    are rows like others. With ``keep_first`` the row of the least ``key`` (a number; null last, then the text with the
+    least hash) that holds a line keeps it; rows equal in both keep it alike. With ``text_out`` false the text is left out.
     """
-    base = docs.drop("n_lines", "n_dropped", "kept_sha256", "common")
-    marked = base.join(common_lines(base, index, key, keep_first), key, "left")
+    spark = docs.sparkSession
+    base = docs.drop("n_lines", "n_dropped", "kept_sha256")
+    tagged = _tagged(base, key if keep_first else None)
+    common, n_keys = index.common(), index.common().count()
+    filters = spark.sparkContext.broadcast(_filters(index)) if n_keys <= max_keys else None
+    tag = F.struct("_none", "_id", "_text")
+    if keep_first:
+        sure = candidates(tagged, index, filters).join(common, ["hi", "lo"])
+        common = stage_table(sure.groupBy("hi", "lo").agg(F.min(tag).alias("first")).select("hi", "lo", "first.*"), "line-holders")
+    if filters is not None:
+        held = common.toArrow()
+        column = lambda c: held.column(c).to_numpy(zero_copy_only=False)
+        exact = spark.sparkContext.broadcast(CommonKeys(column("hi"), column("lo"), [column(c) for c in ("_none", "_id", "_text")] if keep_first else None))
+        marked = tagged
+    else:
+        exact = None
+        lost = candidates(tagged, index).join(common if not keep_first else common.withColumnsRenamed({"_none": "_n0", "_id": "_i0", "_text": "_t0"}), ["hi", "lo"])
+        if keep_first:
+            lost = lost.filter("NOT (_none = _n0 AND _id = _i0 AND _text = _t0)")
+        gone = lost.groupBy("_none", "_id", "_text").agg(F.collect_set(F.struct("hi", "lo")).alias("_common"))
+        marked = tagged.join(gone, ["_none", "_id", "_text"], "left")
     out = [f for f in base.schema.fields if text_out or f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_lines long, n_dropped long, kept_sha256 string"
-    names, min_chars = [f.name for f in out], index.min_chars
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), "n_lines bigint, n_dropped bigint, kept_sha256 string"])
+    names, min_chars, n_shards = [f.name for f in out], index.min_chars, index.n_shards
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if filters is None else {k: CuckooFilter.from_bytes(v) for k, v in filters.value.items()}
+        for rows in arrow_slices(batches, "text"):
+            source = rows.column("text").to_pylist()
+            if known is not None:
+                drop = _lost(rows, source, known, exact.value, min_chars, n_shards)
+            else:
+                drop = [{((c["hi"] & _LOW) << 64) | (c["lo"] & _LOW) for c in common or ()} for common in rows.column("_common").to_pylist()]
             texts, totals, dropped, digests = [], [], [], []
-            for text, common in zip(batch["text"], batch["common"]):
-                if common is None or not len(common):
-                    kept, n, gone = (text or "").encode("utf-8", "surrogatepass"), (text or "").count("\n") + 1, 0
+            for text, gone in zip(source, drop):
+                lines = (text or "").split("\n")
+                if gone:
+                    raw, keys = _keys(text, min_chars)
+                    stay = [x for x, k in zip(raw, keys) if k not in gone]
+                    kept, n = b"\n".join(stay), len(raw) - len(stay)
+                    texts.append(kept.decode("utf-8", "surrogatepass") if n else text)
                 else:
-                    drop = {((c["hi"] & _LOW) << 64) | (c["lo"] & _LOW) for c in common}
-                    lines, keys = _keys(text, min_chars)
-                    stay = [x for x, k in zip(lines, keys) if k not in drop]
-                    kept, n, gone = b"\n".join(stay), len(lines), len(lines) - len(stay)
+                    kept, n = (text or "").encode("utf-8", "surrogatepass"), 0
+                    texts.append(text)
+                totals.append(len(lines))
+                dropped.append(n)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(text if not gone else kept.decode("utf-8", "surrogatepass"))
-                totals.append(n)
-                dropped.append(gone)
-            yield batch.assign(text=texts, n_lines=totals, n_dropped=dropped, kept_sha256=digests)[[*names, "n_lines", "n_dropped", "kept_sha256"]]
+            made = {"text": pa.array(texts, pa.string())} if text_out else {}
+            columns = [made.get(c, rows.column(c)) if c == "text" else rows.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())], names=[*names, "n_lines", "n_dropped", "kept_sha256"])
+
+    return marked.mapInArrow(run, schema)
+
 
-    return marked.mapInPandas(run, schema)
+def _lost(rows: pa.RecordBatch, texts: list[str | None], filters: dict, exact: CommonKeys, min_chars: int, n_shards: int) -> list[set[int]]:
+    """The common keys that each text loses: known to a filter, confirmed, and not kept as their first holder."""
+    at, hi, lo = _hashed(texts, min_chars)
+    maybe = np.flatnonzero(_known(filters, n_shards, hi, lo))
+    place = exact.find(hi[maybe], lo[maybe])
+    maybe, place = maybe[place >= 0], place[place >= 0]
+    if exact.holders is not None:
+        own = [rows.column(c).to_numpy(zero_copy_only=False)[at[maybe]] for c in ("_none", "_id", "_text")]
+        first = np.logical_and.reduce([x == y[place] for x, y in zip(own, exact.holders)])
+        maybe = maybe[~first]
+    out: list[set[int]] = [set() for _ in texts]
+    for i, h, m in zip(at[maybe].tolist(), hi[maybe].tolist(), lo[maybe].tolist()):
+        out[i].add(((h & _LOW) << 64) | (m & _LOW))
+    return out
 
 
 def op8_lines(docs: DataFrame) -> DataFrame:
-    """The contract of operator 8 over ``documents``."""
+    """The contract of operator 8 over ``documents``. Rows count as documents by their id; rows without one each for themselves."""
     rows = docs.select("doc_id", "text")
-    return strip_lines(rows, build(rows, min_docs=10, min_chars=1), text_out=False)
+    return strip_lines(rows, build(rows, min_docs=10, min_chars=1, key="doc_id"), text_out=False)
 
 
 OP8_SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomery.llm import fingerprints, jaccard, language, lines, mixing, pages, pieces, quality, sharding, unigram
+from loomery.llm.common import small_batches
 from loomery.session import table
 
 
@@ -14,7 +15,7 @@ def vocabulary(name: str) -> str:
 
 
 def queries() -> dict:
-    docs = lambda s, d: table(s, d, "documents")
+    docs = lambda s, d: table(small_batches(s), d, "documents")
     return {
         "op1_fingerprints": lambda s, d: fingerprints.op1_fingerprints(docs(s, d)),
         "op2_token_counts": lambda s, d: unigram.op2_token_counts(docs(s, d), vocabulary("piece_bpe_32k.model")),
@@ -22,7 +23,7 @@ def queries() -> dict:
         "op4_jaccard": lambda s, d: jaccard.op4_jaccard(docs(s, d)),
         "op5_quality": lambda s, d: quality.op5_quality(docs(s, d)),
         "op6_mixing": lambda s, d: mixing.op6_mixing(docs(s, d)),
-        "op7_pages": lambda s, d: pages.op7_pages(table(s, d, "pages")),
+        "op7_pages": lambda s, d: pages.op7_pages(table(small_batches(s), d, "pages")),
         "op8_lines": lambda s, d: lines.op8_lines(docs(s, d)),
         "op9_language": lambda s, d: language.op9_language(docs(s, d)),
         "op10_pieces": lambda s, d: pieces.op10_pieces(docs(s, d), vocabulary("piece_bpe_32k.model")),

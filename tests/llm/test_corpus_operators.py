@@ -164,8 +164,19 @@ def test_line_index_is_reversible(spark):
     assert dropped(lines.LineIndex(index.counts, index.filters, 10, 1, index.n_shards)) == 12
     first = lines.strip_lines(df, index, keep_first=True).filter("n_dropped = 0").collect()
     assert [r.doc_id for r in first] == [0]
-    unsent = lines.common_lines(df, index, max_filter_bytes=-1)  # the way without filters
-    assert unsent.count() == 12
+    for keep in (False, True):  # the way without filters gives the same
+        one, two = (sorted(map(tuple, lines.strip_lines(df, index, keep_first=keep, max_keys=k).collect())) for k in (lines.MAX_KEYS, -1))
+        assert one == two
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    rows = [(i, "shared\nown") for i in range(8)] + [(None, "shared"), (None, "SHARED \n x")] + [(20, "twice"), *[(i, "twice") for i in range(21, 29)], (20, "twice\nmore")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped) for r in lines.op8_lines(df).collect()), key=repr)
+    assert [x for x in got if x[0] is None] == [(None, 1, 1), (None, 2, 1)]  # ten documents hold "shared", two of them without id
+    assert [x for x in got if x[0] == 20] == [(20, 1, 0), (20, 2, 0)]  # ten rows, but nine documents hold "twice"
+    kept = lines.strip_lines(df, lines.build(df, 10), keep_first=True).filter("text LIKE '%shared%' OR text LIKE '%SHARED%'").collect()
+    assert [r.doc_id for r in kept] == [0]
 
 
 def test_cuckoo_filter():
