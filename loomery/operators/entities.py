@@ -23,8 +23,10 @@ CHUNK_PATTERNS = {
 
 def _matches(text: Column, patterns: dict[str, str]) -> Column:
     """All matches of all patterns: structs of ``kind`` and ``text``, by pattern, then in order."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("text"))) for k, p in patterns.items()]
-    return F.flatten(F.array(*each))
+    def named(kind: str):
+        return lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("text"))
+
+    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), named(k)) for k, p in patterns.items()]))
 
 
 def rule_entities(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,10 +47,11 @@ def rule_entities(df: DataFrame, key: str, text: str) -> DataFrame:
 def _without_overlaps(spans: DataFrame, key: str) -> DataFrame:
     """Spans of each key in order of their start, without those that begin before the end of one kept."""
     order = F.sort_array(F.collect_list(F.struct("start", F.col("kind").alias("kind"), "text", "end")))
+    kind = "struct<last:int,kept:array<struct<start:int,kind:string,text:string,end:int>>>"
     # the spans of one text: a short list
     keep = F.aggregate(
-        order, F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<start:int,kind:string,text:string,end:int>>").alias("kept")),
-        lambda a, x: F.when(x["start"] >= a["last"], F.struct(x["end"].alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a),
+        order, F.struct(F.lit(-1), F.array()).cast(kind),
+        lambda a, x: F.when(x["start"] >= a["last"], F.struct(x["end"].alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a).cast(kind),
     )
     return spans.groupBy(key).agg(keep["kept"].alias("kept")).select(key, F.explode("kept").alias("s")).select(key, "s.kind", "s.text", "s.start")
 

@@ -58,10 +58,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return rank
 
 
-def k_core(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def k_core(edges: DataFrame) -> DataFrame:
     """True coreness of every node with an edge: nodes below the degree in turn are peeled off, round by round."""
     left, k, out = stage_table(undirected(edges), "core"), 1, None
-    for _ in range(max_rounds):
+    while True:
         deg = left.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
         low = stage_table(deg.filter(F.col("d") <= k).select(F.col("src").alias("id")), "peeled")
         if low.limit(1).count():

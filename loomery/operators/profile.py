@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.operators.ranking import running_sums
+from loomery.session import stage_table
+
 
 def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
@@ -27,20 +30,34 @@ def _long_form(df: DataFrame, aggregates: dict[str, list[tuple[str, Column]]], k
 
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per numeric column: counts, distinct values (null is one), mean, sample deviation, extremes, quartiles (linear)."""
+    """Per numeric column: counts, distinct values (null is one), mean, sample deviation, extremes, quartiles (linear).
+
+    Moments come from one pass. Distinct values and quartiles come from the counts of each value: these are ranked in
+    buckets of about equally many values, so no task holds a column.
+    """
     columns = columns or [f.name for f in df.schema if is_numeric(f.dataType)]
 
     def parts(c: str) -> list[tuple[str, Column]]:
         x = F.col(c).cast("double")
         nulls = F.count_if(F.col(c).isNull())
-        return [
-            ("count", F.count(F.lit(1))), ("null_count", nulls), ("null_pct", F.round(100.0 * nulls / F.count(F.lit(1)), 2)),
-            ("unique_count", F.count_distinct(c) + F.max(F.col(c).isNull().cast("long"))),
-            ("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x)),
-            ("q25", F.percentile(x, 0.25)), ("median", F.percentile(x, 0.5)), ("q75", F.percentile(x, 0.75)),
-        ]
-
-    return _long_form(df, {c: parts(c) for c in columns})
+        return [("count", F.count(F.lit(1))), ("null_count", nulls), ("null_pct", F.round(100.0 * nulls / F.count(F.lit(1)), 2)), ("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), ("max", F.max(x))]
+
+    moments = _long_form(df, {c: parts(c) for c in columns})
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    cells = stage_table(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "profile-cells")
+    known = cells.filter("value IS NOT NULL")
+    borders = known.groupBy("column").agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 1000).alias("_b"))
+    placed = known.join(F.broadcast(borders), "column").withColumn("bucket", F.size(F.filter("_b", lambda b: b < F.col("value")))).drop("_b")  # one row a column
+    run = running_sums(placed, ["column"], "bucket", [F.col("value")], {"start": F.col("n")}, {"start": "total"})
+    at = {q: F.lit(q) * (F.col("total") - 1) for q in (0.25, 0.5, 0.75)}
+    holds = lambda k: F.when((F.col("start") <= k) & (k < F.col("start") + F.col("n")), F.col("value"))
+    ends = run.groupBy("column").agg(F.max("total").alias("total"), *[F.max(holds(f(at[q]))).alias(f"{n}{int(100 * q)}") for q in at for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    quartile = lambda q: F.col(f"lo{int(100 * q)}") + (at[q] - F.floor(at[q])) * (F.col(f"hi{int(100 * q)}") - F.col(f"lo{int(100 * q)}"))
+    quartiles = ends.select("column", quartile(0.25).alias("q25"), quartile(0.5).alias("median"), quartile(0.75).alias("q75"))
+    distinct = cells.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    return moments.join(distinct, "column").join(quartiles, "column", "left").select(
+        "column", "count", "null_count", "null_pct", "unique_count", "mean", "std", "min", "max", "q25", "median", "q75"
+    )
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:

@@ -32,6 +32,13 @@ def plain(v):
     return str(v).replace("+00:00", "")
 
 
+def same(x, y):
+    """Equal, or numbers that differ in the last place that is rounded."""
+    if isinstance(x, float) and isinstance(y, float):
+        return abs(x - y) <= 1.5e-6 + 1e-6 * abs(y)
+    return x == y
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_same_as_sql(spark, duck, name):
     df = catalogue.queries()[name](spark, FOLDER)
@@ -40,11 +47,15 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     ours = sorted((tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()), key=repr)
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in found.fetchall()), key=repr)
-    assert ours == theirs
+    assert len(ours) == len(theirs)
+    assert all(same(x, y) for a, b in zip(ours, theirs) for x, y in zip(a, b))
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_runs(spark, name):
+def test_gives_rows(spark, name):
+    """Queries without SQL; their results are held against plain versions in the other tests."""
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables")
-    assert catalogue.queries()[name](spark, FOLDER).count() >= 0
+    df = catalogue.queries()[name](spark, FOLDER)
+    rows = df.collect()
+    assert rows and all(any(r[c] is not None for r in rows) for c in df.columns)
