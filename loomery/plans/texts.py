@@ -201,7 +201,7 @@ SQL = {
     "temporal_graph_features": f"""WITH {_E}, n AS (SELECT src AS id, amount, ts FROM ed UNION ALL SELECT dst, amount, ts FROM ed), w AS (SELECT id, amount, ts, max(ts) OVER (PARTITION BY id) AS l, ts - lag(ts) OVER (PARTITION BY id ORDER BY ts, amount) AS g, sum(amount) OVER (PARTITION BY id) AS s FROM n)
         SELECT id, count(*) FILTER (ts >= l - 30) AS velocity, round(CASE WHEN avg(g) > 0 THEN stddev_pop(g) / avg(g) ELSE 0 END, 6) AS burst, round(sum(pow(amount / s, 2)), 6) AS concentration, round(avg(amount) FILTER (ts >= l - 30) / avg(amount), 6) AS recent_ratio FROM w GROUP BY id""",
     "calibration_ece": "WITH x AS (SELECT doc_id % 128 / 128.0::DOUBLE AS p, quality AS y FROM labels), c AS (SELECT count(*) AS n, abs(avg(p) - avg(y)) AS g FROM x GROUP BY least(floor(p * 10), 9)) SELECT round(sum(n * g) / sum(n), 6)::DOUBLE AS ece, round(max(g), 6) AS mce FROM c",
-    "content_cosine": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT c.vec_id AS q, e.vec_id, round(list_cosine_similarity(e.v, c.v), 6) AS cos FROM e JOIN e c ONe.vec_id <> c.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, vec_id) AS rank FROM p) SELECT q, vec_id, rank, cos FROM k WHERE rank <= 10",
+    "content_cosine": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT c.vec_id AS q, e.vec_id, round(list_cosine_similarity(e.v, c.v), 6) AS cos FROM e JOIN e c ON e.vec_id <> c.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cos DESC, vec_id) AS rank FROM p) SELECT q, vec_id, rank, cos FROM k WHERE rank <= 10",
     "session_vector": """WITH k AS (SELECT vec_id % 20 AS "user", embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id DESC) AS k FROM embeddings), p AS (SELECT "user", i, sum(pow(0.8, k - 1) * v[i + 1]) AS x FROM k, range(64) g(i) WHERE k <= 20 GROUP BY 1, 2)
         SELECT "user", i::INT AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY "user")), 5) AS x FROM p""",
     "linucb_stats": "WITH e AS (SELECT event_type AS arm, [round(value / 500, 4), 1.0] AS x, (user_id % 2)::DOUBLE AS r FROM events), c AS (SELECT arm, i::INT AS i, j::INT AS j, x[i + 1] * x[j + 1] AS xx, CASE WHEN j = 0 THEN x[i + 1] * r ELSE 0 END AS xr FROM e, range(2) g(i), range(2) h(j)) SELECT arm, i, j, round(sum(xx) + CASE WHEN i = j THEN 1 ELSE 0 END, 4) AS a, round(sum(xr), 4) AS b FROM c GROUP BY arm, i, j",
