@@ -73,21 +73,23 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE
 
 
 def with_made_columns(
-    docs: DataFrame, text: str, kinds: dict[str, str], tool: Callable, made: Callable[[object, list], dict], without: tuple[str, ...] = ()
+    docs: DataFrame, text: str, kinds: dict[str, str], tool: Callable, made: Callable[..., dict], without: tuple[str, ...] = (), also: tuple[str, ...] = ()
 ) -> DataFrame:
     """``docs`` with the columns ``kinds`` (name to type) that ``made(tool(), texts)`` gives for a slice of ``text`` at a time.
 
     Columns of these names, and those in ``without``, are left out of ``docs``. Other columns pass through as they are.
+    ``made`` is given the columns in ``also`` too, as lists after the texts.
     """
     kept = [f for f in docs.schema.fields if f.name not in kinds and f.name not in without]
     names = [f.name for f in kept]
-    base = docs.select(*[F.col(f"`{c}`") for c in [*names, *([] if text in names else [text])]])
+    read = dict.fromkeys([*names, text, *also])
+    base = docs.select(*[F.col(f"`{c}`") for c in read])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{k}` {v}" for k, v in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tool()
         for rows in arrow_slices(batches, text):
-            new = made(held, rows.column(text).to_pylist())
+            new = made(held, *(rows.column(c).to_pylist() for c in (text, *also)))
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *(new[k] for k in kinds)], names=[*names, *kinds])
 
     return base.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.llm import fingerprints, jaccard, language, lines, mixing, pages, pieces, quality, sharding, unigram
+from loomery.llm import balls, fingerprints, infill, jaccard, language, lines, mixing, neighbours, pages, pieces, quality, sharding, unigram
 from loomery.llm.common import small_batches
 from loomery.session import table
 
@@ -27,8 +27,17 @@ def queries() -> dict:
         "op8_lines": lambda s, d: lines.op8_lines(docs(s, d)),
         "op9_language": lambda s, d: language.op9_language(docs(s, d)),
         "op10_pieces": lambda s, d: pieces.op10_pieces(docs(s, d), vocabulary("piece_bpe_32k.model")),
+        "op11_neighbours": lambda s, d: neighbours.op11_neighbours(table(small_batches(s), d, "embeddings")),
+        "op12_infill": lambda s, d: infill.op12_infill(docs(s, d)),
+        "op13_clusters": lambda s, d: balls.op13_clusters(table(small_batches(s), d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": jaccard.OP4_SQL, "op8_lines": lines.OP8_SQL}
+    return {
+        "op4_jaccard": jaccard.OP4_SQL,
+        "op8_lines": lines.OP8_SQL,
+        "op11_neighbours": neighbours.OP11_SQL,
+        "op12_infill": infill.OP12_SQL,
+        "op13_clusters": balls.OP13_SQL,
+    }
