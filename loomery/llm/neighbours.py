@@ -251,7 +251,7 @@ def bucket_links(nodes: DataFrame, kind: type, k: int, tables: int, cosine: floa
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(meet, "node binary, found bigint, other binary")
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", cosine: float = 0.9, recall: float = 0.97, seed: int = 11) -> DataFrame:
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", cosine: float = 0.9, recall: float = 0.99, seed: int = 11) -> DataFrame:
     """``vectors`` with ``n_links``, ``component_id`` and ``kept`` for each row.
 
     ``n_links``: other rows linked directly, equal vectors included. ``component_id``: the least ``key`` reachable by
