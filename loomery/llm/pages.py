@@ -59,12 +59,12 @@ class Node:
 
 
 class _Open:
-    """An open block: its node (None for the page), and the inline elements open in it."""
+    """An open block: its node (None for the page), and how many inline elements of each name are open in it."""
 
     __slots__ = ("name", "node", "inline")
 
     def __init__(self, name: str, node: Node | None):
-        self.name, self.node, self.inline = name, node, []
+        self.name, self.node, self.inline = name, node, Counter()
 
 
 def parse(source: str | None) -> list[Node]:
@@ -101,9 +101,9 @@ def parse(source: str | None) -> list[Node]:
         here = top.node.parent
         is_open[top.name] -= 1
         silent -= top.name in SILENT
-        for name in top.inline:
-            is_open[name] -= 1
-            in_link -= name == "a"
+        for name, k in top.inline.items():
+            is_open[name] -= k
+            in_link -= k * (name == "a")
 
     def close_to(names, stop=frozenset()) -> None:
         """Close blocks up to the nearest of these names, unless a stop comes first."""
@@ -140,9 +140,8 @@ def parse(source: str | None) -> list[Node]:
                 continue
             if name not in INLINE:
                 close_to({name})
-            elif name in stack[-1].inline:  # an inline end tag ends nothing outside of its block
-                held = stack[-1].inline
-                del held[len(held) - 1 - held[::-1].index(name)]
+            elif stack[-1].inline[name]:  # an inline end tag ends nothing outside of its block
+                stack[-1].inline[name] -= 1
                 is_open[name] -= 1
                 in_link -= name == "a"
             continue
@@ -156,14 +155,13 @@ def parse(source: str | None) -> list[Node]:
             if name == "br":
                 say(" ")
             elif name not in VOID:
-                if name == "a" and "a" in stack[-1].inline:  # links don't nest
-                    stack[-1].inline.remove("a")
+                if name == "a" and stack[-1].inline["a"]:  # links don't nest
+                    stack[-1].inline["a"] -= 1
                     is_open["a"] -= 1
                     in_link -= 1
-                if len(stack[-1].inline) < 64:  # deeper ones of a block have no effect on text
-                    stack[-1].inline.append(name)
-                    is_open[name] += 1
-                    in_link += name == "a"
+                stack[-1].inline[name] += 1
+                is_open[name] += 1
+                in_link += name == "a"
             continue
         end_run()
         if name in VOID:
@@ -186,6 +184,11 @@ def parse(source: str | None) -> list[Node]:
     return nodes
 
 
+def _words(names: str) -> list[str]:
+    """The words of an element's names: ``mainMenu_2`` has main and menu."""
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())
+
+
 def _describe(nodes: list[Node]) -> None:
     """Give every node its features."""
     place = {id(x): i for i, x in enumerate(nodes)}
@@ -202,9 +205,14 @@ def _describe(nodes: list[Node]) -> None:
     main = max((i for i, x in enumerate(nodes) if x.tag in ("article", "main") or " main" in f" {x.names} ".lower().split("-")[0]), key=lambda i: (size[i] - link[i], -i), default=-1)
     dense = max(range(len(nodes)), key=lambda i: (running[i], -i))
     in_main, in_dense = [False] * len(nodes), [False] * len(nodes)
+    named = [frozenset(_words(x.names)) for x in nodes]
+    under = [named[0]] * len(nodes)  # names of a node and of all that it stands in; shared where nothing is added
     for i, x in enumerate(nodes):
         in_main[i] = i == main or (i > 0 and in_main[up[i]])
         in_dense[i] = i == dense or (i > 0 and in_dense[up[i]])
+        if i:
+            above = under[up[i]]
+            under[i] = above if named[i] <= above or len(above) > 64 else above | named[i]
         share = min(4, 5 * link[i] // max(1, size[i]))
         grade = min(9, size[i].bit_length())
         where = ("none" if main < 0 else "in" if in_main[i] else "out") + f"-{in_dense[i]}"
@@ -212,14 +220,17 @@ def _describe(nodes: list[Node]) -> None:
             inside = nodes[up[i]].tag
             ends = x.text[-1] in '.!?…:;»”'
             x.hints = [f"text-{grade}-{share}", f"ends-{ends}-{grade > 4}", f"inside-{inside if inside in BLOCKS else 'other'}-{share > 1}", f"where-{where}-{grade > 4}"]
+            if size[i] <= 40 and len(said := re.findall(r"[^\W\d_]+", x.text.lower())) <= 5:
+                x.hints += [f"says-{w}" for w in sorted(set(said))]
             if "©" in x.text or "(c)" in x.text.lower():
                 x.hints.append("copyright")
+            x.hints += [f"under-{w}" for w in sorted(under[i])]
         else:
             x.hints = [f"holds-{x.tag if x.tag in BLOCKS else 'other'}-{share}-{grade // 3}"]
             if x.tag in LANDMARKS:
                 x.hints.append(f"{x.tag}-where-{where}")
             if x.names.strip():
-                x.hints += [f"name-{w}" for w in set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x.names).lower()))]
+                x.hints += [f"name-{w}" for w in sorted(named[i])]
             else:
                 x.hints.append(f"bare-{x.tag if x.tag in BLOCKS else 'other'}")
 
@@ -232,11 +243,30 @@ def features(node: Node) -> list[str]:
 class TreeModel:
     """Potentials of nodes and of parent-child edges, from counts on labelled pages."""
 
-    def __init__(self, pages: list[str], smooth: float = 0.2):
+    def __init__(self, pages: list[str], smooth: float = 0.2, least: int = 3):
+        """Features seen ``least`` times count. Those of a node overlap, so their sum is damped, by as much as is best on a fifth of the pages, held out."""
+        trees = [parse(x) for x in pages]
+        held = trees[::5]
+        self._count([x for i, x in enumerate(trees) if i % 5], smooth, least)
+        best = -1
+        for leaf in (0.5, 0.7, 1.0):
+            for block in (0.5, 0.7, 1.0, 1.4):
+                self.damped = (block, leaf)
+                right = sum(self._right(x) for x in held)
+                if right > best:
+                    best, chosen = right, (block, leaf)
+        self.damped = chosen
+        self._count(trees, smooth, least)
+
+    def _right(self, nodes: list[Node]) -> int:
+        self.marginals(nodes)
+        return sum((x.down > 0.5) == x.label for x in nodes if x.tag == "#")
+
+    def _count(self, trees: list[list[Node]], smooth: float, least: int) -> None:
         counts, total = (Counter(), Counter()), [0, 0]
         edges = Counter()
-        for page in pages:
-            for node in parse(page):
+        for nodes in trees:
+            for node in nodes:
                 kind = int(node.label)
                 total[kind] += 1
                 counts[kind].update(features(node))
@@ -244,7 +274,7 @@ class TreeModel:
                     for pair in (self._pair(node), node.tag, None):
                         edges[int(node.parent.label), kind, pair] += 1
         self.weight = {
-            f: math.log((counts[1][f] + smooth) / (total[1] + 2 * smooth)) - math.log((counts[0][f] + smooth) / (total[0] + 2 * smooth)) for f in counts[0] | counts[1]
+            f: math.log((counts[1][f] + smooth) / (total[1] + 2 * smooth)) - math.log((counts[0][f] + smooth) / (total[0] + 2 * smooth)) for f in counts[0] | counts[1] if counts[0][f] + counts[1][f] >= least
         }
         #: chance that a child is content if its parent is not, and if it is, by the tags of both, or the child's; None for others
         self.child = {
@@ -273,7 +303,7 @@ class TreeModel:
         odds, get = [0.0] * n, self.weight.get
         edges = [[0.0, 0.0], *map(self.edge, nodes[1:])]
         for i, x in enumerate(nodes):
-            odds[i] = sum(get(f, 0.0) for f in features(x))
+            odds[i] = self.damped[x.tag == "#"] * sum(get(f, 0.0) for f in features(x))
         up = odds[:]  # log odds of a node given its own subtree, without its parent
         message = [0.0] * n  # what a node tells its parent, as log odds
         for i in range(n - 1, 0, -1):
@@ -318,6 +348,9 @@ def labelled_pages(n: int = 900, seed: int = 11, known: float = 0.5) -> list[str
     def few(k: int = 3) -> str:
         return " ".join(sentence(1, 4).rstrip(".!?") for _ in range(rng.randrange(1, k)))
 
+    def says(*usual: str) -> str:
+        return pick(usual) + pick(["", "", ":", f" ({rng.randrange(1, 99)})"]) if rng.random() < known else few()
+
     def links(tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{i}">{few()}</a></{tag}>' for i in range(rng.randrange(2, 9)))
 
@@ -342,28 +375,45 @@ def labelled_pages(n: int = 900, seed: int = 11, known: float = 0.5) -> list[str
         return pick([lambda: f'<footer {LABEL}="0">{inside}</footer>', lambda: block("div", ["footer", "site-footer", "copyright", "bottom", "legal", "colophon"], inside)])()
 
     def side() -> str:
-        inside = pick([f"<h3>{few()}</h3><ul>{links()}</ul>", f"<h3>{few()}</h3><p>{prose(1, 4)}</p>", f"<p>{sentence()}</p>", links("p")])
+        head = says("Related", "Most read", "Popular", "About", "About the author", "Categories", "Archives", "Recent posts", "Follow us")
+        inside = pick([f"<h3>{head}</h3><ul>{links()}</ul>", f"<h3>{head}</h3><p>{prose(1, 4)}</p>", f"<p>{sentence()}</p>", links("p")])
         return pick([lambda: f'<aside {LABEL}="0">{inside}</aside>', lambda: block("div", ["sidebar", "side", "right-column", "widget", "rail", "widget-area", "related", "recommended", "popular", "more-stories", "trending"], inside)])()
 
+    def related() -> str:
+        tag, level = pick(["div", "section", "aside"]), pick(["h2", "h3", "h4", "p"])
+        head = f"<{level}>{says('Related', 'Related articles', 'Related stories', 'Read more', 'See also', 'You may also like', 'More stories', 'Recommended')}</{level}>"
+        return block(tag, ["related", "related-posts", "recommended", "more", "see-also", "read-next", "more-stories"], head + pick([f"<ul>{links()}</ul>", links("p"), links("div")]))
+
     def advert() -> str:
-        inside = pick([sentence(), f"<p>{prose(1, 4)}</p>", f'<a href="/x">{sentence()}</a>', few()])
-        return block(pick(["div", "div", "aside", "section", "p"]), ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "ad-slot", "promotion", "sponsor"], inside)
+        tag = pick(["div", "div", "aside", "section", "p"])
+        inside = pick([sentence(), prose(1, 4) if tag == "p" else f"<p>{prose(1, 4)}</p>", f'<a href="/x">{sentence()}</a>', few(), says("Advertisement", "Sponsored", "Ad", "Promoted")])
+        return block(tag, ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "ad-slot", "promotion", "sponsor"], inside)
 
     def notice() -> str:
-        inside = pick([sentence(), f"<p>{prose(1, 4)}</p>", f"<p>{sentence()}</p><button>{few()}</button>"])
-        return block(pick(["div", "div", "section", "p"]), ["cookie", "cookie-banner", "notice", "consent", "gdpr", "newsletter", "subscribe", "popup", "modal", "alert", "paywall", "cookie-notice", "banner", "disclaimer", "message"], inside)
+        tag = pick(["div", "div", "section", "p"])
+        inside = pick([sentence(), prose(1, 4), f"{sentence()}<button>{few()}</button>"])
+        inside = inside if tag == "p" or rng.random() < 0.4 else f"<p>{inside}</p>"
+        return block(tag, ["cookie", "cookie-banner", "notice", "consent", "gdpr", "newsletter", "subscribe", "popup", "modal", "alert", "paywall", "cookie-notice", "banner", "disclaimer", "message"], inside)
 
     def form() -> str:
         inside = f'<label>{few()}</label> <input name="q"> <button>{few()}</button>' + pick(["", f"<p>{sentence()}</p>", f"<legend>{few()}</legend>"])
         return pick([lambda: f'<form action="/s" {LABEL}="0">{inside}</form>', lambda: block("div", ["search", "login", "signup", "search-form"], f"<form>{inside}</form>")])()
 
     def comments() -> str:
-        one = lambda: pick([f'<div class="comment"><p>{prose(1, 5)}</p></div>', f"<li><b>{few()}</b><p>{prose(1, 4)}</p></li>", f"<p>{prose(1, 4)}</p>", f'<article class="comment"><h4>{few()}</h4><p>{prose(1, 4)}</p></article>'])
-        inside = pick(["", f"<h3>{few()}</h3>", f"<h2>{few()}</h2>"]) + "".join(one() for _ in range(rng.randrange(1, 6)))
+        one = lambda: pick([f'<div class="comment"><p>{prose(1, 5)}</p></div>', f"<li><b>{few()}</b><p>{prose(1, 4)}</p></li>", f"<p>{prose(1, 4)}</p>", f'<article class="comment"><h4>{few()}</h4><p>{prose(1, 4)}</p></article>',
+                             f'<div{named(["comment", "reply", "comment-body", "response"])}><b>{few()}</b><p>{prose(1, 3)}</p></div>'])
+        head = says("Comments", "Reader comments", "Responses", "Discussion", "Replies", "Leave a comment", "Leave a reply", "What readers say", "Join the discussion")
+        inside = pick(["", f"<h3>{head}</h3>", f"<h2>{head}</h2>", f"<h4>{head}</h4>"]) + "".join(one() for _ in range(rng.randrange(1, 6)))
         return block(pick(["section", "div", "div", "ol", "ul"]), ["comments", "comment-list", "discussion", "responses", "replies", "reader-comments", "disqus", "respond", "user-comments"], inside)
 
     def share() -> str:
-        return block(pick(["div", "ul", "p"]), ["share", "social", "share-buttons", "tags", "social-links", "byline", "meta", "author-bio"], pick([links(), few(), sentence(1, 6)]))
+        tag = pick(["div", "ul", "p"])
+        return block(tag, ["share", "social", "share-buttons", "tags", "social-links", "byline", "meta", "author-bio"], pick([links("a" if tag == "p" else "li"), few(), sentence(1, 6), says("Share this", "Share", "Tags", "Filed under", "Follow us")]))
+
+    def boxed() -> str:
+        """What stands inside an article without being its text."""
+        about = lambda: f'<footer {LABEL}="0"><p>{pick([sentence(), few(), says("Filed under", "Tags", "Share this")])}</p></footer>'
+        return pick([advert, share, notice, related, form, side, about])()
 
     def body() -> str:
         if rng.random() < 0.2:  # a very short one
@@ -377,10 +427,10 @@ def labelled_pages(n: int = 900, seed: int = 11, known: float = 0.5) -> list[str
                        lambda: f"<ol>{''.join(f'<li>{few()}</li>' for _ in range(rng.randrange(2, 6)))}</ol>", lambda: f"<ul>{''.join(f'<li>{few(2).lower()}</li>' for _ in range(rng.randrange(2, 6)))}</ul>", lambda: f"<blockquote><p>{prose()}</p></blockquote>", lambda: f"<pre>{sentence()}</pre>", lambda: f"<div>{prose()}</div>",
                        lambda: f'<p>{sentence()} <a href="/r">{few()}</a> {sentence()}</p>', lambda: f"<figure><img src=x><figcaption>{sentence(2, 9)}</figcaption></figure>",
                        lambda: f"<table><tr><th>{few()}</th><td>{few()}</td></tr><tr><th>{few()}</th><td>{sentence(1, 6)}</td></tr></table>", lambda: f"<section><h2>{few()}</h2><p>{prose()}</p></section>",
-                       lambda: f"<p><b>{prose()}<br><p>{prose()}</p>", lambda: pick([advert, share, notice])()]
+                       lambda: f"<p><b>{prose()}<br><p>{prose()}</p>", boxed]
                 )()
             )
-        return pick(["", f"<h1>{sentence(2, 9)}</h1>", f"<h1>{few()}</h1>", f'<header><h1>{sentence(2, 9)}</h1></header>']) + "".join(parts)
+        return pick(["", f"<h1>{sentence(2, 9)}</h1>", f"<h1>{few()}</h1>", f'<header><h1>{sentence(2, 9)}</h1></header>']) + "".join(parts) + (comments() if rng.random() < 0.2 else "")
 
     containers = [
         ("article", []), ("article", []), ("article", ["post", "story"]), ("main", []), ("div", ["content", "article-body", "post-content", "entry-content", "story text", "body", "main", "page-text"]), ("div", ["content", "main", "text"]),

@@ -77,7 +77,7 @@ def test_pages_hold_out(known):
             if x.tag == "#":
                 total += 1
                 right += (x.down > 0.5) == x.label
-    assert right / total > (0.96 if known else 0.93)
+    assert right / total > (0.98 if known else 0.95)
 
 
 PARTS = [
@@ -87,6 +87,17 @@ PARTS = [
     ("<body><article><h2>Title</h2><p>A first paragraph with some words in it.</p><figure><img src=x><figcaption>A caption</figcaption></figure></article><div class='opinions'><h3>What readers say</h3>"
      "<div><p>I liked this very much, thank you.</p></div><div><p>Me too, what a good piece this is!</p></div></div><div class='legalese'>All rights reserved by Someone Inc.</div></body>", "Title\nA first paragraph with some words in it.\nA caption"),
     ("<nav><a href=/>Home</a></nav><article><p>Short text.</p></article><footer>x</footer>", "Short text."),
+    # what stands inside the article without being its text
+    ("<article><h1>Title of this</h1><p>Some long sentence that is the text of the article, at length.</p><p>Another long sentence of the article follows it here.</p><section class='comments'><h3>Comments</h3>"
+     "<p>I liked this very much, thank you.</p><p>Me too, what a good piece this is!</p></section></article>",
+     "Title of this\nSome long sentence that is the text of the article, at length.\nAnother long sentence of the article follows it here."),
+    ("<article><h1>Title of this</h1><p>Some long sentence that is the text of the article, at length.</p><div class='comment-list'><div class='comment'><b>Ann</b><p>I liked this very much, thank you.</p></div>"
+     "<div class='comment'><b>Bob</b><p>Me too, what a good piece this is!</p></div></div></article>", "Title of this\nSome long sentence that is the text of the article, at length."),
+    ("<main><h1>Title of this</h1><p>Some long sentence that is the text of the article, at length.</p><div class='related'><h4>Related articles</h4><ul><li><a href=x>One other story of it</a></li><li><a href=y>Second other"
+     " story</a></li></ul></div><p>Last paragraph of the story is here to be read.</p><form><label>Your mail</label><p>Sign up for our letter and get news every day.</p><input></form></main>",
+     "Title of this\nSome long sentence that is the text of the article, at length.\nLast paragraph of the story is here to be read."),
+    ("<article><h1>T</h1><p>Some long sentence that is the text of the article, at length.</p><aside><h3>About</h3><p>The author is a person who writes things for us.</p></aside><p>Another long sentence of the article"
+     " follows it here.</p><footer><p>Filed under things</p></footer></article>", "T\nSome long sentence that is the text of the article, at length.\nAnother long sentence of the article follows it here."),
 ]
 
 
