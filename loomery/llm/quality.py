@@ -201,6 +201,10 @@ def judge(
     )
 
 
+#: The columns that the rules add.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+
+
 def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     """Base rules, then the divergence verdict, on ``docs`` (``text``, ``lang``); other columns are kept.
 
@@ -214,7 +218,10 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     featured = base_features(docs).withColumn("_classes", class_counts(F.col("_rest"), F.col("_odd"), F.col("word_chars")))
     judged = judge(featured, refs, **limits)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("verdict")).drop("_words", "_rest", "_odd", "_classes", "verdict")
+    judged = judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("verdict"))
+    # made in one generated row: a filter on them stays above, and does not write their arrays out again in its condition
+    made = F.explode(F.array(F.struct(*MADE))).alias("_made")
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns if c not in MADE], made).select("*", "_made.*").drop("_made")
 
 
 def op5_quality(docs: DataFrame) -> DataFrame:

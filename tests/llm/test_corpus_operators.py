@@ -245,3 +245,25 @@ def test_jaccard_with_frequent_tokens(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(df, 80, 3).collect()}
     assert got == _plain_components(texts, 80, 3)
+
+
+def test_quality_can_be_filtered(spark, docs):
+    """A filter on what the rules add is not written out into their arrays: it ends in seconds, with the rows of the whole."""
+    import time
+
+    repetitive = spark.createDataFrame([(i, "over and over again " * (30 + i % 7), "en", "s", 1, "", "", "", 1) for i in range(400)], docs.schema)
+    both = docs.unionByName(repetitive)
+    rows = quality.quality_rules(both).collect()
+    began = time.time()
+    kept = quality.quality_rules(both).filter("kept").filter("n_repeat_words >= 0 AND class_distance >= 0").collect()
+    assert time.time() - began < 40
+    assert sorted(map(repr, kept)) == sorted(repr(r) for r in rows if r.kept and r.class_distance is not None)
+
+
+def test_quality_forms_of_distance_agree(docs, monkeypatch):
+    """References unrolled into the plan, and held as one constant array, give the same distances."""
+    found = []
+    for unrolled in (16, 0):
+        monkeypatch.setattr(quality, "UNROLLED", unrolled)
+        found.append(sorted((r.doc_id or -1, r.text or "", round(r.class_distance or -1, 9), round(r.word_distance or -1, 9)) for r in quality.quality_rules(docs).collect()))
+    assert found[0] == found[1]
