@@ -8,8 +8,9 @@ comes back when one of them goes.
 
 To clean documents, their lines are asked of the filters inside the tasks that read the texts; what a filter knows is
 a candidate and is confirmed against the exact common keys. Up to a stated number of these, they go along with the
-filters and no text is shuffled. Beyond it candidates are confirmed in a join, and what each text loses is joined to it;
-the result is the same.
+filters and no text is shuffled. Beyond it the filters are sent in slices of shards, each of a stated size and asked in
+a pass of its own; their candidates are confirmed in a join, and what each text loses is joined to it, to texts with very
+many copies by sending it. The result is the same.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.common import SLICE_BYTES, SPACE_CHARS, arrow_slices
-from loomery.session import stage_table
+from loomery.session import drop_staged, stage_table
 
 STRIP = SPACE_CHARS.encode()
 SLOTS = 4
@@ -258,6 +259,8 @@ def update(index: LineIndex, inserted: DataFrame | None = None, deleted: DataFra
 
 #: Exact common keys that are sent along with the filters (about 40 bytes each); more are confirmed in a join.
 MAX_KEYS = 1_000_000
+#: Bytes of filters that are sent at once.
+FILTER_BYTES = 64 << 20
 _NO_KEY = -(1 << 63)
 
 
@@ -291,6 +294,38 @@ def candidates(docs: DataFrame, index: LineIndex, filters=None) -> DataFrame:
     return docs.select("_none", "_id", "_text", "text").mapInArrow(run, "_none boolean, _id bigint, _text bigint, hi bigint, lo bigint")
 
 
+def confirmed(tagged: DataFrame, index: LineIndex, common: DataFrame) -> DataFrame:
+    """Candidates of all filters, sent a slice of shards at a time, that are exact common keys: columns of ``candidates`` and of ``common``."""
+    slices, held = [[]], 0
+    for r in index.filters.select("shard", F.octet_length("bits").alias("b")).orderBy("shard").collect():  # a row a shard
+        if held and held + r["b"] > FILTER_BYTES:
+            slices.append([])
+            held = 0
+        slices[-1].append(r["shard"])
+        held += r["b"]
+    found = []
+    for shards in slices:
+        sent = tagged.sparkSession.sparkContext.broadcast({r["shard"]: r["bits"] for r in index.filters.filter(F.col("shard").isin(shards)).collect()})
+        found.append(stage_table(candidates(tagged, index, sent), "line-candidates"))
+        sent.destroy()
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    out = stage_table(whole.join(common, ["hi", "lo"]), "line-confirmed")
+    drop_staged(*found)
+    return out
+
+
+def _with_lost(tagged: DataFrame, gone: DataFrame) -> DataFrame:
+    """``tagged`` with ``_common``, joined by the tag of a text. What texts with very many rows lose is sent: there are 10000 of these at most."""
+    tag = ["_none", "_id", "_text"]
+    sizes = stage_table(tagged.groupBy(*tag).agg(F.count(F.lit(1)).alias("_c")), "text-copies")
+    limit = max(1000, (sizes.agg(F.sum("_c")).first()[0] or 0) // 10_000)
+    hot = F.broadcast(sizes.filter(F.col("_c") > limit).select(*tag))
+    many = tagged.join(hot, tag, "left_semi").join(F.broadcast(gone.join(hot, tag, "left_semi")), tag, "left")
+    return many.unionByName(tagged.join(hot, tag, "left_anti").join(gone, tag, "left"))
+
+
 def _hashed(texts: list[str | None], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys of each text: the text's place, and the two halves of the key."""
     owner, keys = [], []
@@ -348,7 +383,7 @@ def strip_lines(docs: DataFrame, index: LineIndex, key: str | None = "doc_id", k
     filters = spark.sparkContext.broadcast(_filters(index)) if n_keys <= max_keys else None
     tag = F.struct("_none", "_id", "_text")
     if keep_first:
-        sure = candidates(tagged, index, filters).join(common, ["hi", "lo"])
+        sure = candidates(tagged, index, filters).join(common, ["hi", "lo"]) if filters is not None else confirmed(tagged, index, common)
         common = stage_table(sure.groupBy("hi", "lo").agg(F.min(tag).alias("first")).select("hi", "lo", "first.*"), "line-holders")
     if filters is not None:
         held = common.toArrow()
@@ -357,11 +392,11 @@ def strip_lines(docs: DataFrame, index: LineIndex, key: str | None = "doc_id", k
         marked = tagged
     else:
         exact = None
-        lost = candidates(tagged, index).join(common if not keep_first else common.withColumnsRenamed({"_none": "_n0", "_id": "_i0", "_text": "_t0"}), ["hi", "lo"])
+        lost = confirmed(tagged, index, common if not keep_first else common.withColumnsRenamed({"_none": "_n0", "_id": "_i0", "_text": "_t0"}))
         if keep_first:
             lost = lost.filter("NOT (_none = _n0 AND _id = _i0 AND _text = _t0)")
         gone = lost.groupBy("_none", "_id", "_text").agg(F.collect_set(F.struct("hi", "lo")).alias("_common"))
-        marked = tagged.join(gone, ["_none", "_id", "_text"], "left")
+        marked = _with_lost(tagged, stage_table(gone, "lost-lines"))
     out = [f for f in base.schema.fields if text_out or f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), "n_lines bigint, n_dropped bigint, kept_sha256 string"])
     names, min_chars, n_shards = [f.name for f in out], index.min_chars, index.n_shards
@@ -418,14 +453,14 @@ def op8_lines(docs: DataFrame) -> DataFrame:
 
 
 OP8_SQL = """
-WITH lines AS (
-  SELECT doc_id, line, i,
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT r, doc_id, line, i, coalesce('d' || doc_id, 'r' || r) AS doc,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
-common AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(c.key)::BIGINT AS n_dropped,
+  FROM (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM docs)),
+common AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10)
+SELECT any_value(l.doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(c.key)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN c.key IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_sha256
 FROM lines l LEFT JOIN common c USING (key)
-GROUP BY l.doc_id
+GROUP BY l.r
 """

@@ -179,6 +179,30 @@ def test_lines_of_null_and_repeated_ids(spark):
     assert [r.doc_id for r in kept] == [0]
 
 
+def test_line_filters_in_slices(spark, docs, monkeypatch):
+    """Beyond the keys that are sent, filters go in slices and are asked all the same; a text with very many copies is no single key."""
+    from pyspark.sql import functions as F
+
+    copies = spark.createDataFrame([(1000 + i, "copied line\nand another\nshared " + str(i % 3)) for i in range(1200)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(copies)
+    index = lines.build(both, min_docs=10, keys_per_shard=2)
+    monkeypatch.setattr(lines, "FILTER_BYTES", 100)
+    for keep in (False, True):
+        one, two = (sorted(map(repr, lines.strip_lines(both, index, keep_first=keep, max_keys=k).collect())) for k in (lines.MAX_KEYS, -1))
+        assert one == two and len(one) == both.count()
+    none = index.filters.withColumn("bits", F.lit(bytes(lines.CuckooFilter.sized(1).to_bytes())))
+    asked = lines.strip_lines(both, lines.LineIndex(index.counts, none, 10, 1, index.n_shards), max_keys=-1)
+    assert asked.agg(F.sum("n_dropped")).first()[0] == 0  # empty filters know no line
+
+
+def test_line_sql_with_null_and_repeated_ids(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, "shared\nown") for i in range(8)] + [(None, "shared"), (None, "SHARED \n x"), (None, None)] + [(20, "twice"), *[(i, "twice") for i in range(21, 29)], (20, "twice\nmore")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"})  # noqa: F841  read by the SQL
+    ours = lines.op8_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, duckdb.sql(lines.OP8_SQL).fetchall()))
+
+
 def test_cuckoo_filter():
     import numpy as np
 
