@@ -77,7 +77,7 @@ def batch_size(s, d):
 
 
 def investment_analysis(s, d):
-    rates = table(s, d, "part").filter("p_brand <> 'Brand#11'").groupBy("p_brand").agg((F.round(F.avg("p_retailprice"), 4) / 5000).alias("rate"))
+    rates = table(s, d, "part").filter("p_brand <> 'Brand#11'").groupBy("p_brand").agg((F.round(F.avg("p_retailprice"), 4) / 7000).alias("rate"))
     p = decisions.market_rent(table(s, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), "p_brand", "p_size", rates, "rate")
     cols = ["rent", "gross_yield_pct", "net_yield_pct", "payback_years", "monthly_cashflow", "recovery_months"]
     return _r(decisions.investment(p, "p_retailprice", "rent"), 4, *cols).select("p_partkey", *cols, "verdict")
@@ -272,7 +272,7 @@ SQL = {
   SELECT event_type, rps, it AS instance_type, n AS n_instances, round(p * n, 4) AS cost_per_hour, round(p * n * 720, 2) AS cost_per_month, round(p * n / (rps * 3600) * 1000000, 4) AS cost_per_million, rps > 50 * n * 0.8 AS near_capacity FROM n""",
     "batch_size": """WITH e AS (SELECT event_type, user_id % 5 + 1 AS b, round(avg(value), 6) AS l FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY l <= 110 DESC, CASE WHEN l <= 110 THEN -b / l ELSE l END, CASE WHEN l <= 110 THEN l ELSE b END) AS k FROM e)
   SELECT event_type, b AS batch_size, round(b / l * 1000, 2) AS throughput, round(l, 2) AS latency, l <= 110 AS within_limit FROM r WHERE k = 1""",
-    "investment_analysis": """WITH r AS (SELECT p_brand, round(avg(p_retailprice), 4) / 5000 AS rate FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1), m AS (SELECT avg(rate) AS m FROM r), x AS (SELECT p_partkey, p_retailprice AS p, coalesce(rate, m) * p_size AS rent FROM part LEFT JOIN r USING (p_brand), m),
+    "investment_analysis": """WITH r AS (SELECT p_brand, round(avg(p_retailprice), 4) / 7000 AS rate FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1), m AS (SELECT avg(rate) AS m FROM r), x AS (SELECT p_partkey, p_retailprice AS p, coalesce(rate, m) * p_size AS rent FROM part LEFT JOIN r USING (p_brand), m),
   y AS (SELECT *, rent * 0.8 AS net, p * 0.8 * (0.165 / 12) * pow(1 + 0.165 / 12, 240) / (pow(1 + 0.165 / 12, 240) - 1) AS pay FROM x)
   SELECT p_partkey, round(rent, 4) AS rent, round(rent * 12 / p * 100, 4) AS gross_yield_pct, round(net * 12 / p * 100, 4) AS net_yield_pct, round(p / (net * 12), 4) AS payback_years, round(net - pay, 4) AS monthly_cashflow, round(p * 0.2 / net, 4) AS recovery_months,
   CASE WHEN net - pay >= 0 AND p / (net * 12) <= 20 THEN 'strong_buy' WHEN p / (net * 12) <= 25 THEN 'buy' WHEN p / (net * 12) <= 35 THEN 'hold' ELSE 'avoid' END AS verdict FROM y""",
