@@ -142,8 +142,8 @@ def forecast(fitted: DataFrame, groups: list[str], steps: int, z: float = 1.96,
 
 
 # -- models of one series each, in numpy ---------------------------------------------------------------------------
-def gaussian_hmm(y: np.ndarray, steps: int = 100, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Two-state Gaussian hidden Markov model by Baum-Welch: Viterbi path, posterior of the high state, log likelihood."""
+def fit_hmm(y: np.ndarray, steps: int = 100, tol: float = 1e-4) -> tuple:
+    """Two-state Gaussian hidden Markov model by Baum-Welch: start, transitions, means, deviations, posteriors, log likelihood."""
     y = np.asarray(y, float)
     mu, sd = np.percentile(y, [25, 90]).astype(float), np.full(2, max(y.std(), 1e-3))
     pi, a, last = np.array([0.9, 0.1]), np.array([[0.95, 0.05], [0.2, 0.8]]), -np.inf
@@ -166,7 +166,14 @@ def gaussian_hmm(y: np.ndarray, steps: int = 100, tol: float = 1e-4) -> tuple[np
         if abs(likelihood - last) < tol:
             break
         last = likelihood
-    b, n = emit(), len(y)
+    return pi, a, mu, sd, gamma, likelihood
+
+
+def gaussian_hmm(y: np.ndarray, steps: int = 100, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """A fitted model's Viterbi path, posterior of the high state, and log likelihood."""
+    y = np.asarray(y, float)
+    pi, a, mu, sd, gamma, likelihood = fit_hmm(y, steps, tol)
+    b, n = -0.5 * ((y[:, None] - mu) / sd) ** 2 - np.log(sd) - 0.5 * np.log(2 * np.pi), len(y)
     score, back = np.log(pi) + b[0], np.zeros((n, 2), int)
     for t in range(1, n):
         move = score[:, None] + np.log(a)
@@ -179,6 +186,17 @@ def gaussian_hmm(y: np.ndarray, steps: int = 100, tol: float = 1e-4) -> tuple[np
     return (path == high).astype(int), gamma[:, high], likelihood
 
 
+def hmm_parameters(df: DataFrame, groups: list[str], order: str, value: str, version: int = 1) -> DataFrame:
+    """Per series the calibrated ``pi``, ``a`` (row by row), ``mu``, ``sd``, with a ``version``: what the online filter is joined to."""
+    schema = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        pi, a, mu, sd, *_ = fit_hmm(rows.sort_values(order)[value].to_numpy(float))
+        return pd.DataFrame([(*key, version, pi.tolist(), a.ravel().tolist(), mu.tolist(), sd.tolist())], columns=[*groups, "version", "pi", "a", "mu", "sd"])
+
+    return df.select(*groups, order, value).groupBy(*groups).applyInPandas(run, f"{schema}, version int, pi array<double>, a array<double>, mu array<double>, sd array<double>")
+
+
 def hmm_states(df: DataFrame, groups: list[str], order: str, value: str) -> DataFrame:
     """Per series: the high state along the best path, its posterior, and change points."""
     schema = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)

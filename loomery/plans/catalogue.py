@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomery.plans import decisions, governance, series, tabular, texts
+from loomery.plans import decisions, governance, online, series, tabular, texts
 
-MODULES = (tabular, governance, decisions, series, texts)
+MODULES = (tabular, governance, decisions, series, texts, online)
 
 
 def queries() -> dict:
