@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from loomery.operators import feature_store as S
 from loomery.operators import recurrences as R
 from loomery.operators import timeseries as T
 from loomery.plans.series import _daily, _r
-from loomery.session import table
+from loomery.session import shared_dir, table
 
 
 def online_learner(s, d):
@@ -50,9 +53,49 @@ def hidden_state_filter(s, d):
     return _r(out, 6, "posterior", "log_likelihood")
 
 
-QUERIES = {"online_learner": online_learner, "chart_scan": chart_scan, "seasonal_scan": seasonal_scan, "hidden_state_filter": hidden_state_filter}
+def _daily_of_users(s, d):
+    """Events of each user by day, known from the end of the day on."""
+    e = table(s, d, "events")
+    day = e.groupBy("user_id", F.date_trunc("day", "ts").alias("day"))
+    return day.agg(F.count(F.lit(1)).alias("n_day"), F.round(F.avg("value"), 6).alias("mean_day")).withColumn("known", F.col("day") + F.expr("INTERVAL 1 DAY"))
+
+
+def asof_features(s, d):
+    """Purchases with what was known of their user then: events and mean value of the user's last day with events, at most five days old."""
+    e = table(s, d, "events").filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return S.as_of_join(e, _daily_of_users(s, d), "user_id", "ts", "known", ["n_day", "mean_day"], ttl="5 DAYS", age="age").withColumn("age", F.round("age", 3))
+
+
+def asof_orders(s, d):
+    """Orders with the state of their customer as of the last earlier day on which they ordered."""
+    o = table(s, d, "orders")
+    daily = o.groupBy("o_custkey", F.to_timestamp("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("spent"), F.count(F.lit(1)).alias("n"))
+    daily = daily.select("o_custkey", (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("known"), F.round("spent", 2).alias("spent"), "n")
+    return S.as_of_join(o.select("o_orderkey", "o_custkey", "o_orderdate"), daily, "o_custkey", "o_orderdate", "known", ["spent", "n"], width="180 days")
+
+
+def online_latest(s, d):
+    """The online store after upserts of the month in two halves, the first of them twice and after the second."""
+    rows = _daily_of_users(s, d).select("user_id", "known", F.when(F.col("n_day") > 2, F.col("n_day")).alias("n_day"), "mean_day")
+    store = S.OnlineStore(s, f"{shared_dir(s)}/online-{uuid.uuid4().hex}", "user_id", "known", {"n_day": "bigint", "mean_day": "double"}, buckets=8)
+    early, late = rows.filter("known < '2024-01-16'"), rows.filter("known >= '2024-01-16'")
+    for batch, part in ((1, early), (2, late), (1, early), (3, early)):
+        store.upsert(part, batch)
+    return store.read()
+
+
+QUERIES = {"asof_features": asof_features, "asof_orders": asof_orders, "online_latest": online_latest, "online_learner": online_learner, "chart_scan": chart_scan, "seasonal_scan": seasonal_scan, "hidden_state_filter": hidden_state_filter}
+
+_DAYS = """SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS known, count(*) AS n_day, round(avg(value), 6) AS mean_day FROM events GROUP BY 1, 2"""
 
 SQL = {
+    "asof_features": f"""WITH h AS ({_DAYS})
+SELECT event_id, e.user_id, ts, CASE WHEN known + INTERVAL 5 DAY >= ts THEN n_day END AS n_day, CASE WHEN known + INTERVAL 5 DAY >= ts THEN mean_day END AS mean_day,
+  CASE WHEN known + INTERVAL 5 DAY >= ts THEN round((epoch_us(ts) - epoch_us(known)) / 1e6, 3) END AS age
+FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN h ON e.user_id = h.user_id AND e.ts >= h.known""",
+    "asof_orders": """WITH h AS (SELECT o_custkey, o_orderdate + INTERVAL 1 DAY AS known, round(sum(o_totalprice), 2) AS spent, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_orderkey, o.o_custkey, o_orderdate, spent, n FROM orders o ASOF LEFT JOIN h ON o.o_custkey = h.o_custkey AND o.o_orderdate >= h.known""",
+    "online_latest": f"""WITH h AS ({_DAYS}) SELECT user_id, max(known) AS known, arg_max(n_day, known) FILTER (n_day > 2) AS n_day, arg_max(mean_day, known) AS mean_day FROM h GROUP BY 1""",
     "chart_scan": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS v FROM events GROUP BY 1, 2),
 b AS (SELECT event_type, avg(v) AS m, greatest(1e-8, stddev_samp(v)) AS sd FROM d WHERE day < DATE '2024-01-16' GROUP BY 1), z AS (SELECT event_type, day, (v - m) / sd AS z FROM d JOIN b USING (event_type)),
 r AS (SELECT *, CASE WHEN abs(z) > 3 THEN 1
