@@ -263,6 +263,38 @@ def isolation_forest(df: DataFrame, key: str, features: list[str], sample: int =
     return df.select(key, *features).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, score double")
 
 
+def isolation_contributions(df: DataFrame, key: str, features: list[str], sample: int = 10_000, n_trees: int = 100) -> DataFrame:
+    """Per row: its isolation score, and a row per feature with its share of it: ``feature``, ``contribution``.
+
+    Each feature is put to its mean over all rows in turn; what the score falls by, 0 at least, is divided by the sum over
+    the features (equal shares if nothing falls). The variants of a batch go through the forest together. Rows that miss a
+    feature count it as its mean. Trees are those of :func:`isolation_forest`.
+    """
+    numbers = df.select(key, *[F.col(c).cast("double").alias(c) for c in features])
+    rows = numbers.select(*features, F.xxhash64(key).alias("_h")).na.drop().orderBy("_h").limit(sample).toPandas()
+    trees = isolation_trees(rows[features].to_numpy(), n_trees) if len(rows) else []
+    means = numbers.agg(*[F.avg(c).alias(c) for c in features]).first()  # one row
+    shared = df.sparkSession.sparkContext.broadcast((trees, np.array([0.0 if means[c] is None else means[c] for c in features])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown, mean = shared.value
+        k = len(features)
+        for batch in batches:
+            x = batch[features].to_numpy(float)
+            x = np.where(np.isnan(x), mean, x)
+            n = len(x)
+            variants = np.repeat(x[None], k + 1, axis=0)
+            for f in range(k):
+                variants[f + 1, :, f] = mean[f]
+            scores = isolation_scores(grown, variants.reshape(-1, k)).reshape(k + 1, n) if grown else np.zeros((k + 1, n))
+            falls = np.maximum(0.0, scores[0] - scores[1:])
+            total = falls.sum(axis=0)
+            shares = np.where(total > 0, falls / np.where(total > 0, total, 1.0), 1.0 / k)
+            yield pd.DataFrame({key: np.tile(batch[key].to_numpy(), k), "score": np.tile(scores[0], k), "feature": np.repeat(features, n), "contribution": shares.ravel()})
+
+    return numbers.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, score double, feature string, contribution double")
+
+
 def echo_state_errors(y: np.ndarray, width: int = 10, size: int = 50, seed: int = 3) -> np.ndarray:
     """Reconstruction errors of sliding windows by an echo-state reservoir with a ridge readout."""
     if len(y) <= width:
