@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomery.operators.ranking import running_sums
+from loomery.operators.ranking import descending_bucket, running_sums
 from loomery.session import stage_table
 
 
@@ -180,15 +180,23 @@ def next_version(version: Column, breaking: Column) -> Column:
 
 # -- audits --------------------------------------------------------------------------------------------------------
 def iqr_outlier_ratio(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
-    """Share of values outside 1.5 interquartile ranges, quartiles by index n // 4 and 3n // 4; 0 if n < 4 or flat."""
-    w = Window.partitionBy(*groups)
-    ranked = df.filter(F.col(column).isNotNull()).select(*groups, F.col(column).alias("_x")).withColumns(
-        {"_i": F.row_number().over(w.orderBy("_x")) - 1, "_n": F.count(F.lit(1)).over(w)}
+    """Share of values outside 1.5 interquartile ranges, quartiles by index n // 4 and 3n // 4; 0 if n < 4 or flat.
+
+    Values are counted, and the counts summed up in buckets of values, so that no task orders a group's rows. Nulls
+    don't count; null groups are groups.
+    """
+    key = F.to_json(F.struct(*groups)).alias("_g")
+    counts = stage_table(df.filter(F.col(column).isNotNull()).groupBy(*groups, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_c")).select(*groups, key, "_x", "_c"), "value-counts")
+    placed = descending_bucket(counts, "_x").withColumn("_bucket", -F.col("_bucket"))
+    ranked = running_sums(placed, ["_g"], "_bucket", [F.col("_x")], {"_i": F.col("_c")}, {"_i": "_n"})
+    holds = lambda at: (F.col("_i") <= at) & (at < F.col("_i") + F.col("_c"))
+    quartiles = ranked.groupBy("_g").agg(
+        F.max("_n").alias("_n"), F.max(F.when(holds(F.floor(F.col("_n") / 4)), F.col("_x"))).alias("_q1"), F.max(F.when(holds(F.floor(3 * F.col("_n") / 4)), F.col("_x"))).alias("_q3")
     )
-    marks = ranked.withColumns({"_q1": F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 4), F.col("_x"))).over(w), "_q3": F.max(F.when(F.col("_i") == F.floor(3 * F.col("_n") / 4), F.col("_x"))).over(w)})
     iqr = F.col("_q3") - F.col("_q1")
     out = (F.col("_x") < F.col("_q1") - 1.5 * iqr) | (F.col("_x") > F.col("_q3") + 1.5 * iqr)
-    return marks.groupBy(*groups).agg(F.when((F.max("_n") < 4) | (F.max(iqr) == 0), 0.0).otherwise(F.avg(out.cast("double"))).alias("outlier_ratio"))
+    marks = counts.join(quartiles, "_g").groupBy(*groups)
+    return marks.agg(F.when((F.max("_n") < 4) | (F.max(iqr) == 0), 0.0).otherwise(F.sum(F.when(out, F.col("_c")).otherwise(0)) / F.max("_n")).alias("outlier_ratio"))
 
 
 def label_entropy(df: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ a key is sequential by definition.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -426,3 +427,88 @@ class OnlineLearner:
             n, since = n + 1, since + 1
             made.append((chance, guess, error, drift, window.mean, n, drifts, since))
         return (n, drifts, since, count.tolist(), mean.tolist(), squares.tolist(), *self._flat(tree), window.sizes, window.sums, window.squares, window.since), made
+
+
+# -- caches --------------------------------------------------------------------------------------------------------
+class SemanticCache:
+    """Answers kept by similar queries, with a time to live and a bounded size. Inputs: time (microseconds), query, answer.
+
+    A query is compared with all that are kept, by cosine of word weights ``1 + log(count)`` (words of two or more word
+    characters, lower-cased, without ``stop_words``). From ``threshold`` on the most similar, of equal ones the least
+    recently used, is a hit: its answer is given and it is the most recent one again. Else the row's own answer, if it has
+    one, is kept; beyond ``entries`` the least recently used goes. What is older than ``ttl`` seconds goes before each row.
+    Null queries count as empty ones, which are like nothing.
+    """
+
+    state = "queries array<string>, answers array<string>, made array<bigint>, hits bigint, misses bigint, evicted bigint, expired bigint"
+    out = "hit boolean, answer string, similarity double, entries int, hits bigint, misses bigint, evicted bigint, expired bigint"
+
+    def __init__(self, threshold: float = 0.85, entries: int = 100, ttl: float = 3600.0, stop_words: tuple[str, ...] = ()):
+        self.threshold, self.entries, self.ttl, self.stop_words = threshold, entries, int(ttl * 1e6), frozenset(stop_words)
+
+    def start(self) -> tuple:
+        return [], [], [], 0, 0, 0, 0
+
+    def weights(self, text: str | None) -> dict[str, float]:
+        """A query's word weights, of length 1."""
+        counts: dict[str, int] = {}
+        for w in re.findall(r"\w{2,}", (text or "").lower()):
+            if w not in self.stop_words:
+                counts[w] = counts.get(w, 0) + 1
+        found = {w: 1 + math.log(c) for w, c in counts.items()}
+        length = math.sqrt(math.fsum(x * x for x in found.values())) or 1.0
+        return {w: x / length for w, x in found.items()}
+
+    def step(self, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        hits, misses, evicted, expired = state[3:]
+        kept = [(q, a, t, self.weights(q)) for q, a, t in zip(*state[:3])]  # the least recently used first
+        made = []
+        for now, query, answer in rows:
+            live = [x for x in kept if now - x[2] <= self.ttl]
+            expired += len(kept) - len(live)
+            kept, mine = live, self.weights(query)
+            like = [math.fsum(x * other[3].get(w, 0.0) for w, x in mine.items()) for other in kept]
+            best = max(range(len(kept)), key=lambda i: (like[i], -i), default=None)
+            similarity = like[best] if best is not None else 0.0
+            if best is not None and similarity >= self.threshold and mine:
+                hits += 1
+                kept.append(kept.pop(best))
+                made.append((True, kept[-1][1], similarity, len(kept), hits, misses, evicted, expired))
+                continue
+            misses += 1
+            if answer is not None:
+                kept.append((query, answer, now, mine))
+                if len(kept) > self.entries:
+                    del kept[0]
+                    evicted += 1
+            made.append((False, None, similarity, len(kept), hits, misses, evicted, expired))
+        return ([x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept], hits, misses, evicted, expired), made
+
+
+class SessionMemory:
+    """The last items of a session: what a recommender needs to know of it. Inputs: time (microseconds), item.
+
+    ``recent``: up to ``last`` items before this one, oldest first; ``cold`` if there are none, because the session is
+    new or ``idle`` seconds passed; ``seen`` if the item is among them; ``length``: items of the session, this one included.
+    """
+
+    state = "items array<string>, last bigint, length bigint"
+    out = "recent array<string>, cold boolean, seen boolean, length bigint"
+
+    def __init__(self, last: int = 20, idle: float = 1800.0):
+        self.last, self.idle = last, int(idle * 1e6)
+
+    def start(self) -> tuple:
+        return [], 0, 0
+
+    def step(self, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        items, before, length = list(state[0]), state[1], state[2]
+        made = []
+        for now, item in rows:
+            if length and now - before > self.idle:
+                items, length = [], 0
+            item = None if item is None else str(item)
+            length += 1
+            made.append((list(items), not items, item in items, length))
+            items, before = [*items, item][-self.last :], now
+        return (items, before, length), made

@@ -84,11 +84,31 @@ def online_latest(s, d):
     return store.read()
 
 
-QUERIES = {"asof_features": asof_features, "asof_orders": asof_orders, "online_latest": online_latest, "online_learner": online_learner, "chart_scan": chart_scan, "seasonal_scan": seasonal_scan, "hidden_state_filter": hidden_state_filter}
+def cache_replay(s, d):
+    """Turns of users asked of a cache for each of eight tenants; the next turn of the conversation is the answer that is kept."""
+    c = table(s, d, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    asked = c.filter("role = 'user'").join(nxt, ["conv_id", "turn"], "left").select((F.col("conv_id") % 8).alias("tenant"), "conv_id", "turn", "text", "answer", (F.col("conv_id") * 60_000_000 + F.col("turn") * 1_000_000).alias("at"))
+    out = R.scan(asked, ["tenant"], ["conv_id", "turn"], ["at", "text", "answer"], R.SemanticCache(0.5, 50, 7200.0))
+    return out.select("conv_id", "turn", "hit", F.sha2(F.col("answer").cast("binary"), 256).alias("answer_sha256"), F.round("similarity", 6).alias("similarity"), "entries", "hits", "misses", "evicted", "expired")
+
+
+def session_memory(s, d):
+    """Types of events of each user: the last five of the session before each, sessions ending after twelve quiet hours."""
+    e = table(s, d, "events").select("user_id", "ts", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    out = R.scan(e, ["user_id"], ["ts", "event_id"], ["at", "event_type"], R.SessionMemory(5, 43_200.0))
+    return out.select("event_id", F.array_join("recent", ",").alias("recent"), "cold", "seen", "length")
+
+
+QUERIES = {"cache_replay": cache_replay, "session_memory": session_memory, "asof_features": asof_features, "asof_orders": asof_orders, "online_latest": online_latest, "online_learner": online_learner, "chart_scan": chart_scan, "seasonal_scan": seasonal_scan, "hidden_state_filter": hidden_state_filter}
 
 _DAYS = """SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS known, count(*) AS n_day, round(avg(value), 6) AS mean_day FROM events GROUP BY 1, 2"""
 
 SQL = {
+    "session_memory": """WITH e AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 43200000000, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e),
+r AS (SELECT event_id, event_type, row_number() OVER w AS length, list(event_type) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS recent FROM g WINDOW w AS (PARTITION BY user_id, session ORDER BY ts, event_id))
+SELECT event_id, coalesce(array_to_string(recent, ','), '') AS recent, length = 1 AS cold, coalesce(list_contains(recent, event_type), false) AS seen, length FROM r""",
     "asof_features": f"""WITH h AS ({_DAYS})
 SELECT event_id, e.user_id, ts, CASE WHEN known + INTERVAL 5 DAY >= ts THEN n_day END AS n_day, CASE WHEN known + INTERVAL 5 DAY >= ts THEN mean_day END AS mean_day,
   CASE WHEN known + INTERVAL 5 DAY >= ts THEN round((epoch_us(ts) - epoch_us(known)) / 1e6, 3) END AS age

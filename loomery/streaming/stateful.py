@@ -87,11 +87,12 @@ def scan_stream(stream: DataFrame, keys: list[str], ts: str, tie: str | Column,
     time seen, has passed it; rows that come later than that are dropped. With ``drop_repeats`` rows that repeat time
     and tie of a key count once, so a source that delivers rows twice changes nothing.
     """
+    if not isinstance(stream.schema[ts].dataType, TimestampType):
+        raise TypeError(f"{ts} must be a timestamp with a zone")
     needs_rocksdb(stream.sparkSession)
     tie_column = F.col(tie) if isinstance(tie, str) else tie
     kept = stream.withWatermark(ts, late).select(*keys, ts, F.unix_micros(ts).alias("at"), tie_column.cast("bigint").alias("tie"), *inputs)
     waiting = StructType([StructField("at", kept.schema["at"].dataType), StructField("tie", kept.schema["tie"].dataType), *[kept.schema[c] for c in inputs]])
     out = StructType([*[kept.schema[k] for k in keys], waiting["at"], waiting["tie"], *StructType.fromDDL(recurrence.out).fields])
     made = kept.groupBy(*keys).transformWithStateInPandas(_InOrder(recurrence, waiting, inputs, out.fieldNames(), drop_repeats), out, "append", "EventTime")
-    assert isinstance(stream.schema[ts].dataType, TimestampType), f"{ts} must be a timestamp"
     return made.select(*keys, F.timestamp_micros("at").alias(ts), "tie", *StructType.fromDDL(recurrence.out).fieldNames())

@@ -147,6 +147,61 @@ def test_hidden_states_against_all_paths():
     assert step.step(state, [(1.0, None, None, None, None)])[1] == [(None,) * 4]
 
 
+def test_semantic_cache():
+    """Against an ordered dictionary that is searched row by row, in pieces that go through the typed state."""
+    from collections import OrderedDict
+
+    rng = random.Random(6)
+    words = "refund order ship late card pay login reset".split()
+    rows, now = [], 0
+    for i in range(400):
+        now += rng.choice([1, 5, 30, 200]) * 1_000_000
+        text = rng.choice([None, "", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))), "The " + rng.choice(words)])
+        rows.append((now, text, rng.choice([None, f"answer {i}"])))
+    step = recurrences.SemanticCache(0.9, 6, 900.0, ("the",))
+    state, got = step.start(), []
+    for part in np.array_split(np.arange(400), 23):
+        state, made = step.step(state, [rows[i] for i in part])
+        got += made
+    held, n = OrderedDict(), {"hits": 0, "misses": 0, "evicted": 0, "expired": 0}
+
+    def vector(text):
+        w = [x for x in (text or "").lower().split() if x != "the"]
+        return {x: 1 + math.log(w.count(x)) for x in w}
+
+    for (at, text, answer), r in zip(rows, got):
+        for k in [k for k, (_, t, _) in held.items() if at - t > 900_000_000]:
+            del held[k]
+            n["expired"] += 1
+        mine, best, which = vector(text), 0.0, None
+        for k, (_, _, other) in held.items():
+            norms = math.sqrt(sum(x * x for x in mine.values())) * math.sqrt(sum(x * x for x in other.values()))
+            like = sum(x * other.get(w, 0) for w, x in mine.items()) / norms if norms else 0.0
+            if like > best + 1e-12:
+                best, which = like, k
+        hit = which is not None and best >= 0.9
+        assert r[0] == hit and r[2] == pytest.approx(best)
+        if hit:
+            held.move_to_end(which)
+            assert r[1] == held[which][0]
+        n["hits" if hit else "misses"] += 1
+        if not hit and answer is not None:
+            held[at, answer] = (answer, at, mine)
+            if len(held) > 6:
+                held.popitem(last=False)
+                n["evicted"] += 1
+        assert r[3:] == (len(held), *n.values())
+    assert min(n.values()) > 5
+
+
+def test_session_memory():
+    step = recurrences.SessionMemory(2, 10.0)
+    s = 1_000_000
+    state, made = step.step(step.start(), [(0, "a"), (1 * s, "b"), (2 * s, "a")])
+    state, more = step.step(state, [(3 * s, None), (14 * s, "a"), (14 * s, "a")])
+    assert made + more == [([], True, False, 1), (["a"], False, False, 2), (["a", "b"], False, True, 3), (["b", "a"], False, False, 4), ([], True, False, 1), (["a"], False, True, 2)]
+
+
 def test_scan_keys_and_nulls(spark):
     rows = [(None, i, float(i)) for i in range(5)] + [("a", i, None if i == 2 else float(i % 3)) for i in range(40)] + [("b", 1, 7.0)]
     df = spark.createDataFrame(rows, "k string, o long, v double").withColumns({"m": F.lit(1.0), "s": F.lit(1.0)})
@@ -173,6 +228,7 @@ STEPS = {
     "chart": (recurrences.ControlChart(), ["v", "m", "s"]),
     "season": (recurrences.SeasonalResidual(6), ["v", "season", "start", "m", "s"]),
     "states": (recurrences.HiddenStates(), ["v", "pi", "a", "mu", "sd"]),
+    "cache": (recurrences.SemanticCache(0.9, 3, 600.0), ["us", "said", "reply"]),
     "learner": (recurrences.OnlineLearner(2, grace=20, delta=0.05), ["y", "v", "w"]),
 }
 
@@ -181,6 +237,7 @@ STEPS = {
 def test_streams_give_what_batches_give(spark, tmp_path, name):
     step, inputs = STEPS[name]
     df = _series(spark)
+    df = df.withColumns({"us": F.unix_micros("ts"), "said": F.concat_ws(" ", F.lit("point"), (F.col("i") % 7).cast("string"), F.lit("is 22")), "reply": F.concat(F.lit("r"), F.col("i").cast("string"))})
     params = df.groupBy("k").agg(F.lit(12.0).alias("m"), F.lit(4.0).alias("s"), F.array(*[F.lit(float(x)) for x in (1, 2, 3, -1, -2, -3)]).alias("season"), F.lit(2).alias("start"))
     params = params.join(timeseries.hmm_parameters(df.filter("i < 60"), ["k"], "i", "v"), "k")
     params.write.parquet(str(tmp_path / "params"))
@@ -192,7 +249,7 @@ def test_streams_give_what_batches_give(spark, tmp_path, name):
         parts[when].append(r)
         if rng.random() < 0.1:
             parts[min(3, when + rng.randrange(2))].append(r)
-    parts.append([("end", START + dt.timedelta(days=30), 0, 0.0, 0.0, 0)])  # moves the watermark past all
+    parts.append([("end", START + dt.timedelta(days=30), 0, 0.0, 0.0, 0, 0, "", None)])  # moves the watermark past all
     for p, part in enumerate(parts):
         spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{p}"))
     before = spark.conf.get("spark.sql.shuffle.partitions")
