@@ -107,7 +107,7 @@ def span_scores(true: DataFrame, pred: DataFrame, sentence: str, position: str,
 
 def tag_counts(df: DataFrame, sentence: str, tag: str) -> DataFrame:
     """Size of a tagged set: sentences, tokens, and entities (B- tags) by kind; kind is null for the whole."""
-    kind = F.when(F.col(tag).startswith("B-"), F.substring(F.col(tag), 3, 1000))
+    kind = F.when(F.col(tag).startswith("B-"), F.col(tag).substr(F.lit(3), F.length(tag)))
     whole = df.agg(F.count_distinct(sentence).alias("n_sentences"), F.count(F.lit(1)).alias("n_tokens"), F.count(kind).alias("n_entities"))
     each = df.filter(kind.isNotNull()).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_entities"))
     return whole.select(F.lit(None).cast("string").alias("kind"), "*").unionByName(each, allowMissingColumns=True)

@@ -68,7 +68,7 @@ def debias_scores(recs: DataFrame, propensities: DataFrame, user: str, item: str
     """Recommendations scored anew by ``score * min(propensity ** -scale, most)`` and ranked anew; unknown items have the least propensity."""
     p = F.coalesce(F.col("propensity"), F.lit(floor))
     new = recs.join(propensities.select(F.col("item").alias(item), "propensity"), item, "left").withColumn("score", F.col("score") * F.least(F.pow(p, F.lit(-scale)), F.lit(most)))
-    return top_k(new.select(user, item, "score"), [user], [F.desc(F.round("score", 9)), F.col(item)], 1_000_000)
+    return top_k(new.select(user, item, "score"), [user], [F.desc(F.round("score", 9)), F.col(item)], (1 << 31) - 1)
 
 
 def ips_evaluation(recs: DataFrame, relevant: DataFrame, propensities: DataFrame, user: str, item: str, k: int = 10, floor: float = 1e-4, most: float = 10.0) -> DataFrame:
