@@ -23,16 +23,21 @@ from loomery.session import stage_table
 CELLS = 4096
 
 
-def van_der_corput(i: Column, bits: int = 32) -> Column:
-    """The ``i``-th point in base 2: the low ``bits`` of ``i`` reversed, over ``2**bits``."""
-    x = i.bitwiseAND(F.lit((1 << bits) - 1))
+def _reversed(x: Column, bits: int = 32) -> Column:
+    """The low ``bits`` of a number, in reverse."""
+    x = x.bitwiseAND(F.lit((1 << bits) - 1))
     width = bits
     while width > 1:
         half = width // 2
         mask = sum(((1 << half) - 1) << at for at in range(0, bits, width))
         x = F.shiftleft(x.bitwiseAND(F.lit(mask)), half).bitwiseOR(F.shiftright(x, half).bitwiseAND(F.lit(mask)))
         width = half
-    return x / F.lit(float(1 << bits))
+    return x
+
+
+def van_der_corput(i: Column) -> Column:
+    """The ``i``-th point in base 2: the bits of ``i`` behind the point, in reverse. Different up to 2 ** 52, as far as doubles go."""
+    return _reversed(i) / F.lit(2.0**32) + _reversed(F.shiftright(i, 32)) / F.lit(2.0**64)
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:

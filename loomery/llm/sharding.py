@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import source_key, whole
 from loomery.operators.ranking import hash_bucket, running_offsets
+from loomery.session import stage_table
 
 #: Buckets of the fractions. Their sums are the only rows that meet in one task.
 FRACTION_BUCKETS = 8192
@@ -45,8 +46,14 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17, source: str = "so
 
 
 def op3_sharding(docs: DataFrame) -> DataFrame:
-    """The contract of operator 3 over ``documents``: 24 shards, law ``rows``."""
+    """The contract of operator 3 over ``documents``: 24 shards, law ``rows``.
+
+    Texts of any length give a size and a checksum; only these are written and shuffled. Rows without id are numbered, so
+    that any number of equal ones is spread over the cells of the order.
+    """
     rows = docs.select("doc_id", "source", (F.octet_length(whole("text")) + 8).cast("long").alias("size"), F.crc32(whole("text")).alias("text_crc32"))
-    return interleave(rows.withColumn("_tie", F.col("text_crc32")), 24).select(
+    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = stage_table(rows.withColumn("_tie", F.concat_ws(":", F.col("text_crc32").cast("string"), number.cast("string"))), "shard-keys")
+    return interleave(rows, 24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -59,6 +59,31 @@ def test_sharding(docs, rows, empty):
     assert sharding.op3_sharding(empty).count() == 0
 
 
+def test_interleaving_is_the_plain_one(spark):
+    """Every row's shard and slot: ranks by digest within sources, fractions of ranks, the sequence cut into equal parts."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(6)
+    for n_shards, seed in ((1, 17), (7, 3)):
+        by_source = defaultdict(list)
+        for i, s in rows:
+            by_source["1" if s is None else "0" + s].append((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
+        order = sorted(((r + 0.5) / len(v), s, r, i) for s, v in by_source.items() for r, (_, i) in enumerate(sorted(v)))
+        want, counts = {}, Counter()
+        for pos, (*_, i) in enumerate(order):
+            shard = pos * n_shards // len(rows)
+            want[i] = (shard, counts[shard])
+            counts[shard] += 1
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df, n_shards, seed).collect()} == want
+
+
+def test_equal_rows_without_id_are_spread(spark):
+    """A third of all rows without id and text: no cell of the order holds many of them."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"))
+    got = sharding.op3_sharding(df).filter("doc_id IS NULL").groupBy("shard").count().collect()
+    assert len(got) == 24 and max(r["count"] for r in got) < 150
+
+
 def test_shards_match_the_mixture(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
     whole = {r.source: r["count"] for r in df.groupBy("source").count().collect()}
@@ -100,6 +125,13 @@ def test_quality_divergence(spark):
     assert all(got[i] for i in range(40)) and not got[100]
 
 
+def test_points_of_the_schedule(spark):
+    """The van der Corput sequence in base 2, beyond 2 ** 32 too."""
+    ids = [0, 1, 2, 3, 6, 12345, (1 << 32) - 1, 1 << 32, (1 << 32) + 1, (1 << 45) + 77]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", mixing.van_der_corput(F.col("i")).alias("u")).collect()
+    assert {r.i: r.u for r in got} == {i: sum((i >> k & 1) / 2.0 ** (k + 1) for k in range(52)) for i in ids}
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.op6_mixing(docs).collect()
     assert len(got) == len(rows)
