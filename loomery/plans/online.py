@@ -42,7 +42,7 @@ def _calibrated(s, d):
 def seasonal_scan(s, d):
     rows, profile = _calibrated(s, d)
     out = R.scan(rows.join(profile, "event_type"), ["event_type"], ["h"], ["x", "season", "start", "mean", "std"], R.SeasonalResidual(4))
-    return _r(out, 4, "trend", "seasonal", "residual", "score").select("event_type", "h", "trend", "seasonal", "residual", "score", "is_anomaly")
+    return _r(out, 9, "trend", "seasonal", "residual", "score").select("event_type", "h", "trend", "seasonal", "residual", "score", "is_anomaly")
 
 
 def hidden_state_filter(s, d):
@@ -89,7 +89,7 @@ def cache_replay(s, d):
     c = table(s, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     asked = c.filter("role = 'user'").join(nxt, ["conv_id", "turn"], "left").select((F.col("conv_id") % 8).alias("tenant"), "conv_id", "turn", "text", "answer", (F.col("conv_id") * 60_000_000 + F.col("turn") * 1_000_000).alias("at"))
-    out = R.scan(asked, ["tenant"], ["conv_id", "turn"], ["at", "text", "answer"], R.SemanticCache(0.5, 50, 7200.0))
+    out = R.scan(asked, ["tenant"], ["conv_id", "turn"], ["at", "text", "answer"], R.SemanticCache(0.2, 50, 7200.0))
     return out.select("conv_id", "turn", "hit", F.sha2(F.col("answer").cast("binary"), 256).alias("answer_sha256"), F.round("similarity", 6).alias("similarity"), "entries", "hits", "misses", "evicted", "expired")
 
 
@@ -132,5 +132,5 @@ e AS (SELECT b.event_type, x - t - s AS r FROM b JOIN c USING (event_type, p)),
 q AS (SELECT event_type, any_value(m) AS m, greatest(1e-8, 1.4826 * median(abs(r - m))) AS sd FROM e JOIN m USING (event_type) GROUP BY 1), n AS (SELECT event_type, count(*) AS n FROM b GROUP BY 1),
 o AS (SELECT x.event_type, h, x, avg(x) OVER (w ROWS 3 PRECEDING) AS trend, (n + row_number() OVER w - 1) % 4 AS p FROM x JOIN n USING (event_type) WHERE h >= TIMESTAMP '2024-01-21' WINDOW w AS (PARTITION BY x.event_type ORDER BY h)),
 f AS (SELECT event_type, h, trend, s AS seasonal, x - trend - s AS residual, abs(x - trend - s - m) / sd AS z FROM o JOIN c USING (event_type, p) JOIN q USING (event_type))
-SELECT event_type, h, round(trend, 4) AS trend, round(seasonal, 4) AS seasonal, round(residual, 4) AS residual, round(z / (z + 3), 4) AS score, z > 3 AS is_anomaly FROM f""",
+SELECT event_type, h, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(residual, 9) AS residual, round(z / (z + 3), 9) AS score, z > 3 AS is_anomaly FROM f""",
 }
