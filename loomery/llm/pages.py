@@ -282,6 +282,11 @@ class TreeModel:
             for tag in {k[2] for k in edges}
         }
 
+    def potential(self, node: Node) -> float:
+        """Log odds that a node is content by its own features alone."""
+        get = self.weight.get
+        return self.damped[node.tag == "#"] * sum(get(f, 0.0) for f in features(node))
+
     @staticmethod
     def _pair(node: Node) -> tuple[str, str]:
         above = node.parent.tag
@@ -300,10 +305,10 @@ class TreeModel:
         n = len(nodes)
         place = {id(x): i for i, x in enumerate(nodes)}
         parent = [place[id(x.parent)] if x.parent is not None else -1 for x in nodes]
-        odds, get = [0.0] * n, self.weight.get
+        odds = [0.0] * n
         edges = [[0.0, 0.0], *map(self.edge, nodes[1:])]
         for i, x in enumerate(nodes):
-            odds[i] = self.damped[x.tag == "#"] * sum(get(f, 0.0) for f in features(x))
+            odds[i] = self.potential(x)
         up = odds[:]  # log odds of a node given its own subtree, without its parent
         message = [0.0] * n  # what a node tells its parent, as log odds
         for i in range(n - 1, 0, -1):

@@ -141,7 +141,7 @@ def test_sum_product_against_enumeration():
     for states in product((0, 1), repeat=len(nodes)):
         s = 0.0
         for i, x in enumerate(nodes):
-            odds = sum(model.weight.get(f, 0.0) for f in pages.features(x)) + (-4.0 if i == 0 else 0.0)
+            odds = model.damped[x.tag == "#"] * sum(model.weight.get(f, 0.0) for f in pages.features(x)) + (-4.0 if i == 0 else 0.0)
             s += odds * states[i]
             if i:
                 p = model.edge(x)[states[place[id(x.parent)]]]
