@@ -10,13 +10,38 @@ from pyspark.sql import functions as F
 
 def kolmogorov_p(statistic: Column, n: Column, m: Column, terms: int = 50) -> Column:
     """Asymptotic p-value of a two-sample Kolmogorov-Smirnov statistic, by its series."""
-    lam = F.sqrt(n * m / (n + m)) * statistic
-    series = F.lit(0.0)
-    for k in range(1, terms + 1):
-        series = series + F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam * lam)
+    return kolmogorov_tail(F.sqrt(n * m / (n + m)) * statistic, terms)
+
+
+def kolmogorov_tail(lam: Column, terms: int = 50) -> Column:
+    """Tail of the Kolmogorov distribution, by its series."""
+    term = lambda k: 2.0 * F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda total, k: total + term(k))
     return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
+def polynomial(x: Column, highest_first: list[float]) -> Column:
+    """A polynomial by Horner's rule."""
+    out = F.lit(highest_first[0])
+    for c in highest_first[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution for 0 < p < 1, to about 1e-9 of its value (rational approximation)."""
+    # Coefficients of the approximation, highest power first; the tails begin at 0.02425.
+    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+    near = F.least(p, 1 - p)
+    q, r = near - 0.5, (near - 0.5) * (near - 0.5)
+    tail = F.sqrt(-2 * F.ln(near))
+    lower = F.when(near < 0.02425, polynomial(tail, c) / polynomial(tail, d)).otherwise(q * polynomial(r, a) / polynomial(r, b))
+    return F.when(p > 0.5, -lower).otherwise(lower)
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function for x >= 0, to about 1e-7 (rational approximation)."""
     t = 1.0 / (1.0 + 0.5 * x)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.operators.recsys import top_k
+
 # Patterns of personal data in tables.
 PII = {
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
@@ -76,6 +78,34 @@ def mask(value: Column, kind: str) -> Column:
     return F.when(F.length(value) > 4, F.concat(F.substring(value, 1, 2), F.lit("***"), F.right(value, F.lit(2)))).otherwise("***")
 
 
+def pii_findings(df: DataFrame, columns: list[str], examples: int = 3) -> DataFrame:
+    """Per column and type of personal data that occurs in it: ``column``, ``pii_type``, ``severity``, ``match_count`` (values), ``fraction``
+    of the values that are not blank, and ``masked_examples``: the first match of up to ``examples`` values, masked, the least first.
+
+    Columns of any type are read as text; nulls count for nothing. A table without matches gives no rows.
+    """
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("r")).select("r.*").filter(~_blank(F.col("v")))
+    n = values.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array_compact(F.array(*[F.when(F.col("v").rlike(p), F.struct(F.lit(k).alias("pii_type"), mask(F.regexp_extract("v", p, 0), k).alias("shown"))) for k, p in PII.items()]))
+    hits = values.select("column", F.explode(kinds).alias("h")).select("column", "h.*").groupBy("column", "pii_type", "shown").agg(F.count(F.lit(1)).alias("m"))
+    counted = hits.groupBy("column", "pii_type").agg(F.sum("m").alias("match_count"))
+    first = top_k(hits, ["column", "pii_type"], [F.col("shown")], examples)
+    # a value that is shown more than once fills as many places, up to the number of examples
+    shown = first.select("column", "pii_type", F.array_repeat("shown", F.least("m", F.lit(examples)).cast("int")).alias("s"), "rank")
+    lists = shown.groupBy("column", "pii_type").agg(F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"])), 1, examples).alias("masked_examples"))
+    severity = F.create_map(*[F.lit(x) for k, v in SEVERITY.items() for x in (k, v)])
+    out = counted.join(lists, ["column", "pii_type"]).join(n, "column")
+    return out.select("column", "pii_type", severity[F.col("pii_type")].alias("severity"), "match_count", F.round(F.col("match_count") / F.col("n"), 4).alias("fraction"), "masked_examples")
+
+
+def pii_compliance(df: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: ``rows_scanned``, ``affected_columns``, ``critical_columns`` (with critical or high types), sorted, and ``compliant``: there is none of the latter."""
+    sets = findings.agg(
+        F.sort_array(F.collect_set("column")).alias("affected_columns"), F.sort_array(F.collect_set(F.when(F.col("severity").isin("critical", "high"), F.col("column")))).alias("critical_columns")
+    )
+    return df.agg(F.count(F.lit(1)).alias("rows_scanned")).crossJoin(sets).withColumn("compliant", F.size("critical_columns") == 0)  # one row each
+
+
 def _any(text: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:

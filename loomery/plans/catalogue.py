@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomery.plans import decisions, governance, learning, online, series, tabular, texts
+from loomery.plans import decisions, governance, learning, online, searching, series, tabular, texts
 
-MODULES = (tabular, governance, decisions, series, texts, online, learning)
+MODULES = (tabular, governance, decisions, series, texts, online, learning, searching)
 
 
 def queries() -> dict:
