@@ -28,18 +28,23 @@ def polynomial(x: Column, highest_first: list[float]) -> Column:
     return out
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution for 0 < p < 1, to about 1e-9 of its value (rational approximation)."""
-    # Coefficients of the approximation, highest power first; the tails begin at 0.02425.
+def lower_quantile(near: Column) -> Column:
+    """Inverse of the standard normal distribution for 0 < near <= 0.5, to about 1e-9 of its value (rational approximation).
+
+    The argument is read often: give a column that is there, not an expression.
+    """
+    # Coefficients of the approximation, highest power first; the tail begins at 0.02425.
     a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
     b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
     c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
     d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
-    near = F.least(p, 1 - p)
-    q, r = near - 0.5, (near - 0.5) * (near - 0.5)
-    tail = F.sqrt(-2 * F.ln(near))
-    lower = F.when(near < 0.02425, polynomial(tail, c) / polynomial(tail, d)).otherwise(q * polynomial(r, a) / polynomial(r, b))
-    return F.when(p > 0.5, -lower).otherwise(lower)
+    q, tail = near - 0.5, F.sqrt(-2 * F.ln(near))
+    return F.when(near < 0.02425, polynomial(tail, c) / polynomial(tail, d)).otherwise(q * polynomial(q * q, a) / polynomial(q * q, b))
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution for 0 < p < 1."""
+    return lower_quantile(F.least(p, 1 - p)) * F.when(p > 0.5, -1.0).otherwise(1.0)
 
 
 def erfc(x: Column) -> Column:

@@ -98,8 +98,9 @@ def order_statistics(df: DataFrame, column: str) -> DataFrame:
     each = each.withColumns({"gap": F.greatest(upto - share, share - under), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / SLICE).cast("long")))})
     dealt = each.withColumns({"from": F.col("before") + F.col("part") * SLICE + 1, "to": F.least(F.col("before") + F.col("c"), F.col("before") + (F.col("part") + 1) * SLICE)}).repartition("x", "part")
     ranks = dealt.withColumn("i", F.explode(F.sequence("from", "to")))
-    score = lambda i: stats.normal_quantile((i - 0.375) / (F.col("n") + 0.25))
-    ranks = ranks.withColumns({"m": -score(F.col("i")), "v": F.col("x") - F.col("mean"), "l": F.when(F.col("low") > 0, F.ln("x") - F.col("mean_log"))})
+    share_of = lambda i: (i - 0.375) / (F.col("n") + 0.25)
+    ranks = _made_once(ranks.withColumns({"_near": share_of(F.least("i", F.col("n") + 1 - F.col("i"))), "_side": F.signum(F.col("n") + 1.0 - 2 * F.col("i"))}))
+    ranks = _made_once(ranks.withColumns({"m": -stats.lower_quantile(F.col("_near")) * F.col("_side"), "v": F.col("x") - F.col("mean"), "l": F.when(F.col("low") > 0, F.ln("x") - F.col("mean_log"))}).select("n", "n_distinct", "gap", "i", "m", "v", "l"))
     inner = (F.col("i") > 2) & (F.col("i") < F.col("n") - 1)
     at = lambda i, v: F.max(F.when(F.col("i") == i, F.col(v)))
     sums = ranks.agg(
@@ -109,7 +110,9 @@ def order_statistics(df: DataFrame, column: str) -> DataFrame:
         }.items()],
     )
     n, u = F.col("n"), 1 / F.sqrt("n")
-    last, second = -score(F.lit(1)), -score(F.lit(2))
+    sums = _made_once(sums.withColumns({"_p1": share_of(F.lit(1)), "_p2": share_of(F.lit(2))}))
+    sums = _made_once(sums.withColumns({"_m1": -stats.lower_quantile(F.col("_p1")), "_m2": -stats.lower_quantile(F.col("_p2"))}))
+    last, second = F.col("_m1"), F.col("_m2")
     # Weights of the two outermost values on each side, p-values by number; highest power first.
     outer = last / F.sqrt("mm") + stats.polynomial(u, [-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0])
     beside = second / F.sqrt("mm") + stats.polynomial(u, [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0])
