@@ -1,13 +1,16 @@
 """Operators without SQL form: known values, plain versions, stream against batch."""
 
 import math
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import stats
 from loomery.operators import graph, image, models, profile, resolve, text, timeseries
+from loomery.operators import components
 from loomery.operators.components import connected_components
 from loomery.operators.ranking import running_offsets
 from loomery.streaming import detectors
@@ -37,6 +40,51 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_many_tasks(spark, monkeypatch):
+    """Chains and random edges whose parts are in several tasks, and ids that are text."""
+    monkeypatch.setattr(components, "tasks_for", lambda n: max(1, -(-n // 60)))
+    draw = random.Random(5)
+    edges = [(i, i + 1) for i in range(150)] + [(draw.randrange(1000, 1300), draw.randrange(1000, 1300)) for _ in range(150)] + [(2000, 2000 + i) for i in range(1, 90)]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    rows = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    assert {r.id: r.component for r in connected_components(rows).collect()} == want
+    named = rows.select(*[F.format_string("é%05d", c).alias(c) for c in ("src", "dst")])
+    assert {r.id: r.component for r in connected_components(named).collect()} == {f"é{a:05d}": f"é{b:05d}" for a, b in want.items()}
+
+
+def test_contraction_in_pieces(monkeypatch):
+    """What a task contracts together is bounded: pieces give stars of their own, with the same components."""
+    monkeypatch.setattr(components, "TOGETHER", 25)
+    draw = random.Random(6)
+    pairs = sorted({(max(e), min(e)) for e in ((draw.randrange(80), draw.randrange(80)) for _ in range(60)) if e[0] != e[1]})
+    table = pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
+    made = list(components._contract(iter(table.to_batches(10))))
+    stars = [(u, v) for x in made for u, v in zip(x.column("u").to_pylist(), x.column("v").to_pylist())]
+    assert len(made) == -(-len(pairs) // 30) and all(u > v for u, v in stars)
+    whole = lambda edges: dict(zip(*(x.tolist() for x in components.contracted(*np.array(edges).T))))
+    want = {x: x for e in pairs for x in e}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert whole(pairs) == whole(stars) == {a: b for a, b in want.items() if a != b}
+
+
+def test_components_of_one_task_take_few_jobs(spark):
+    """Each job leaves its plans and broadcasts in the driver's memory: a chain's length must not add to them."""
+    rows = spark.createDataFrame([(i, i + 1) for i in range(2000)], "src long, dst long")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        got = connected_components(rows)
+        n_jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.filter("component = 0").count() == 2001 and n_jobs <= 12
+
+
 def test_core_numbers(spark):
     k5 = [(a, b) for a in range(5) for b in range(a)] + [(0, 9)]
     got = {r.id: r.core for r in graph.k_core(spark.createDataFrame(k5, "src long, dst long")).collect()}
