@@ -61,6 +61,7 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str, a: object) ->
     )
     w = Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
     r = times.withColumns({"ra": F.sum("na").over(w), "r": F.sum("n").over(w)}).filter("d > 0")
+    r = r.withColumns({c: F.col(c).cast("double") for c in ("d", "ra", "r")})  # products of four counts, beyond 64 bits from some 100000 rows on
     e = F.col("d") * F.col("ra") / F.col("r")
     v = F.when(F.col("r") > 1, F.col("d") * F.col("ra") * (F.col("r") - F.col("ra")) * (F.col("r") - F.col("d")) / (F.col("r") * F.col("r") * (F.col("r") - 1))).otherwise(0.0)
     out = r.agg(F.sum("da").alias("observed"), F.sum(e).alias("expected"), F.sum(v).alias("_v"))
