@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from loomery.functions.stats import kolmogorov_p
 from loomery.operators.blocks import over_block_pairs
+from loomery.operators.ranking import running_sums
+from loomery.session import stage_table
 
 
 def two_sided(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,12 +25,28 @@ def two_sided(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
     return one(ref, "ref").unionByName(one(cur, "cur"))
 
 
+def counted(long: DataFrame, groups: list[str]) -> DataFrame:
+    """A long table with equal values counted, written once: ``groups``, ``value``, ``r`` and ``c``, its rows of either side.
+
+    Rows are in ranges of group and value; ``_range`` is the range's number, which grows with the value in a group. The
+    measures below that say so take such a table in place of the long one.
+    """
+    cells = long.groupBy(*groups, "value").agg(*[n.alias(c) for c, n in zip("rc", sides(long))])
+    return stage_table(cells.repartitionByRange(*groups, "value").withColumn("_range", F.spark_partition_id()), "counted")
+
+
+def sides(long: DataFrame) -> tuple[Column, Column]:
+    """How many rows there are of either side, in a long or a counted table."""
+    return (F.sum("r"), F.sum("c")) if "side" not in long.columns else (F.count_if(F.col("side") == "ref"), F.count_if(F.col("side") == "cur"))
+
+
 def joint_bins(long: DataFrame, groups: list[str], bins: int) -> DataFrame:
-    """Equal-width bins over the joint range, left-closed, the last right-closed: ``bin``, ``r`` and ``c`` counts, ``nr``, ``nc``."""
+    """Equal-width bins over the joint range, left-closed, the last right-closed: ``bin``, ``r`` and ``c`` counts, ``nr``, ``nc``. Takes counted tables."""
     w = Window.partitionBy(*groups)
-    bounds = long.groupBy(*groups).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count_if(F.col("side") == "ref").alias("nr"), F.count_if(F.col("side") == "cur").alias("nc"))
+    ref, cur = sides(long)
+    bounds = long.groupBy(*groups).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), ref.alias("nr"), cur.alias("nc"))
     placed = long.join(bounds, groups).withColumn("bin", F.least(F.floor((F.col("value") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1)).cast("int"))
-    counts = placed.groupBy(*groups, "bin").agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
+    counts = placed.groupBy(*groups, "bin").agg(ref.alias("r"), cur.alias("c"))
     every = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(counts, [*groups, "bin"], "left").fillna(0, ["r", "c"]).withColumn("_flat", F.max(F.col("_lo") == F.col("_hi")).over(w))
 
@@ -73,14 +91,38 @@ def ks_test(long: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def wasserstein(long: DataFrame, groups: list[str], points: int = 1000) -> DataFrame:
-    """Mean distance of ``points`` linear quantiles of both sides."""
-    at = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    q = long.groupBy(*groups).agg(F.percentile(F.when(F.col("side") == "ref", F.col("value")), at).alias("a"), F.percentile(F.when(F.col("side") == "cur", F.col("value")), at).alias("b"))
-    return q.select(*groups, (F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / points).alias("wasserstein"))
+    """Mean distance of ``points`` linear quantiles of both sides; null for groups without values on a side. Takes counted tables.
+
+    Values are counted, and ranks are running sums of the counts, so no task holds a group's values. A cell gives its value
+    to the points whose lower or upper rank lies in it.
+    """
+    cells = (counted(long, groups) if "side" in long.columns else long).filter("value IS NOT NULL")
+    ranked = running_sums(cells, groups, "_range", [F.col("value")], {"_br": F.col("r"), "_bc": F.col("c")}, {"_br": "_nr", "_bc": "_nc"})
+    last = points - 1
+
+    def held(side: str) -> DataFrame:
+        n, first, most = F.col(side), F.col(f"_b{side}"), F.col(f"_n{side}") - 1
+        inside = lambda rank: (rank >= first) & (rank < first + n)
+        at = lambda i: most * (i / F.lit(last))
+        # the points between the ranks next to the cell's, with room for rounding; most cells have none
+        guess = lambda rank: F.when(most > 0, rank * F.lit(last) / most)
+        low = F.greatest(F.lit(0), F.coalesce(F.ceil(guess(first - 1) - 1e-6), F.lit(0))).cast("int")
+        high = F.least(F.lit(last), F.coalesce(F.floor(guess(first + n) + 1e-6), F.lit(last))).cast("int")
+        asked = F.filter(F.sequence(low, high), lambda i: inside(F.floor(at(i))) | inside(F.ceil(at(i))))
+        own = F.transform(asked, lambda i: F.struct(i.alias("i"), at(i).alias("x"), inside(F.floor(at(i))).alias("l"), inside(F.ceil(at(i))).alias("h")))
+        return ranked.filter((n > 0) & (low <= high)).select(*groups, F.lit(side).alias("_s"), "value", F.explode(own).alias("_p"))
+
+    value = lambda which: F.max(F.when(F.col(f"_p.{which}"), F.col("value"))).alias(f"_{which}")
+    ends = held("r").unionByName(held("c"))
+    q = ends.groupBy(*groups, F.col("_p.i").alias("i"), "_s").agg(F.max("_p.x").alias("_x"), value("l"), value("h"))
+    between = F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise((F.ceil("_x") - F.col("_x")) * F.col("_l") + (F.col("_x") - F.floor("_x")) * F.col("_h"))
+    pair = q.withColumn("_q", between).groupBy(*groups, "i").agg(*[F.max(F.when(F.col("_s") == s, F.col("_q"))).alias(f"_{s}") for s in "rc"])
+    gaps = pair.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.abs(F.col("_r") - F.col("_c")).alias("d")))), lambda s: s["d"]).alias("_d"))
+    return gaps.select(*groups, (F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / points).alias("wasserstein"))
 
 
 def js_divergence(long: DataFrame, groups: list[str], bins: int = 20, eps: float = 1e-10) -> DataFrame:
-    """Jensen-Shannon divergence in bits over joint bins, ``eps`` added and renormalised, clipped to [0, 1]."""
+    """Jensen-Shannon divergence in bits over joint bins, ``eps`` added and renormalised, clipped to [0, 1]. Takes counted tables."""
     p, q = (F.col("r") / F.col("nr") + eps) / (1 + bins * eps), (F.col("c") / F.col("nc") + eps) / (1 + bins * eps)
     m = (p + q) / 2
     total = F.sum(p * F.ln(p / m) + q * F.ln(q / m)) / (2 * F.ln(F.lit(2.0)))

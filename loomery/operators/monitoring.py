@@ -19,8 +19,8 @@ def chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def chi2_by(long: DataFrame, groups: list[str]) -> DataFrame:
-    """Per group: goodness of fit of the current values, as whole numbers, to the reference's shares; cells expected at 1 or more."""
-    cells = long.groupBy(*groups, F.col("value").cast("long").alias("_v")).agg(F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cur").alias("c"))
+    """Per group: goodness of fit of the current values, as whole numbers, to the reference's shares; cells expected at 1 or more. Takes counted tables."""
+    cells = long.groupBy(*groups, F.col("value").cast("long").alias("_v")).agg(*[n.alias(c) for c, n in zip("rc", drift.sides(long))])
     sums = cells.groupBy(*groups).agg(F.sum("r").alias("_r"), F.sum("c").alias("_c"))
     expected = cells.join(sums, groups).withColumn("_e", F.col("r") / F.col("_r") * F.col("_c")).filter("_e >= 1")
     out = expected.groupBy(*groups).agg(F.sum(F.pow(F.col("c") - F.col("_e"), 2) / F.col("_e")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
@@ -31,17 +31,20 @@ def extended_drift(long: DataFrame, kinds: dict[str, str] | None = None, bins: i
     """Per column of a long table: Wasserstein and Jensen-Shannon for continuous ones, chi-square and Jensen-Shannon for others.
 
     Without a kind given a column of 20 different reference values or fewer is categorical. ``severity`` is the worst of
-    the two tests', ``confidence`` the share of them that see drift.
+    the two tests', ``confidence`` the share of them that see drift. Equal values are counted once, and all measures read the counts.
     """
     given = F.create_map(*[F.lit(x) for kv in (kinds or {"": ""}).items() for x in kv])
-    few = long.filter("side = 'ref'").groupBy(key, "value").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("_d"), F.sum("n").alias("_n"))
+    cells = drift.counted(long, [key])
+    ref = cells.filter("r > 0")
+    few = ref.groupBy(key).agg(F.count(F.lit(1)).alias("_d"), F.sum("r").alias("_n"), (F.sum(F.col("value") * F.col("r")) / F.sum(F.when(F.col("value").isNotNull(), F.col("r")))).alias("_mean"))
     kind = F.coalesce(F.try_element_at(given, F.col(key)), F.when(F.col("_d") <= 20, "categorical").otherwise("continuous"))
     typed = few.select(key, kind.alias("feature_type"))
-    scale = long.filter("side = 'ref'").groupBy(key).agg(F.stddev_pop("value").alias("_sd"))
-    js = drift.js_divergence(long, [key], bins).withColumn("js", F.round("js", 6))
-    rows = typed.join(scale, key).join(js, key)
-    continuous = long.join(typed.filter("feature_type = 'continuous'").select(key), key, "left_semi")
-    other = long.join(typed.filter("feature_type <> 'continuous'").select(key), key, "left_semi")
+    around = ref.filter("value IS NOT NULL").join(few.select(key, "_mean"), key)
+    scale = around.groupBy(key).agg(F.sqrt(F.sum(F.col("r") * F.pow(F.col("value") - F.col("_mean"), 2)) / F.sum("r")).alias("_sd"))
+    js = drift.js_divergence(cells, [key], bins).withColumn("js", F.round("js", 6))
+    rows = typed.join(scale, key, "left").join(js, key)
+    continuous = cells.join(typed.filter("feature_type = 'continuous'").select(key), key, "left_semi")
+    other = cells.join(typed.filter("feature_type <> 'continuous'").select(key), key, "left_semi")
     w = drift.wasserstein(continuous, [key]).withColumn("wasserstein", F.round("wasserstein", 6))
     out = rows.join(w, key, "left").join(chi2_by(other, [key]), key, "left")
     sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)

@@ -1,8 +1,9 @@
 """What only shows on larger tables, or on tables shaped like them: counts beyond 64 bits, quantiles of many values, pairs, graphs."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loomery.operators import experiment
+from loomery.operators import drift, experiment, monitoring
 
 
 def test_log_rank_of_many_rows(spark):
@@ -18,3 +19,19 @@ def test_log_rank_of_many_rows(spark):
         v += d * ra * (r - ra) * (r - d) / (r * r * (r - 1))
     got = experiment.log_rank(rows, "t", "e", "g", True).first()
     assert got.observed == o and abs(got.expected - e) < 1e-6 and abs(got.chi2 - (o - e) ** 2 / v) < 1e-9 * (o - e) ** 2 / v
+
+
+def test_quantiles_of_many_values(spark):
+    rng = np.random.default_rng(5)
+    sides = {"a": (rng.normal(size=3000).round(3), rng.normal(0.1, 2, 1700)), "b": (np.zeros(4), np.array([7.0])), "c": (np.array([1.0, 2.0]), np.array([])), "d": (rng.integers(0, 9, 5000) / 7, rng.integers(0, 9, 40) / 7)}
+    rows = [(k, s, float(x)) for k, two in sides.items() for s, values in zip(("ref", "cur"), two) for x in values] + [("a", "ref", None)]
+    long = spark.createDataFrame(rows, "k string, side string, value double")
+    got = {r.k: r.wasserstein for r in drift.wasserstein(long, ["k"]).collect()}
+    at = [i / 999 for i in range(1000)]
+    for k, (x, y) in sides.items():
+        assert got[k] is None if not len(y) else abs(got[k] - np.abs(np.quantile(x, at) - np.quantile(y, at)).mean()) < 1e-12
+    # no task takes a group's values together
+    big = spark.range(300_000).select(F.when(F.col("id") % 2 == 0, "ref").otherwise("cur").alias("side"), F.lit("x").alias("column"), (F.col("id") * 1.0).alias("value"))
+    assert "percentile" not in drift.wasserstein(big, ["column"])._jdf.queryExecution().toString()
+    report = monitoring.extended_drift(big).first()
+    assert report.wasserstein == 1.0 and report.js == 0.0 and report.severity == "ok"
