@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomery.operators import drift, experiment, monitoring
+from loomery.operators import drift, experiment, monitoring, resolve
 
 
 def test_log_rank_of_many_rows(spark):
@@ -35,3 +35,21 @@ def test_quantiles_of_many_values(spark):
     assert "percentile" not in drift.wasserstein(big, ["column"])._jdf.queryExecution().toString()
     report = monitoring.extended_drift(big).first()
     assert report.wasserstein == 1.0 and report.js == 0.0 and report.severity == "ok"
+
+
+def test_pairs_of_a_large_block(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", 7)
+    names = ["Ann Lee", "ann  lee", None, "Bo", "Supplier#0001", "Supplier#0017", "", "Ann Leeds"]
+    rows = [(i, names[i * 5 % 8], None if i % 9 == 4 else i * 37 % 11 * 1.0, ("x" if i % 3 else " X") if i % 7 else None, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, name string, bal double, tag string, g long")
+    fields = {"name": ("text", 2.0), "bal": ("numeric", 1.0), "tag": ("exact", 0.5)}
+    found = resolve.resolve(df, "id", ["g"], fields, 0.55)
+    # each row meets the parts of its block, and parts are dealt to tasks
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and found.rdd.getNumPartitions() > 8
+    a, b = df.select(*[F.col(c).alias(f"a_{c}") for c in df.columns]), df.select(*[F.col(c).alias(f"b_{c}") for c in df.columns])
+    pairs = a.join(b, F.col("a_g") == F.col("b_g")).filter("a_id < b_id")
+    sims = {c: resolve.similarity(F.col(f"a_{c}"), F.col(f"b_{c}"), kind) for c, (kind, _) in fields.items()}
+    total = sum((F.coalesce(s * fields[c][1], F.lit(0.0)) for c, s in sims.items()), F.lit(0.0))
+    weight = sum((F.when(s.isNotNull(), fields[c][1]).otherwise(0.0) for c, s in sims.items()), F.lit(0.0))
+    want = pairs.withColumn("score", F.round(F.try_divide(total, weight), 6)).filter("score >= 0.55").select("a_id", "b_id", "score")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
