@@ -4,40 +4,49 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.operators.blocks import over_block_pairs
+from loomery.operators.blocks import best_dots, by_name, over_slices, places_of, vector_length
 from loomery.operators.recsys import cosine, top_k
+from loomery.session import stage_table, tasks_for
 
 
 def factor_recommend(ratings: DataFrame, factors: DataFrame, user: str, item: str, rating: str, vector: str, k: int = 10, places: int = 6) -> DataFrame:
     """The ``k`` best unrated items of each user: user, item, ``score``, ``rank``; ties by item.
 
     A user's vector is the rating-weighted sum of the factors of its items; scores are dots, rounded to ``places``. Users
-    meet items in blocks inside tasks, and only each block's best that the user has not rated leave them: a user's rated
-    items go along with its row.
+    are rows with their ratings, and meet slices of the factors inside tasks: first to sum their vectors, then for their
+    best items. Factors are not joined to ratings, and no user is sent to more than one task.
     """
-    f = factors.select(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    rated = ratings.select(F.col(user).alias("u"), F.col(item).alias("i"), F.col(rating).cast("double").alias("w"))
-    long = rated.join(f, "i").select("u", F.posexplode(F.transform("v", lambda x: x * F.col("w"))).alias("p", "x")).groupBy("u", "p").agg(F.sum("x").alias("x"))
-    vectors = long.groupBy("u").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("v"))
-    users = vectors.join(rated.groupBy("u").agg(F.collect_set("i").alias("seen")), "u")
-    kinds = f"u {rated.schema['u'].dataType.simpleString()}, i {f.schema['i'].dataType.simpleString()}, score double"
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("i", ignore_index=True)
-        right, ids, out = np.stack(b["v"].to_numpy()), b["i"].to_numpy(), []
-        for u, v, seen in zip(a["u"], a["v"], a["seen"]):
-            score = np.round(right @ np.asarray(v), places)
-            score[np.isin(ids, seen)] = -np.inf
-            best = np.argsort(-score, kind="stable")[:k]
-            best = best[np.isfinite(score[best])]
-            out.append(pd.DataFrame({"u": [u] * len(best), "i": ids[best], "score": score[best] + 0.0}))
-        return pd.concat(out)
-
-    found = over_block_pairs(users, f, "u", "i", run, kinds)
-    return top_k(found, ["u"], [F.desc("score"), F.col("i")], k).select(F.col("u").alias(user), F.col("i").alias(item), "score", "rank")
+    f = factors.select(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
+    rated = ratings.select(F.col(user).alias("q"), F.col(item).alias("i"), F.coalesce(F.col(rating).cast("double"), F.lit(0.0)).alias("w")).filter("q IS NOT NULL AND i IS NOT NULL")
+    users = rated.groupBy("q").agg(F.collect_list(F.struct("i", "w")).alias("_r")).select("q", F.col("_r.i").alias("skip"), F.col("_r.w").alias("w"), F.array().cast("array<double>").alias("v"))
+    users = stage_table(users, "users")
+    n, m = users.count(), f.count()
+    spread = users.repartition(max(tasks_for(n * m, 100_000_000), tasks_for(n, 20_000)), "q")
+    sums = over_slices(spread, f, "i", 8 + 8 * vector_length(f), by_name, _summed)
+    vectors = sums.filter(F.size("v") > 0).select("q", "v", "skip")
+    found = best_dots(vectors, f, k, places)
+    return found.select(F.col("q").alias(user), F.col("i").alias(item), "score", "rank")
+
+
+def _summed(batch: pa.RecordBatch, items: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Users' vectors ``v`` with the weighted factors of a slice added; empty until one of the user's items was there."""
+    names, factors = items
+    row, at, known = places_of(batch.column("skip"), names)
+    w = batch.column("w").flatten().to_numpy(zero_copy_only=False)[known]
+    has = batch.column("v").value_lengths().to_numpy(zero_copy_only=False) > 0
+    total = np.zeros((batch.num_rows, factors.shape[1]))
+    total[has] = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, factors.shape[1])
+    if len(row):
+        own, first = np.unique(row, return_index=True)
+        total[own] += np.add.reduceat(w[:, None] * factors[at], first)
+        has[own] = True
+    ends = np.concatenate([[0], np.cumsum(np.where(has, factors.shape[1], 0))]).astype(np.int32)
+    v = pa.ListArray.from_arrays(ends, pa.array(total[has].ravel()))
+    return pa.RecordBatch.from_arrays([v.cast(f.type) if f.name == "v" else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 
 
 def preference_recommend(items: DataFrame, item: str, attributes: list[str], preference: dict[str, str], k: int = 10) -> DataFrame:
