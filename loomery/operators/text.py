@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
+import math
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,19 +120,42 @@ def _put_together(parts: list[str], size: int, overlap: int) -> list[str]:
 
 
 def topic_chunks(df: DataFrame, key: str, text: str, least: float = 0.3, most: int = 1200) -> DataFrame:
-    """Sentences joined until the term vectors of two neighbours differ (cosine below ``least``) or a chunk is full."""
-    s = df.select(key, F.posexplode(sentences(F.col(text))).alias("i", "s"))
-    terms = s.select(key, "i", F.explode(tokens(F.col("s"))).alias("t")).groupBy(key, "i", "t").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    norm = terms.groupBy(key, "i").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    nxt = terms.select(key, (F.col("i") + 1).alias("i"), "t", F.col("w").alias("w0"))
-    shared = terms.join(nxt, [key, "i", "t"]).groupBy(key, "i").agg(F.sum(F.col("w") * F.col("w0")).alias("d"))
-    before = norm.select(key, (F.col("i") + 1).alias("i"), F.col("n").alias("n0"))
-    near = s.join(norm, [key, "i"], "left").join(before, [key, "i"], "left").join(shared, [key, "i"], "left")
-    w = Window.partitionBy(key).orderBy("i")
-    cut = near.withColumn("_new", (F.coalesce(F.col("d") / (F.col("n") * F.col("n0")), F.lit(0.0)) < least).cast("int"))
-    cut = cut.withColumn("_g", F.sum("_new").over(w)).withColumn("_part", F.floor(F.sum(F.length("s") + 1).over(Window.partitionBy(key, "_g").orderBy("i")) / most))
-    out = cut.groupBy(key, "_g", "_part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("chunk"), F.min("i").alias("_i"))
-    return out.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_i")) - 1).alias("chunk_index"), "chunk")
+    """Sentences joined until the term vectors of two neighbours differ (cosine below ``least``) or a chunk is full.
+
+    Sentences and tokens are Spark's; a text's chunks are made where its row is, so that nothing moves between tasks.
+    """
+    parts = df.select(F.col(key).alias("key"), sentences(F.col(text)).alias("s")).filter(F.size("s") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, index, chunks = [], [], []
+            for i in range(batch.num_rows):
+                found = _joined(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), least, most)
+                row += [i] * len(found)
+                index += range(len(found))
+                chunks += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(index, pa.int32()), pa.array(chunks, pa.string())], names=["key", "chunk_index", "chunk"])
+
+    out = parts.withColumn("t", F.transform("s", tokens)).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, chunk_index int, chunk string")
+    return out.withColumnRenamed("key", key)
+
+
+def _joined(parts: list[str], terms: list[list[str]], least: float, most: int) -> list[str]:
+    """The chunks of a text's sentences. A run of likes is cut where its length passes a multiple of ``most``."""
+    out, before, n0, size, at = [], Counter(), 0.0, 0, -1
+    for sentence, words in zip(parts, terms):
+        w = Counter(words)
+        n = math.sqrt(sum(c * c for c in w.values()))
+        d = sum(c * before[t] for t, c in w.items() if t in before)
+        if (d / (n * n0) if d else 0.0) < least:
+            size, at = 0, -1
+        size += len(sentence) + 1
+        if at != size // most or not out:
+            out.append([])
+            at = size // most
+        out[-1].append(sentence)
+        before, n0 = w, n
+    return [" ".join(x) for x in out]
 
 
 def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
