@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.operators import blocks, drift, experiment, monitoring, recommending, recsys, resolve
+from loomery.operators import blocks, drift, experiment, graph, monitoring, recommending, recsys, resolve, text
 
 
 def test_log_rank_of_many_rows(spark):
@@ -104,3 +104,65 @@ def test_nearest_of_all_rows(spark, monkeypatch, size):
     for i in range(400):
         want += [(f"n{i:03d}", f"n{j:03d}", -c, n + 1) for n, (c, j) in enumerate(sorted((-cos[i, j], j) for j in range(400) if j != i)[:10])]
     assert close([(r.q, r.id, r.cos, r["rank"]) for r in found.collect()], want)
+
+
+def random_graph(n=150, m=900, seed=6):
+    rng = np.random.default_rng(seed)
+    pairs = {(int(a), int(b)) for a, b in zip((n * rng.random(m) ** 3).astype(int), rng.integers(0, n, m)) if a != b}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return pairs, near
+
+
+def plans_of(spark, monkeypatch, module, run):
+    """The plans of what a module writes while ``run`` goes, and of its result, and the result."""
+    plans, write = [], module.stage_table
+    monkeypatch.setattr(module, "stage_table", lambda df, *a: plans.append(df._jdf.queryExecution().toString()) or write(df, *a))
+    out = run()
+    return plans + [out._jdf.queryExecution().toString()], out
+
+
+def test_core_numbers_without_joins_in_rounds(spark, monkeypatch):
+    pairs, near = random_graph()
+    left, k, core = {a: set(b) for a, b in near.items()}, 0, {}
+    while left:
+        a = min(left, key=lambda x: len(left[x]))
+        k = max(k, len(left[a]))
+        core[f"n{a}"] = k
+        for b in left.pop(a):
+            left[b].discard(a)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    plans, out = plans_of(spark, monkeypatch, graph, lambda: graph.k_core(edges))
+    assert {r.id: r.core for r in out.collect()} == core and len(set(core.values())) > 4
+    assert len(plans) <= 5  # links, numbers and lists are written, not the rounds
+    monkeypatch.setattr(graph, "SENT_NODES", 10)
+    assert {r.id: r.core for r in graph.k_core(edges).collect()} == core
+
+
+def test_triangles_without_wedges(spark, monkeypatch):
+    pairs, near = random_graph()
+    nodes = spark.createDataFrame([(i,) for i in range(150)], "id long")
+    edges = spark.createDataFrame(list(pairs), "src long, dst long")
+    got = {r.id: (r.k, r.triangles) for r in graph.clustering(nodes, edges).collect()}
+    for i in range(150):
+        own = near.get(i, set())
+        assert got[i] == (len(own), sum(len(near[b] & own) for b in own) // 2)
+    assert sum(t for _, t in got.values()) > 300
+    # two-sided: no edge's upper end leads on, so nothing is sent
+    stars = spark.createDataFrame([(a, 1000 + b) for a in range(40) for b in range(5)], "src long, dst long")
+    sent, write = [], graph.stage_table
+    monkeypatch.setattr(graph, "stage_table", lambda df, name, *a: sent.append((name, df.count())) or write(df, name, *a))
+    assert graph.clustering(nodes.limit(40), stars).agg(F.sum("triangles")).first()[0] == 0 and dict(sent)["inner"] == 0
+
+
+def test_topic_chunks_stay_in_their_rows(spark):
+    same = "The red cat sat here. The red cat sat there. The red cat ran."
+    rows = [(1, same + " Nothing alike follows now! Über-große Wörter, Über-große Wörter. " + "x y. " * 300), (2, None), (3, ""), (4, "... !"), (5, "one")]
+    found = text.topic_chunks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", most=100)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert got[:2] == [(1, 0, same), (1, 1, "Nothing alike follows now!")] and got[-3:] == [(4, 0, "..."), (4, 1, "!"), (5, 0, "one")]
+    assert " ".join(c for k, _, c in got if k == 1) == rows[0][1].strip() and [i for k, i, _ in got if k == 1] == list(range(len(got) - 3))
+    assert all(len(c) <= 104 for k, _, c in got)
