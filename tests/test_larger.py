@@ -1,10 +1,12 @@
 """What only shows on larger tables, or on tables shaped like them: counts beyond 64 bits, quantiles of many values, pairs, graphs."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.operators import blocks, drift, experiment, graph, monitoring, recommending, recsys, resolve, text
+from loomery.operators import blocks, centrality, drift, experiment, graph, monitoring, recommending, recsys, resolve, text
 
 
 def test_log_rank_of_many_rows(spark):
@@ -166,3 +168,18 @@ def test_topic_chunks_stay_in_their_rows(spark):
     assert got[:2] == [(1, 0, same), (1, 1, "Nothing alike follows now!")] and got[-3:] == [(4, 0, "..."), (4, 1, "!"), (5, 0, "one")]
     assert " ".join(c for k, _, c in got if k == 1) == rows[0][1].strip() and [i for k, i, _ in got if k == 1] == list(range(len(got) - 3))
     assert all(len(c) <= 104 for k, _, c in got)
+
+
+@pytest.mark.parametrize("size", [32_000_000, 3000])  # all sources at once, and a few
+def test_betweenness_without_joins_in_rounds(spark, monkeypatch, size):
+    monkeypatch.setattr(centrality, "SENT_BYTES", size)
+    pairs, near = random_graph(120, 260)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    plans, out = plans_of(spark, monkeypatch, centrality, lambda: centrality.betweenness(edges))
+    got = {r.id: r.betweenness for r in out.collect()}
+    assert len(plans) <= 2  # links are written, not the levels
+    both = spark.createDataFrame([(f"n{a}", f"n{b}") for a in near for b in near[a]], "src string, dst string")
+    chosen = sorted((hashlib.md5(f"n{a}".encode()).hexdigest(), f"n{a}") for a in near)[:10]
+    want = centrality._by_joins(both, spark.createDataFrame([(x,) for _, x in chosen], "id string"), len(near), 10)
+    want = {r.id: r.betweenness for r in want.collect()}
+    assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in got) < 1e-12 and max(got.values()) > 0.005
